@@ -185,3 +185,42 @@ def with_views(names, body: str, **extra: str) -> str:
     ctes = [f"{n} AS (\n{VIEWS[n][0]}\n)" for n in _closure(names)]
     ctes += [f"{n} AS (\n{sql.strip()}\n)" for n, sql in extra.items()]
     return ("WITH " + ",\n".join(ctes) + "\n" + body.strip()) if ctes else body.strip()
+
+
+# Registry changes derived from docs_registry: re-registrations (two rounds
+# for some keys, the later one wins) and files seen for the first time.
+_view("registry_updates", """
+SELECT hash_sum, name, period, link, '{"file_size": 1, "row_count": 1}' AS validation, TRUE AS is_active, 1 AS seq
+FROM docs_registry WHERE CAST(hash_sum AS BIGINT) % 3 = 0
+UNION ALL
+SELECT hash_sum, name, period, link, '{"file_size": 2, "row_count": 2}' AS validation, FALSE AS is_active, 2 AS seq
+FROM docs_registry WHERE CAST(hash_sum AS BIGINT) % 6 = 0
+UNION ALL
+SELECT concat('new', hash_sum) AS hash_sum, name, period, link, validation, TRUE AS is_active, 1 AS seq
+FROM docs_registry WHERE CAST(hash_sum AS BIGINT) % 5 = 0
+""", ("docs_registry",))
+
+# Partial updates: a null means "field not supplied".
+_view("registry_changes", """
+SELECT hash_sum,
+  CASE WHEN CAST(hash_sum AS BIGINT) % 2 = 0 THEN concat(name, '_v2') END AS name,
+  CASE WHEN CAST(hash_sum AS BIGINT) % 3 = 0 THEN '209901' END AS period
+FROM docs_registry WHERE CAST(hash_sum AS BIGINT) % 4 = 1
+""", ("docs_registry",))
+
+# The files that are still on disk: every ninth file has gone.
+_view("catalog_now", """
+SELECT id, path, length FROM paths WHERE id % 9 <> 0
+""", ("paths",))
+
+# Date-like texts for the date parser, derived from event times.
+_view("date_texts", """
+SELECT event_id AS id,
+  CASE event_id % 6 WHEN 0 THEN substr(CAST(ts AS STRING), 1, 10)
+                    WHEN 1 THEN replace(CAST(ts AS STRING), ' ', 'T')
+                    WHEN 2 THEN CAST(ts AS STRING)
+                    WHEN 3 THEN '2024'
+                    WHEN 4 THEN concat('2024-02-', lpad(CAST(user_id % 32 AS STRING), 2, '0'))
+                    ELSE props END AS text
+FROM events
+""")
