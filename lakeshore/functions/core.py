@@ -45,9 +45,9 @@ def path_metadata(path) -> Column:
     parts = path_parts(path)
     idx = F.array_position(F.transform(parts, lambda x: x.rlike(DATE_PART)), F.lit(True))
     found = idx > 0
-    date_part = F.element_at(parts, F.when(found, idx).otherwise(F.lit(1)).cast("int"))
-    source = F.when(found & (idx > 1), F.element_at(parts, (idx - 1).cast("int")))
-    nxt = F.when(found & (idx < F.size(parts)), F.element_at(parts, (idx + 1).cast("int")))
+    date_part = F.try_element_at(parts, F.when(found, idx).otherwise(F.lit(1)).cast("int"))
+    source = F.when(found & (idx > 1), F.try_element_at(parts, (idx - 1).cast("int")))
+    nxt = F.when(found & (idx < F.size(parts)), F.try_element_at(parts, (idx + 1).cast("int")))
     period = F.when(nxt.rlike(PERIOD_PART), nxt)
     date = F.when(found, F.try_to_date(date_part, "yyyy-MM-dd"))
     return F.struct(source.alias("source"), period.alias("period"), date.alias("date"))

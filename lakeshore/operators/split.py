@@ -72,7 +72,7 @@ def allowed_entities(tasks: DataFrame, entities: DataFrame, entity_col: str = "e
 
 def first_path_part(path: Column) -> Column:
     parts = F.filter(F.split(path, "/"), lambda x: x != "")
-    return F.element_at(parts, 1)
+    return F.try_element_at(parts, F.lit(1))
 
 
 def rows_per_file(df: DataFrame, max_file_bytes: int = MAX_FILE_BYTES) -> int | None:

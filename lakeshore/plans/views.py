@@ -123,22 +123,25 @@ FROM events
 # Field tables for the schema operators, derived from lineitem so that they
 # grow with the data: every order is one "dataset" whose fields are its line
 # numbers.  The source side speaks the parquet dialect, the target side the
-# PostgreSQL dialect; some fields exist on one side only.
+# PostgreSQL dialect; some fields exist on one side only.  A field list is a
+# map, so a name repeated in the data keeps one (the least) type.
 _view("src_fields", """
+SELECT schema_id, name, min(type) AS type FROM (
 SELECT l_orderkey AS schema_id, concat('f', CAST(l_linenumber AS STRING)) AS name,
   CASE l_partkey % 11 WHEN 0 THEN 'int64' WHEN 1 THEN 'string' WHEN 2 THEN 'double' WHEN 3 THEN 'date32'
        WHEN 4 THEN 'timestamp[us, tz=utc]' WHEN 5 THEN 'boolean' WHEN 6 THEN 'int32' WHEN 7 THEN 'hugeint'
        WHEN 8 THEN '' WHEN 9 THEN 'timestamp[ms]' ELSE 'float' END AS type
-FROM lineitem WHERE l_linenumber <> 7
+FROM lineitem WHERE l_linenumber <> 7) GROUP BY schema_id, name
 """)
 
 _view("tgt_fields", """
+SELECT schema_id, name, min(type) AS type FROM (
 SELECT l_orderkey AS schema_id, concat('f', CAST(l_linenumber AS STRING)) AS name,
   CASE l_suppkey % 12 WHEN 0 THEN 'bigint' WHEN 1 THEN 'character varying(255)' WHEN 2 THEN 'numeric(18,2)'
        WHEN 3 THEN 'timestamp' WHEN 4 THEN 'timestamptz' WHEN 5 THEN 'text' WHEN 6 THEN 'uuid'
        WHEN 7 THEN 'hugeint' WHEN 8 THEN 'integer' WHEN 9 THEN 'double precision' WHEN 10 THEN 'boolean'
        ELSE 'timestamp with time zone' END AS type
-FROM lineitem WHERE l_linenumber <> 1
+FROM lineitem WHERE l_linenumber <> 1) GROUP BY schema_id, name
 """)
 
 
