@@ -227,3 +227,18 @@ SELECT event_id AS id,
                     ELSE props END AS text
 FROM events
 """)
+
+# Folders a caller asks about: every source (with a blank in front), some
+# that do not exist, and blank entries.
+_view("expected_folders", """
+SELECT doc_id AS ord,
+  CASE WHEN doc_id % 50 = 0 THEN concat(source, '_old') WHEN doc_id % 23 = 0 THEN '  ' ELSE concat(' ', source) END AS folder
+FROM documents
+""")
+
+# A catalog where some '.sended' files also exist without the suffix.
+_view("paths_sended", """
+SELECT id, path FROM paths
+UNION ALL
+SELECT id + 1000000 AS id, regexp_replace(path, '\\.sended$', '') AS path FROM paths WHERE id % 12 = 3 AND id % 24 <> 3
+""", ("paths",))
