@@ -129,4 +129,4 @@ def alert_message(app, mb, threshold) -> Column:
 
 def ram_threshold(mb, warn: float = 512.0, crit: float = 1024.0) -> Column:
     m = _c(mb)
-    return F.when(m >= crit, F.lit(crit)).when(m >= warn, F.lit(warn))
+    return F.when(m >= crit, F.lit(float(crit))).when(m >= warn, F.lit(float(warn)))

@@ -242,3 +242,20 @@ SELECT id, path FROM paths
 UNION ALL
 SELECT id + 1000000 AS id, regexp_replace(path, '\\.sended$', '') AS path FROM paths WHERE id % 12 = 3 AND id % 24 <> 3
 """, ("paths",))
+
+# Secret-bearing texts: document text with key=value, Bearer and query
+# secrets spliced in (some safe values among them).
+_view("secret_texts", """
+SELECT doc_id AS id,
+  concat(substr(text, 1, 200),
+    CASE doc_id % 8 WHEN 0 THEN concat(' api_key=', md5(text), ' ')
+                    WHEN 1 THEN concat(' Authorization: Bearer ', md5(text), md5(source), ' ')
+                    WHEN 2 THEN concat(' see https://x.example/cb?token=', md5(text), '&a=1 ')
+                    WHEN 3 THEN concat(' password: "', md5(source), '" ')
+                    WHEN 4 THEN ' token=12345678901234567890 '
+                    WHEN 5 THEN ' secret=0f8fad5b-d9cb-469f-a165-70867728950e '
+                    WHEN 6 THEN concat(' client_secret = ', substr(md5(text), 1, 6), ' ')
+                    ELSE ' auth=short ' END,
+    substr(text, 201, 300)) AS text
+FROM documents
+""")
