@@ -259,3 +259,22 @@ SELECT doc_id AS id,
     substr(text, 201, 300)) AS text
 FROM documents
 """)
+
+# Download task messages in both layouts, derived from orders.
+_view("download_msgs", """
+SELECT o_orderkey AS id,
+  CASE o_orderkey % 6
+    WHEN 0 THEN concat('{"task_id":"t', CAST(o_orderkey AS STRING), '","urls":["http://h/a.parquet","http://h/b.parquet"],',
+                       '"dest_path":"/E', CAST(o_custkey % 5 AS STRING), '/2024-01-1', CAST(o_orderkey % 10 AS STRING), '/',
+                       '","entity":"X","period":"202401","split_columns":["k1","",5,"k2"]}')
+    WHEN 1 THEN concat('{"url":"http://h/one.csv","relative_path":"E', CAST(o_custkey % 5 AS STRING), '/2024-02-0',
+                       CAST(o_orderkey % 10 AS STRING), '","entity":"ignored","period":"2024', CAST(10 + o_orderkey % 3 AS STRING),
+                       '","split_columns":"k1"}')
+    WHEN 2 THEN concat('{"url":["http://h/1.json","http://h/2.json","http://h/3.json"],"relative_path":"E',
+                       CAST(o_custkey % 5 AS STRING), '","updated_at":"2024-03-01","period":"202403","split_column":"k2"}')
+    WHEN 3 THEN concat('{"task_id":"t', CAST(o_orderkey AS STRING), '","urls":[],"dest_path":"E1/2024-01-01/202401"}')
+    WHEN 4 THEN '{not json'
+    ELSE concat('{"urls":["http://h/x.parquet"],"dest_path":"","entity":"E', CAST(o_custkey % 5 AS STRING),
+                '","updated_at":"2024-04-0', CAST(o_orderkey % 9 + 1 AS STRING), '","period":"202404"}') END AS value
+FROM orders
+""")
