@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from lakeshore.operators.common import spread_for_cpu
 from lakeshore.session import checkpoint_root
 
 # Token pattern (letters, digits, underscore; Unicode) and the
@@ -45,12 +46,15 @@ def tokens(text) -> Column:
 
 
 def trigrams(text) -> Column:
-    """Distinct 3-grams of each word padded with two blanks before and one after."""
+    """Distinct 3-grams of each word padded with two blanks before and one
+    after.  The padded words are joined with a separator and every
+    overlapping 3-character window that does not cross a separator is taken
+    by one look-ahead regex: built-in expressions only, no per-word lambda."""
     c = F.col(text) if isinstance(text, str) else text
     words = F.regexp_extract_all(F.lower(c), F.lit(WORD_RE), 0)
-    grams = F.transform(words, lambda w: F.transform(
-        F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substring(F.concat(F.lit("  "), w, F.lit(" ")), i, 3)))
-    return F.array_distinct(F.flatten(grams))
+    padded = F.concat(F.lit("  "), F.array_join(words, " \u0001  "), F.lit(" "))
+    grams = F.regexp_extract_all(padded, F.lit("(?=([^\u0001]{3}))"), 1)
+    return F.array_distinct(F.when(F.size(words) > 0, grams).otherwise(F.array().cast("array<string>")))
 
 
 def percentage(score: Column) -> Column:
@@ -74,17 +78,35 @@ def top_k(scores: DataFrame, k: int | None, qcol: str = "qid", dcol: str = "id")
     return ranked
 
 
+def _explode(arr: Column) -> Column:
+    # ``explode_outer`` + a null filter instead of ``explode``: for an inner
+    # explode Spark infers a size(array) > 0 filter below the projection,
+    # which evaluates the (costly) array expression a second time.
+    return F.explode_outer(arr)
+
+
 def _set_rows(df: DataFrame, key: str, items: Column) -> DataFrame:
-    s = df.select(F.col(key).alias("_key"), F.array_distinct(items).alias("_set"))
-    return s.select("_key", F.size("_set").alias("_n"), F.explode("_set").alias("_tok"))
+    s = spread_for_cpu(df).select(F.col(key).alias("_key"), F.array_distinct(items).alias("_set"))
+    return (s.select("_key", F.size("_set").alias("_n"), _explode(F.col("_set")).alias("_tok"))
+            .where(F.col("_tok").isNotNull()))
 
 
 def set_similarity(queries: DataFrame, corpus: DataFrame, q_items: Column, d_items: Column,
-                   qid: str = "qid", did: str = "id") -> DataFrame:
-    """|A n B| / (|A| + |B| - |A n B|) for every pair sharing an item."""
-    q = _set_rows(queries, qid, q_items).select(F.col("_key").alias("qid"), F.col("_n").alias("na"), "_tok")
+                   qid: str = "qid", did: str = "id", min_score: float | None = None) -> DataFrame:
+    """|A n B| / (|A| + |B| - |A n B|) for every pair sharing an item.
+
+    With ``min_score`` m only pairs that can exceed it are formed: since
+    |A n B| <= min(|A|, |B|), a score above m needs
+    (1 + m) min(|A|, |B|) > m (|A| + |B|).  The test is part of the join
+    condition, so impossible pairs are never emitted (exact, no cap)."""
+    q = _set_rows(queries, qid, q_items).select(F.col("_key").alias("qid"), F.col("_n").alias("na"),
+                                                F.col("_tok").alias("_qtok"))
     d = _set_rows(corpus, did, d_items).select(F.col("_key").alias("id"), F.col("_n").alias("nb"), "_tok")
-    pairs = d.join(maybe_broadcast(q), "_tok").groupBy("qid", "id").agg(
+    cond = F.col("_tok") == F.col("_qtok")
+    if min_score is not None:
+        m = float(min_score)
+        cond = cond & ((1 + m) * F.least("na", "nb") > m * (F.col("na") + F.col("nb")))
+    pairs = d.join(maybe_broadcast(q), cond).groupBy("qid", "id").agg(
         F.count(F.lit(1)).alias("inter"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     return pairs.select("qid", "id", (F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))).alias("score"))
 
@@ -99,13 +121,14 @@ def jaccard_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, qid: str = "
 def trigram_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, qid: str = "qid", qtext: str = "text",
                  did: str = "id", dtext: str = "text", min_score: float = TRIGRAM_MIN) -> DataFrame:
     """T4: trigram-set similarity above ``min_score``."""
-    s = set_similarity(queries, corpus, trigrams(qtext), trigrams(dtext), qid, did)
+    s = set_similarity(queries, corpus, trigrams(qtext), trigrams(dtext), qid, did, min_score=min_score)
     return top_k(s.where(F.col("score") > min_score), k).select(
         "qid", "id", percentage(F.col("score")).alias("percentage"), "rank")
 
 
 def _tf(df: DataFrame, key: str, text: str, alias: str) -> DataFrame:
-    t = df.select(F.col(key).alias(alias), F.explode(tokens(text)).alias("_tok"))
+    t = (spread_for_cpu(df).select(F.col(key).alias(alias), _explode(tokens(text)).alias("_tok"))
+         .where(F.col("_tok").isNotNull()))
     return t.groupBy(alias, "_tok").agg(F.count(F.lit(1)).alias("tf"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lakeshore.functions import core as fn
 from lakeshore.functions.logs import mask_secrets, parse_log
 from lakeshore.operators import ops
+from lakeshore.operators.common import spread_for_cpu
 from lakeshore.plans.registry import query
 from lakeshore.plans.views import view, with_views
 
@@ -233,7 +234,7 @@ _PARSED_COLS = ("line_no, time, level, name, line, file, func, msg, raw, "
 
 
 def _parsed(spark, sf_dir):
-    lines = view(spark, sf_dir, "log_lines")
+    lines = spread_for_cpu(view(spark, sf_dir, "log_lines"))
     return lines.select("line_no", parse_log(F.col("raw")).alias("p")).select("line_no", "p.*")
 
 

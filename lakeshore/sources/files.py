@@ -196,13 +196,32 @@ def read_any(spark: SparkSession, paths: list[str], fmt: str) -> DataFrame:
 
 # ---- per-file facts -----------------------------------------------------
 
+def _footer_rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    import pyarrow.fs as pafs
+    import pyarrow.parquet as pq
+    for pdf in batches:
+        rows = []
+        for path in pdf["path"]:
+            try:
+                fs, p = pafs.FileSystem.from_uri(path if "://" in path else "file://" + path)
+                with fs.open_input_file(p) as f:
+                    rows.append(pq.ParquetFile(f).metadata.num_rows)
+            except Exception:
+                rows.append(None)   # unreadable file: null count
+        yield pd.DataFrame({"path": pdf["path"], "rows": pd.array(rows, dtype="Int64")})
+
+
 def row_counts(spark: SparkSession, catalog: DataFrame) -> DataFrame:
-    """Rows per file.  One Spark job per format over all its files;
-    files of an unknown format count 0.  A file with zero rows produces no
-    group, so counts are joined back onto the catalog and default to 0."""
+    """Rows per file; unknown formats count 0, unreadable files null.
+    Parquet counts come from each file's footer, read inside the tasks that
+    own the catalog rows (no data pages are touched, no path list on the
+    driver).  CSV and JSON are scanned, one Spark job per format; a file
+    with zero rows produces no group, so counts are joined back onto the
+    catalog and default to 0."""
     fmts = catalog.select(detect_format_by_name(F.col("path")).alias("format"), "path")
-    known = [r["format"] for r in fmts.select("format").distinct().collect()]
-    parts = []
+    footer = fmts.where(F.col("format") == "parquet").select("path").mapInPandas(_footer_rows, "path string, rows long")
+    known = [r["format"] for r in fmts.where(F.col("format") != "parquet").select("format").distinct().collect()]
+    parts = [footer]
     for fmt in known:
         files = [r["path"] for r in fmts.where(F.col("format") == fmt).select("path").collect()]
         if not files:
@@ -210,11 +229,13 @@ def row_counts(spark: SparkSession, catalog: DataFrame) -> DataFrame:
         df = read_any(spark, files, fmt)
         parts.append(df.select(local_path(F.col("_metadata.file_path")).alias("path"))
                      .groupBy("path").agg(F.count(F.lit(1)).alias("rows")))
-    counts = parts[0] if parts else spark.createDataFrame([], "path string, rows long")
+    counts = parts[0]
     for p in parts[1:]:
         counts = counts.unionByName(p)
+    counts = counts.withColumn("_seen", F.lit(True))
     return (catalog.join(counts, "path", "left")
-            .withColumn("rows", F.coalesce(F.col("rows"), F.lit(0).cast("long"))))
+            .withColumn("rows", F.when(F.col("_seen"), F.col("rows")).otherwise(F.lit(0).cast("long")))
+            .drop("_seen"))
 
 
 def _stream_sha(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
