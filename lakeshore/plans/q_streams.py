@@ -126,3 +126,32 @@ def q_heavy_only_stream(spark, sf_dir):
     out, ck = scratch_dir(spark, "out"), scratch_dir(spark, "ck")
     jobs.heavy_stream(_requests_stream(spark, sf_dir, max_files=1), out, ck)
     return spark.read.parquet(out)
+
+
+def _flaky_handler(df):
+    """Test handler: keys divisible by 11 always fail, keys divisible by 7
+    fail on their first attempt only."""
+    k = F.col("key").cast("long")
+    err = (F.when(k % 11 == 0, F.lit("always failing"))
+           .when((k % 7 == 0) & (F.col("attempt") == 1), F.lit("transient")))
+    return df.withColumn("error", err)
+
+
+@query("retry_then_dlq", with_views(["tasks"], """
+SELECT id AS key, CASE WHEN id % 11 = 0 THEN 'dlq' ELSE 'ok' END AS status,
+  CASE WHEN id % 11 = 0 THEN 6 WHEN id % 7 = 0 THEN 2 ELSE 1 END AS attempts
+FROM tasks WHERE CASE WHEN json_valid(value) THEN json_type(value) = 'OBJECT' ELSE FALSE END
+"""))
+def q_retry_then_dlq(spark, sf_dir):
+    src = _records(spark, sf_dir, "tasks", "id", "value", "tasks", 4)
+    # Empty record files: later micro-batches that only carry due retries.
+    for _ in range(6):
+        spark.createDataFrame([], jobs.RECORD_SCHEMA).coalesce(1).write.mode("append").json(src)
+    out, retry, dlq, bad, ck = (scratch_dir(spark, p) for p in ("ok", "retry", "dlq", "bad", "ck"))
+    jobs.retry_then_dlq(jobs.read_records(spark, path=src, max_files_per_trigger=1), _flaky_handler, out, retry, dlq,
+                        bad, ck, clock=lambda b: b * 1000.0)
+    ok = spark.read.schema("key string, value string, attempt int").parquet(out) \
+        .select("key", F.lit("ok").alias("status"), F.col("attempt").alias("attempts"))
+    dead = spark.read.schema("key string, value string, attempt int, error string").parquet(dlq) \
+        .select("key", F.lit("dlq").alias("status"), F.col("attempt").alias("attempts"))
+    return ok.unionByName(dead).withColumn("key", F.col("key").cast("bigint"))

@@ -186,3 +186,44 @@ def alert_stream(requests: DataFrame, out: str, checkpoint: str) -> None:
 def heavy_stream(requests: DataFrame, out: str, checkpoint: str) -> None:
     """Persist only heavy requests (stateless append)."""
     _append_stream(ops.heavy_only(requests), out, checkpoint)
+
+
+RETRY_SCHEMA = "key string, value string, attempt int, next_at double, error string"
+
+
+def retry_then_dlq(records: DataFrame, handler: Callable[[DataFrame], DataFrame], out: str, retry_root: str,
+                   dlq_out: str, bad_out: str, checkpoint: str, max_retries: int = 5, base_sec: float = 30.0,
+                   cap_sec: float = 300.0, clock: Callable[[int], float] | None = None) -> None:
+    """S3: a failing message is retried with delay min(base * attempt, cap);
+    after ``max_retries`` retries it goes to the dead-letter output.
+
+    ``handler(df)`` gets (key, value, attempt) rows and returns them with an
+    ``error`` column (null = success).  Nothing sleeps inside a batch:
+    failures are written to a retry table with ``attempt`` and ``next_at``;
+    each later batch takes the due rows along with its new messages.  Every
+    output is keyed by batch id (a re-run batch rewrites its own files), and
+    messages that are not JSON go to ``bad_out`` without retries.
+    """
+    import time as _time
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        now = clock(batch_id) if clock else _time.time()
+        good, bad = tk.split_poison(batch)
+        bad.write.mode("overwrite").parquet(f"{bad_out}/batch={batch_id}")
+        pending = sinks.read_current(spark, retry_root, RETRY_SCHEMA)
+        due = pending.where(F.col("next_at") <= F.lit(now))
+        later = pending.where(F.col("next_at") > F.lit(now))
+        work = (good.select("key", "value", F.lit(1).alias("attempt"))
+                .unionByName(due.select("key", "value", (F.col("attempt") + 1).alias("attempt"))))
+        res = handler(work)
+        res.where(F.col("error").isNull()).select("key", "value", "attempt") \
+            .write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        failed = res.where(F.col("error").isNotNull())
+        failed.where(F.col("attempt") > max_retries).select("key", "value", "attempt", "error") \
+            .write.mode("overwrite").parquet(f"{dlq_out}/batch={batch_id}")
+        retry = failed.where(F.col("attempt") <= max_retries).select(
+            "key", "value", "attempt",
+            (F.lit(now) + F.least(F.lit(base_sec) * F.col("attempt"), F.lit(cap_sec))).alias("next_at"), "error")
+        sinks.write_version(later.unionByName(retry), retry_root)
+    _batch_writer(handle, records, checkpoint)
