@@ -278,3 +278,15 @@ SELECT o_orderkey AS id,
                 '","updated_at":"2024-04-0', CAST(o_orderkey % 9 + 1 AS STRING), '","period":"202404"}') END AS value
 FROM orders
 """)
+
+# The trade view with a folder number (three folders of one entity).
+_view("li_trade_parts", """
+SELECT concat(l_returnflag, l_linestatus) AS dataset_checksum,
+  CAST(l_linenumber - 1 AS BIGINT) AS aggr_level, l_extendedprice AS primary_value,
+  CASE WHEN l_partkey % 9 = 0 THEN 'C01' ELSE 'C00' END AS customs_code,
+  CAST(l_suppkey % 2 AS STRING) AS mos_code,
+  CAST(CASE WHEN l_orderkey % 10 = 0 THEN 1 ELSE 0 END AS STRING) AS mot_code,
+  CASE WHEN l_orderkey % 12 = 0 THEN 4 ELSE 0 END AS partner2_code,
+  l_partkey % 4 AS partner_code, CAST(l_orderkey % 3 AS INT) AS part_no
+FROM lineitem
+""")

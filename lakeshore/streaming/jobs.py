@@ -227,3 +227,33 @@ def retry_then_dlq(records: DataFrame, handler: Callable[[DataFrame], DataFrame]
             (F.lit(now) + F.least(F.lit(base_sec) * F.col("attempt"), F.lit(cap_sec))).alias("next_at"), "error")
         sinks.write_version(later.unionByName(retry), retry_root)
     _batch_writer(handle, records, checkpoint)
+
+
+VERIFY_SCHEMA = ("task_id string, entity string, folder_path string, split_columns array<string>, "
+                 "split_column string, download_result struct<status:string>")
+
+
+def folder_stage(records: DataFrame, raw_root: str, temp_root: str, allowed: list[str], config: dict,
+                 results_out: str, sums_out: str, checkpoint: str, verification: bool = True) -> None:
+    """S5 (``verification=True``) and S7: each micro-batch's task messages
+    are resolved (split columns from the message, then the config) and
+    their folders are split and control-summed by ``process_folders`` (one
+    Spark job per split-column list).  Results are keyed by task_id and
+    written per batch id; an inner error is reported as an error."""
+    from lakeshore.operators.folders import process_folders
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        good, _ = tk.split_poison(batch)
+        m = good.select(F.from_json("value", VERIFY_SCHEMA).alias("m")).select("m.*")
+        cols = F.coalesce(F.col("split_columns"),
+                          F.when(F.col("split_column").isNotNull(), F.array("split_column")),
+                          F.array().cast("array<string>"))
+        tasks = m.select("task_id", F.col("folder_path").alias("folder"), cols.alias("split_columns"),
+                         (F.col("download_result.status") if verification else F.lit(None).cast("string"))
+                         .alias("download_status"))
+        res, sums = process_folders(spark, tasks, raw_root, temp_root, allowed, config,
+                                    no_split="completed" if verification else "error")
+        res.write.mode("overwrite").parquet(f"{results_out}/batch={batch_id}")
+        sums.write.mode("overwrite").parquet(f"{sums_out}/batch={batch_id}")
+    _batch_writer(handle, records, checkpoint)
