@@ -31,7 +31,7 @@ def load_all() -> None:
         "lakeshore.plans.q_registry", "lakeshore.plans.q_split", "lakeshore.plans.q_links",
         "lakeshore.plans.q_text", "lakeshore.plans.q_schema", "lakeshore.plans.q_paths",
         "lakeshore.plans.q_ops", "lakeshore.plans.q_tasks", "lakeshore.plans.q_services",
-        "lakeshore.plans.q_io", "lakeshore.plans.q_streams", "lakeshore.plans.q_folders",
+        "lakeshore.plans.q_io", "lakeshore.plans.q_streams", "lakeshore.plans.q_folders", "lakeshore.plans.q_scan",
     ):
         try:
             importlib.import_module(mod)
