@@ -12,12 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeshore.functions.urls import normalize_url, url_hash
+from lakeshore.operators.common import spread_for_cpu
 
 
 def prepare_urls(candidates: DataFrame, url_col: str = "url") -> DataFrame:
     """(original, normalized, hash) per input row."""
     norm = normalize_url(F.col(url_col))
-    return candidates.withColumn("url_normalized", norm).withColumn("url_hash", url_hash(F.col("url_normalized")))
+    return spread_for_cpu(candidates).withColumn("url_normalized", norm).withColumn("url_hash", url_hash(F.col("url_normalized")))
 
 
 def _known(links: DataFrame) -> DataFrame:

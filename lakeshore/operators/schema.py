@@ -24,6 +24,8 @@ def schema_diff(src: DataFrame, tgt: DataFrame, src_dialect: str, tgt_dialect: s
     k = list(keys)
     s = src.select(*k, "name", F.col("type").alias("source_type"))
     t = tgt.select(*k, "name", F.col("type").alias("target_type"))
+    # The join shuffles both sides on the key, so the type rules run in
+    # parallel after it.
     j = s.join(t, k + ["name"], "full")
     ok = type_compatible(normalize_type(F.col("source_type"), src_dialect),
                          normalize_type(F.col("target_type"), tgt_dialect))

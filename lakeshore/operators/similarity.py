@@ -51,7 +51,8 @@ def trigrams(text) -> Column:
     overlapping 3-character window that does not cross a separator is taken
     by one look-ahead regex: built-in expressions only, no per-word lambda."""
     c = F.col(text) if isinstance(text, str) else text
-    words = F.regexp_extract_all(F.lower(c), F.lit(WORD_RE), 0)
+    # A word's trigrams do not depend on how often it occurs: distinct words first.
+    words = F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(WORD_RE), 0))
     padded = F.concat(F.lit("  "), F.array_join(words, " \u0001  "), F.lit(" "))
     grams = F.regexp_extract_all(padded, F.lit("(?=([^\u0001]{3}))"), 1)
     return F.array_distinct(F.when(F.size(words) > 0, grams).otherwise(F.array().cast("array<string>")))
@@ -106,8 +107,9 @@ def set_similarity(queries: DataFrame, corpus: DataFrame, q_items: Column, d_ite
     if min_score is not None:
         m = float(min_score)
         cond = cond & ((1 + m) * F.least("na", "nb") > m * (F.col("na") + F.col("nb")))
-    pairs = d.join(maybe_broadcast(q), cond).groupBy("qid", "id").agg(
-        F.count(F.lit(1)).alias("inter"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    # na / nb depend on qid / id alone: grouping by them too leaves a single
+    # counter as the aggregation buffer.
+    pairs = d.join(maybe_broadcast(q), cond).groupBy("qid", "id", "na", "nb").agg(F.count(F.lit(1)).alias("inter"))
     return pairs.select("qid", "id", (F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))).alias("score"))
 
 

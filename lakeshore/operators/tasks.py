@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakeshore.operators.common import spread_for_cpu
+
 TASK_SCHEMA = ("task_id string, urls array<string>, url string, dest_path string, relative_path string, "
                "entity string, updated_at string, period string, split_columns string, split_column string")
 
@@ -43,6 +45,7 @@ def normalize_download_task(messages: DataFrame, value_col: str = "value") -> Da
     plus ``poison`` (new layout without URLs, or not a JSON object).
     Parts of the path beat the explicit fields; a single URL becomes a list;
     a missing task_id gets a UUID."""
+    messages = spread_for_cpu(messages)
     v = F.try_parse_json(F.col(value_col))
     get = lambda path, t="string": F.try_variant_get(v, path, t)
     old = get("$.url").isNotNull() & get("$.relative_path").isNotNull()
