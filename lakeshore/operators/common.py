@@ -11,6 +11,8 @@ def spread_for_cpu(df: DataFrame) -> DataFrame:
     large row group, a small table), round-robin it over all cores.  On a
     large input with many splits this is a no-op, so no shuffle is added
     where the scan is already parallel."""
+    if df.isStreaming:
+        return df   # a micro-batch is planned per trigger; nothing to inspect here
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < cores:
         return df.repartition(cores)

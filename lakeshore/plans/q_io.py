@@ -78,9 +78,13 @@ def q_file_sha256(spark, sf_dir):
     return src.file_sha256(spark, src.file_catalog(spark, sf_dir)).select("name", "length", "sha256")
 
 
-@query("export_csv")
+@query("export_csv", """
+SELECT CAST(n_nationkey AS STRING) AS n_nationkey, n_name, CAST(n_regionkey AS STRING) AS n_regionkey,
+  (SELECT count(*) FROM nation) AS exported
+FROM nation
+""")
 def q_export_csv(spark, sf_dir):
     nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
     target = scratch_dir(spark, "export")
     n = sinks.export_csv(nation, target)
-    return spark.read.option("header", True).csv(target).withColumn("exported", F.lit(n))
+    return spark.read.option("header", True).csv(target).withColumn("exported", F.lit(n).cast("long"))
