@@ -2,7 +2,7 @@
 
 from urllib.parse import parse_qs, urlencode, urlparse, urlunparse
 
-from pyspark.sql import functions as F
+
 
 from lakeshore.functions.urls import normalize_url, url_hash
 from lakeshore.operators import links as lk
