@@ -60,3 +60,29 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh, never reused folder below the shared checkpoint folder."""
     root = checkpoint_root(spark).rstrip("/")
     return f"{root}/lakeshore/{purpose}-{uuid.uuid4().hex}"
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``lakeshore`` importable in the Python workers of this
+    application: zip the package once and hand it to ``addPyFile`` (Spark
+    distributes it to every executor, as for any job dependency).  Functions
+    given to ``mapInPandas`` are pickled by reference and need it there."""
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    import zipfile
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out_dir = tempfile.mkdtemp(prefix="lakeshore-pkg-")
+    path = os.path.join(out_dir, "lakeshore.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(path)
+    _SHIPPED.add(app)
