@@ -76,18 +76,18 @@ def first_path_part(path: Column) -> Column:
 
 
 def rows_per_file(df: DataFrame, max_file_bytes: int = MAX_FILE_BYTES) -> int | None:
-    """Records per output file so that a file stays under ``max_file_bytes``,
-    from the measured on-disk bytes per row of the input files (parquet
-    footers give the row counts without a data scan)."""
-    spark = df.sparkSession
+    """Records per output file so that a file stays under ``max_file_bytes``:
+    on-disk bytes per row of the input files, taken from their sizes and the
+    row counts in their parquet footers (read inside tasks; no data pass)."""
+    from lakeshore.sources.files import file_row_stats
     files = df.inputFiles()
     if not files:
         return None
-    stats = (spark.read.format("binaryFile").load(files).select(F.sum("length").alias("b")).first())
-    rows = df.count()
-    if not rows or not stats or not stats["b"]:
+    stats = file_row_stats(df.sparkSession, files)
+    if not stats or not stats[0] or not stats[1]:
         return None
-    return max(1, int(max_file_bytes / (stats["b"] / rows)))
+    rows, size = stats
+    return max(1, int(max_file_bytes / (size / rows)))
 
 
 @dataclass

@@ -211,6 +211,14 @@ def _footer_rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"path": pdf["path"], "rows": pd.array(rows, dtype="Int64")})
 
 
+def file_row_stats(spark: SparkSession, paths: list[str]) -> tuple[int, int] | None:
+    """(rows, bytes) over parquet files, from footers and listing sizes."""
+    cat = spark.read.format("binaryFile").load(paths).select(local_path(F.col("path")).alias("path"), "length")
+    counted = cat.select("path").mapInPandas(_footer_rows, "path string, rows long").join(cat, "path")
+    r = counted.where(F.col("rows").isNotNull()).agg(F.sum("rows").alias("rows"), F.sum("length").alias("b")).first()
+    return (int(r["rows"]), int(r["b"])) if r and r["rows"] else None
+
+
 def row_counts(spark: SparkSession, catalog: DataFrame) -> DataFrame:
     """Rows per file; unknown formats count 0, unreadable files null.
     Parquet counts come from each file's footer, read inside the tasks that

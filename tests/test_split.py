@@ -45,3 +45,12 @@ def test_control_sum_zero_levels(spark):
     got = {r.dataset_checksum: (r.control_sum, r.row_count) for r in sp.control_sum(df).collect()}
     assert got == {"A": (0.0, 2), "B": (0.0, 2)}
     assert sp.bad_code_counts(df).first()["mos_code"] == 1
+
+
+def test_byte_budget_sets_the_cap(spark, sf):
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    cap = sp.rows_per_file(li, 16 * 1024)
+    assert cap and cap < li.count()
+    res = sp.split_by_columns(li, scratch_dir(spark, "t-bytes"), ["l_returnflag"], max_file_bytes=16 * 1024)
+    assert res.manifest.agg(F.max("rows")).first()[0] <= cap
+    assert res.total_rows == li.count() and res.dropped_rows == 0
