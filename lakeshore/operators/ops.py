@@ -45,18 +45,17 @@ def request_stats(requests: DataFrame) -> DataFrame:
 def apps_report(stats: DataFrame, process_rss_mb: float) -> DataFrame:
     """Per app current, peak, requests, average delta per request (0
     without requests), share of the process RSS; plus the tracked total and
-    the untracked rest on every row; ordered by peak."""
+    the untracked rest on every row; ordered by peak.  The total is one
+    scalar aggregate (a single number to the driver), used as a literal."""
     avg = F.when(F.col("requests") > 0, F.col("total_delta_mb") / F.col("requests")).otherwise(F.lit(0.0))
     pct = (F.col("current_rss_mb") / F.lit(process_rss_mb) * 100) if process_rss_mb > 0 else F.lit(0.0)
-    tracked = F.sum("current_rss_mb").over(Window.partitionBy(F.lit(1)))
-    out = stats.select(
+    tracked = stats.agg(F.sum("current_rss_mb")).first()[0] or 0.0
+    out = stats.withColumn("_tracked", F.lit(float(tracked))).select(
         "app_name", "current_rss_mb", "peak_rss_mb", "requests",
-        round_half_up(avg, 3).alias("avg_delta_per_request_mb"), round_half_up(pct, 2).alias("percent_of_total"))
-    # The window over all apps holds one row per app (a few dozen), not requests.
-    out = out.withColumn("_tracked", tracked)
-    return (out.withColumn("total_tracked_mb", round_half_up(F.col("_tracked"), 2))
-            .withColumn("untracked_mb", round_half_up(F.greatest(F.lit(0.0), F.lit(process_rss_mb) - F.col("_tracked")), 2))
-            .drop("_tracked").orderBy(F.col("peak_rss_mb").desc(), "app_name"))
+        round_half_up(avg, 3).alias("avg_delta_per_request_mb"), round_half_up(pct, 2).alias("percent_of_total"),
+        round_half_up(F.col("_tracked"), 2).alias("total_tracked_mb"),
+        round_half_up(F.greatest(F.lit(0.0), F.lit(process_rss_mb) - F.col("_tracked")), 2).alias("untracked_mb"))
+    return out.orderBy(F.col("peak_rss_mb").desc(), "app_name")
 
 
 def snapshots(requests: DataFrame, interval_sec: int = SNAPSHOT_INTERVAL_SEC) -> DataFrame:
