@@ -17,3 +17,14 @@ def spread_for_cpu(df: DataFrame) -> DataFrame:
     if df.rdd.getNumPartitions() < cores:
         return df.repartition(cores)
     return df
+
+
+# Rows up to which a join side is broadcast after it has been counted.
+BROADCAST_ROWS = 2_000_000
+
+
+def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast ``df`` only when its counted size is within ``max_rows``;
+    beyond that the join shuffles both sides as usual."""
+    from pyspark.sql import functions as F
+    return F.broadcast(df) if df.count() <= max_rows else df

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeshore.functions.core import alert_message, ram_level, ram_threshold, round_half_up
+from lakeshore.operators.common import maybe_broadcast
 
 # Alert thresholds (MiB), snapshot interval (s), history (days),
 # heavy request threshold (MiB), preview cap (rows).
@@ -185,6 +186,6 @@ def longest_prefix(paths: DataFrame, prefixes: DataFrame, path_col: str = "path"
     cuts = (paths.select(key, path_col, F.explode(F.array(*[F.lit(n) for n in lengths])).alias("_len"))
             .where(F.length(path_col) >= F.col("_len"))
             .select(key, "_len", F.col(path_col).substr(F.lit(1), F.col("_len")).alias("prefix")))
-    hits = cuts.join(F.broadcast(prefixes.select("prefix", "app")), "prefix")
+    hits = cuts.join(maybe_broadcast(prefixes.select("prefix", "app")), "prefix")
     best = hits.groupBy(key).agg(F.max_by("app", F.col("_len")).alias("app"))
     return paths.join(best, key, "left").withColumn("app", F.coalesce("app", F.lit("unknown")))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeshore.operators.catalog import folder_check
-from lakeshore.operators.similarity import maybe_broadcast
+from lakeshore.operators.common import maybe_broadcast
 
 # Broadcast the service table only when it is at most this many rows.
 SERVICE_BROADCAST_ROWS = 1_000_000

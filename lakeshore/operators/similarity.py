@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeshore.operators.common import spread_for_cpu
+from lakeshore.operators.common import maybe_broadcast, spread_for_cpu
 from lakeshore.session import checkpoint_root
 
 # Token pattern (letters, digits, underscore; Unicode) and the
@@ -31,8 +31,6 @@ from lakeshore.session import checkpoint_root
 TOKEN_RE = r"[\p{L}\p{N}_]+"
 WORD_RE = r"[\p{L}\p{N}]+"
 TRIGRAM_MIN = 0.1
-# Query-side exploded rows up to which the query side is broadcast.
-BROADCAST_ROWS = 2_000_000
 # Geometric width of the length buckets used by the sequence band join.
 LEN_BUCKET_BASE = 1.25
 
@@ -61,12 +59,6 @@ def percentage(score: Column) -> Column:
     return F.floor(score * 10000 + 0.5) / 100
 
 
-def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when its counted size is under ``max_rows``."""
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def top_k(scores: DataFrame, k: int | None, qcol: str = "qid", dcol: str = "id") -> DataFrame:
     """Rank per query by score desc, id asc; keep k (Spark plans a
     WindowGroupLimit, so each task keeps at most k rows per query)."""
@@ -140,7 +132,7 @@ def cosine_scores(queries: DataFrame, corpus: DataFrame, qid: str = "qid", qtext
     dn = dtf.groupBy("id").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("dn"))
     dots = (dtf.withColumnRenamed("tf", "dtf").join(maybe_broadcast(qtf.withColumnRenamed("tf", "qtf")), "_tok")
             .groupBy("qid", "id").agg(F.sum(F.col("qtf") * F.col("dtf")).alias("dot")))
-    return (dots.join(F.broadcast(qn), "qid").join(dn, "id")
+    return (dots.join(maybe_broadcast(qn), "qid").join(dn, "id")
             .select("qid", "id", (F.col("dot") / (F.col("qn") * F.col("dn"))).alias("score")))
 
 

@@ -16,6 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lakeshore.operators.common import maybe_broadcast
+
 # Default cap on one output file, in bytes (120 MiB).
 MAX_FILE_BYTES = 120 * 1024 * 1024
 
@@ -65,7 +67,7 @@ def allowed_entities(tasks: DataFrame, entities: DataFrame, entity_col: str = "e
     """Split tasks into those whose entity is configured and the rest.
     ``entities`` is the per-source config (one row per entity, a few hundred
     at most), so the semi/anti joins broadcast it."""
-    cfg = F.broadcast(entities.select(F.col(entity_col).alias("_entity")).distinct())
+    cfg = maybe_broadcast(entities.select(F.col(entity_col).alias("_entity")).distinct())
     cond = F.col(entity_col) == F.col("_entity")
     return tasks.join(cfg, cond, "left_semi"), tasks.join(cfg, cond, "left_anti")
 

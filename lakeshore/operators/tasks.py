@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeshore.operators.common import spread_for_cpu
+from lakeshore.operators.common import maybe_broadcast, spread_for_cpu
 
 TASK_SCHEMA = ("task_id string, urls array<string>, url string, dest_path string, relative_path string, "
                "entity string, updated_at string, period string, split_columns string, split_column string")
@@ -74,7 +74,7 @@ def resolve_split_columns(tasks: DataFrame, config: DataFrame, value_col: str =
     single = F.coalesce(F.when(F.schema_of_variant(F.try_variant_get(v, "$.split_columns", "variant")) == "STRING",
                                F.try_variant_get(v, "$.split_columns", "string")),
                         F.try_variant_get(v, "$.split_column", "string"))
-    cfg = F.broadcast(config.select(F.col("entity").alias("_cfg_entity"), F.col("split_columns").alias("_cfg_cols")))
+    cfg = maybe_broadcast(config.select(F.col("entity").alias("_cfg_entity"), F.col("split_columns").alias("_cfg_cols")))
     j = tasks.join(cfg, F.col("entity") == F.col("_cfg_entity"), "left")
     cols = (F.when(as_list.isNotNull() & (F.size(as_list) > 0), strings)
             .when(single.isNotNull() & (single != ""), F.array(single))
