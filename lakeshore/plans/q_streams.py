@@ -14,7 +14,6 @@ from lakeshore.plans.q_tasks import _NORM as _TASK_NORM
 from lakeshore.plans.registry import ORACLES, query
 from lakeshore.plans.views import view, with_views
 from lakeshore.session import scratch_dir
-from lakeshore.sources import sinks
 from lakeshore.streaming import jobs
 
 
@@ -84,7 +83,7 @@ def q_exactly_once_effect(spark, sf_dir):
     table, ck = scratch_dir(spark, "table"), scratch_dir(spark, "ck")
     for _ in range(2):
         jobs.upsert_stream(jobs.read_records(spark, path=src, max_files_per_trigger=1), table, ck)
-    return sinks.read_current(spark, table).select(F.col("key").cast("bigint").alias("key"), "value")
+    return jobs.read_latest(spark, table, ["key"]).select(F.col("key").cast("bigint").alias("key"), "value")
 
 
 @query("link_stream", with_views(["link_candidates", "links_existing"], """
@@ -94,8 +93,9 @@ def q_link_stream(spark, sf_dir):
     src = _records(spark, sf_dir, "link_candidates", "id", "url", "links", 1, offset="id")
     history, published, ck = scratch_dir(spark, "links"), scratch_dir(spark, "pub"), scratch_dir(spark, "ck")
     existing = view(spark, sf_dir, "links_existing")
-    sinks.write_version(existing.select(F.col("id").cast("long"), F.col("url_normalized").alias("url"), "url_normalized",
-                                        F.sha2("url_normalized", 256).alias("url_hash")), history)
+    # The links known before the stream starts, as history batch -1.
+    existing.select(F.col("id").cast("long"), F.col("url_normalized").alias("url"), "url_normalized",
+                    F.sha2("url_normalized", 256).alias("url_hash")).write.parquet(f"{history}/batch_id=-1")
     jobs.link_stream(jobs.read_records(spark, path=src), history, published, ck)
     return spark.read.parquet(published).select("id", "url", "url_normalized", "url_hash")
 
@@ -111,7 +111,7 @@ def q_running_app_stats(spark, sf_dir):
 def q_snapshots_stream(spark, sf_dir):
     table, ck = scratch_dir(spark, "snap"), scratch_dir(spark, "ck")
     jobs.snapshot_stream(_requests_stream(spark, sf_dir), table, ck)
-    return jobs.with_running_peak(sinks.read_current(spark, table))
+    return jobs.with_running_peak(jobs.read_latest(spark, table, ["app_name", "captured_at"]))
 
 
 @query("alert_stream", with_views(["events_mon"], _ALERTS_SQL))
