@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 
 from lakeshore.operators import links as lk
 from lakeshore.operators import ops
-from lakeshore.operators import registry as reg
 from lakeshore.operators import tasks as tk
 from lakeshore.sources import sinks
 
