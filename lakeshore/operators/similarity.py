@@ -18,6 +18,7 @@ upper bound of the ratio) prunes the rest before any exact comparison.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -174,7 +175,7 @@ def _bucket(length: Column) -> Column:
 
 
 def sequence_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, qid: str = "qid", qtext: str = "text",
-                  did: str = "id", dtext: str = "text") -> DataFrame:
+                  did: str = "id", dtext: str = "text", seed_lists: list[DataFrame] | None = None) -> DataFrame:
     """T5: exact top k by ``SequenceMatcher(None, query, text).ratio()``.
 
     1. Seeds: the best Jaccard and trigram pairs (exact ratio computed).
@@ -188,9 +189,10 @@ def sequence_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, qid: str =
     """
     q = queries.select(F.col(qid).alias("qid"), F.col(qtext).alias("qt"), F.length(qtext).alias("la"))
     d = corpus.select(F.col(did).alias("id"), F.col(dtext).alias("dt"), F.length(dtext).alias("lb"))
-    seeds = (jaccard_topk(queries, corpus, k, qid, qtext, did, dtext).select("qid", "id")
-             .unionByName(trigram_topk(queries, corpus, k, qid, qtext, did, dtext).select("qid", "id"))
-             .distinct())
+    if seed_lists is None:
+        seed_lists = [jaccard_topk(queries, corpus, k, qid, qtext, did, dtext),
+                      trigram_topk(queries, corpus, k, qid, qtext, did, dtext)]
+    seeds = reduce(DataFrame.unionByName, [x.select("qid", "id") for x in seed_lists]).distinct()
     # The seed scores feed both the bound and the result: cut the lineage
     # once (a reliable checkpoint in the shared checkpoint folder) so the
     # UDF runs once.  At most 2k rows per query.
@@ -219,14 +221,16 @@ def sequence_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, qid: str =
 
 
 def similarity_report(queries: DataFrame, corpus: DataFrame, k: int = 5, **cols) -> DataFrame:
-    """The four lists together, one ``method`` column."""
+    """The four lists together, one ``method`` column.  The Jaccard and
+    trigram lists (k rows per query) are cut from their lineage once and
+    serve both as results and as the sequence seeds."""
+    checkpoint_root(queries.sparkSession)
+    jac = jaccard_topk(queries, corpus, k, **cols).checkpoint()
+    tri = trigram_topk(queries, corpus, k, **cols).checkpoint()
     parts = [
-        jaccard_topk(queries, corpus, k, **cols).withColumn("method", F.lit("jaccard")),
+        jac.withColumn("method", F.lit("jaccard")),
         cosine_topk(queries, corpus, k, **cols).withColumn("method", F.lit("cosine")),
-        trigram_topk(queries, corpus, k, **cols).withColumn("method", F.lit("pg_trgm")),
-        sequence_topk(queries, corpus, k, **cols).withColumn("method", F.lit("sequence")),
+        tri.withColumn("method", F.lit("pg_trgm")),
+        sequence_topk(queries, corpus, k, seed_lists=[jac, tri], **cols).withColumn("method", F.lit("sequence")),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(DataFrame.unionByName, parts)
