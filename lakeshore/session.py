@@ -67,22 +67,33 @@ _SHIPPED: set[str] = set()
 
 def ship_package(spark: SparkSession) -> None:
     """Make ``lakeshore`` importable in the Python workers of this
-    application: zip the package once and hand it to ``addPyFile`` (Spark
-    distributes it to every executor, as for any job dependency).  Functions
-    given to ``mapInPandas`` are pickled by reference and need it there."""
+    application: zip the package (in memory), write it to the shared
+    checkpoint folder through the Hadoop FileSystem API and hand that path
+    to ``addPyFile`` (Spark distributes it to every executor, as for any job
+    dependency).  Functions given to ``mapInPandas`` are pickled by
+    reference and need the package there."""
     sc = spark.sparkContext
     app = sc.applicationId
     if app in _SHIPPED:
         return
+    import io
     import zipfile
     pkg = os.path.dirname(os.path.abspath(__file__))
-    out_dir = tempfile.mkdtemp(prefix="lakeshore-pkg-")
-    path = os.path.join(out_dir, "lakeshore.zip")
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
         for root, _, files in os.walk(pkg):
-            for f in files:
+            for f in sorted(files):
                 if f.endswith(".py"):
                     full = os.path.join(root, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
-    sc.addPyFile(path)
+    target = f"{checkpoint_root(spark).rstrip('/')}/lakeshore/pkg-{uuid.uuid4().hex}/lakeshore.zip"
+    jvm = sc._jvm
+    path = jvm.org.apache.hadoop.fs.Path(target)
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    out = fs.create(path, True)
+    try:
+        out.write(bytearray(buf.getvalue()))
+    finally:
+        out.close()
+    sc.addPyFile(target)
     _SHIPPED.add(app)
