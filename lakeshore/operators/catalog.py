@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeshore.functions.paths import ancestors
+from lakeshore.functions.paths import ancestors, strip_suffix
 
 DATE_RE = r"^\d{4}-\d{2}-\d{2}$"
 
@@ -133,9 +133,8 @@ def folder_report(checked: DataFrame, dates: DataFrame) -> DataFrame:
 def strip_state_suffix(catalog: DataFrame, ext: str, suffix: str = ".sended") -> DataFrame:
     """H13 on a catalog: the target name of each ``*.ext<suffix>`` file,
     ``renamed`` false when the target already exists."""
-    tail = f".{ext}{suffix}"
-    cands = catalog.where(F.col("path").endswith(tail)).select(
-        "path", F.col("path").substr(F.lit(1), F.length("path") - len(suffix)).alias("target"))
+    target = strip_suffix(F.col("path"), ext, suffix)
+    cands = catalog.select("path", target.alias("target")).where(F.col("target").isNotNull())
     existing = catalog.select(F.col("path").alias("target")).withColumn("_exists", F.lit(True))
     return (cands.join(existing, "target", "left")
             .select("path", "target", F.col("_exists").isNull().alias("renamed")))

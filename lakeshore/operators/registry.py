@@ -1,5 +1,5 @@
 """Dataset registry: upserts, deactivation of files that have gone, JSON
-aggregates, distinct values and per-file row counts.
+aggregates and distinct values.
 
 The reference keeps the registry in PostgreSQL and updates it row by row.
 Here the registry is a table of files; every change is a whole-table
@@ -9,9 +9,7 @@ version so that readers never see a half-written table.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeshore.functions.core import json_long
@@ -113,19 +111,3 @@ def distinct_values(df: DataFrame, fields: list[str]) -> DataFrame:
 def distinct_combinations(df: DataFrame, cols: list[str]) -> DataFrame:
     """SELECT DISTINCT over several columns, nulls kept."""
     return df.select(*cols).distinct()
-
-
-def row_counts_by_file(df: DataFrame) -> DataFrame:
-    """Rows per input file of one relation, from the hidden file metadata."""
-    return df.select(F.col("_metadata.file_path").alias("path")).groupBy("path").agg(
-        F.count(F.lit(1)).alias("rows"))
-
-
-def first_by_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """Keep the first row per key in the given order (window = 1)."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
-
-
-def and_all(conds: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conds, F.lit(True))

@@ -9,7 +9,6 @@ per key and ``maxRecordsPerFile`` caps the file size.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 from functools import reduce
 
@@ -180,7 +179,3 @@ def split_summary(result: SplitResult, max_records: int) -> DataFrame:
         (F.col("largest_part") <= F.lit(max_records)).alias("within_cap"),
         (F.col("parts") >= F.ceil(F.col("rows") / F.lit(max_records))).alias("enough_parts"),
     )
-
-
-def min_parts(rows: int, max_records: int) -> int:
-    return math.ceil(rows / max_records)
