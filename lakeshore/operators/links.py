@@ -18,7 +18,11 @@ from lakeshore.operators.common import spread_for_cpu
 def prepare_urls(candidates: DataFrame, url_col: str = "url") -> DataFrame:
     """(original, normalized, hash) per input row."""
     norm = normalize_url(F.col(url_col))
-    return spread_for_cpu(candidates).withColumn("url_normalized", norm).withColumn("url_hash", url_hash(F.col("url_normalized")))
+    # A non-nullable hash (a null URL gets a marker no SHA-256 hex can equal):
+    # with a nullable one Catalyst infers isnotnull(sha2(<canonical form>))
+    # from the joins and evaluates the whole canonicalisation again at the scan.
+    h = F.coalesce(url_hash(F.col("url_normalized")), F.lit("<null url>"))
+    return spread_for_cpu(candidates).withColumn("url_normalized", norm).withColumn("url_hash", h)
 
 
 def _known(links: DataFrame) -> DataFrame:

@@ -79,7 +79,10 @@ def _explode(arr: Column) -> Column:
 
 def _set_rows(df: DataFrame, key: str, items: Column) -> DataFrame:
     s = spread_for_cpu(df).select(F.col(key).alias("_key"), F.array_distinct(items).alias("_set"))
-    return (s.select("_key", F.size("_set").alias("_n"), _explode(F.col("_set")).alias("_tok"))
+    # A non-nullable size: with a nullable one, Catalyst infers
+    # isnotnull(size(<set expression>)) from the join condition and pushes it
+    # to the scan, evaluating the whole set expression a second time there.
+    return (s.select("_key", F.coalesce(F.size("_set"), F.lit(0)).alias("_n"), _explode(F.col("_set")).alias("_tok"))
             .where(F.col("_tok").isNotNull()))
 
 
