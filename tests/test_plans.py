@@ -36,3 +36,13 @@ def test_filters_pushed_to_scan(spark, sf):
 
 def test_sources_join_broadcasts(spark, sf):
     assert "BroadcastHashJoin" in plan(entry.queries()["sources_with_service"](spark, sf))
+
+
+def test_no_costly_inferred_filters_at_scan(spark, sf):
+    """Nullable join columns once made Catalyst push isnotnull(<whole
+    expression>) to the scan, evaluating trigram sets / canonical URLs twice
+    (the first time in a one-task scan stage)."""
+    tri = plan(entry.queries()["trigram_topk"](spark, sf))
+    assert "Filter isnotnull(size(" not in tri
+    links = plan(entry.queries()["new_links"](spark, sf))
+    assert "isnotnull(sha2(cast(concat(" not in links
