@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeshore.llm import exact_dedup, mixing, packing, simhash, topk_search, toxicity
+from lakeshore.llm import exact_dedup, lm_scoring, mixing, packing, simhash, topk_search, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -102,6 +102,13 @@ def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_products(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
 
+@query("op6_lm_scoring")
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document under a model of four of the five folds."""
+    scored = lm_scoring.score_documents(table(spark, sf_dir, "documents"), lambda id_: fold(id_) != 1)
+    return scored.withColumnRenamed("id", "doc_id")
+
+
 @query("op7_toxicity")
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document, learnt from the other folds."""
