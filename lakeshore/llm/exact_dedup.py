@@ -35,7 +35,7 @@ def frequent_items(df: DataFrame, column: str, k: int = MAX_HOT, tracked: int =
     parts = df.groupBy(F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS)).alias("part")).agg(
         F.expr(f"approx_top_k_accumulate({column}, {tracked})").alias("summary"))
     # Grouped by a constant: an ungrouped merge fails on input partitions without rows.
-    top = parts.groupBy(F.lit(0)).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(summary, {tracked}), {k})").alias("top"))
+    top = parts.groupBy(F.lit("all")).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(summary, {tracked}), {k})").alias("top"))
     return top.select(F.inline("top")).filter("count > 1").select("item")
 
 
