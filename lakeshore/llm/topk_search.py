@@ -15,8 +15,9 @@ integer products.  Queries are cut into blocks of ``QUERIES``; a task holds one
 chunk and one block.
 
 Defined cases: vectors that are null, or hold a null or non-finite component,
-or one whose integer passes 2^62, take no part; vectors meet only vectors of the same
-number of components (the empty vector: product 0); a null id is no query and
+take no part, nor do those so long (2^31 and more, as integers) that a product
+would not fit a long; vectors meet only vectors of the same number of
+components (the empty vector: product 0); a null id is no query and
 comes last in ties; rows that repeat an id are queries and candidates of their
 own; an empty table gives an empty result; other columns are ignored.
 """
@@ -139,7 +140,8 @@ def top_products(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", v
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), vec.alias("vec")).filter("vec is not null")
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
     rows = materialise(rows.select("id", "vec", F.size("vec").alias("dim"), norm.alias("norm"),
-                                   F.monotonically_increasing_id().alias("rid")), "vectors")
+                                   F.monotonically_increasing_id().alias("rid")).filter(
+        F.col("norm") < 2.0 ** 31), "vectors")
     bucket = F.when(F.col("norm") > 0, F.floor(F.log("norm") / F.log(F.lit(GROWTH)))).otherwise(-100_000).cast("long")
     rows = rows.withColumn("bucket", bucket)
     # One row per (dimension, power of GROWTH): a bounded table of metadata.
