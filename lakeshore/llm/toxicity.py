@@ -46,8 +46,8 @@ EXAMPLES = 2000
 CANDIDATES = 8192
 TERMS = 1024
 #: A vocabulary term occurs in so many texts of label 1, and so many times as often as under label 0.
-SUPPORT = 3
-RATIO = 20
+SUPPORT = 5
+RATIO = 50
 PREFIXES = (4, 5, 6)
 BLOCK = 64
 NEIGHBOURS = 15
