@@ -49,8 +49,9 @@ def words(text: Column) -> Column:
 
 def shingle_hashes(words_: Column, size: int = SHINGLE) -> Column:
     """Hashes of all shingles in order; empty for fewer words."""
-    every = F.transform(F.sequence(F.lit(1), F.size(words_) - size + 1),
-                        lambda i: F.xxhash64(F.concat_ws(" ", F.slice(words_, i, size))))
+    # Single items, not slices: a slice inside a lambda copies the whole array.
+    every = F.transform(F.sequence(F.lit(0), F.size(words_) - size),
+                        lambda i: F.xxhash64(*[F.get(words_, i + k) for k in range(size)]))
     return F.when(F.size(words_) >= size, every).otherwise(F.array().cast("array<bigint>"))
 
 
@@ -101,9 +102,12 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
         mine = [t for t in table if t["class"] == c]
         some = F.lit(sorted({h for t in mine for h in t["shingles"]}))
         number = bands(c, min(len(t["shingles"]) for t in mine), containment)
-        last = F.greatest(F.floor((F.size("shingles") - 1) / c), F.lit(0)).cast("int")
-        windows = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(
-            (i * c).alias("first"), F.slice("shingles", i * c + 1, 2 * c - SHINGLE + 1).alias("inside")))
+        # Windows that hold a template shingle, from the places of these.
+        places = F.filter(F.transform("shingles", lambda h, i: F.when(F.array_contains(some, h), F.floor(i / c))),
+                          lambda i: i.isNotNull())
+        numbers = F.array_distinct(F.flatten(F.transform(places, lambda i: F.array(i, F.greatest(i - 1, F.lit(0))))))
+        windows = F.transform(numbers, lambda i: F.struct((i * c).cast("int").alias("first"), F.slice(
+            "shingles", (i * c + 1).cast("int"), 2 * c - SHINGLE + 1).alias("inside")))
         windows = F.filter(windows, lambda w: F.arrays_overlap(w["inside"], some))
         windows = F.transform(windows, lambda w: F.struct(w["first"].alias("first"), w["inside"].alias("inside"), F.transform(
             F.sequence(F.lit(1), F.lit(number)), lambda k: F.struct(
