@@ -113,7 +113,8 @@ def folder_check(expected: DataFrame, catalog: DataFrame, root: str, folder_col:
 
 
 def folder_report(checked: DataFrame, dates: DataFrame) -> DataFrame:
-    """One summary row: counts, success flag and the message text."""
+    """One summary row: counts, success flag and the message text; an
+    empty request is an error."""
     found_dates = checked.join(dates, "folder", "left")
     agg = found_dates.agg(
         F.count_if(F.col("status") == "missing").alias("missing"),
@@ -126,8 +127,8 @@ def folder_report(checked: DataFrame, dates: DataFrame) -> DataFrame:
         F.when(F.col("empty") > 0, F.format_string("empty: %d", F.col("empty"))),
         F.when(F.col("found") > 0, F.format_string("with files: %d", F.col("found"))))
     msg = F.array_join(F.filter(parts, lambda x: x.isNotNull()), " | ")
-    return agg.select("*", ((F.col("missing") == 0) & (F.col("empty") == 0)).alias("success"),
-                      F.when(msg == "", F.lit("no data")).otherwise(msg).alias("message"))
+    return agg.select("*", ((F.col("total_checked") > 0) & (F.col("missing") == 0) & (F.col("empty") == 0)).alias("success"),
+                      F.when(F.col("total_checked") == 0, F.lit("no folders requested")).when(msg == "", F.lit("no data")).otherwise(msg).alias("message"))
 
 
 def strip_state_suffix(catalog: DataFrame, ext: str, suffix: str = ".sended") -> DataFrame:

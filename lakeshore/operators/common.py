@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def spread_for_cpu(df: DataFrame) -> DataFrame:
@@ -19,12 +20,6 @@ def spread_for_cpu(df: DataFrame) -> DataFrame:
     return df
 
 
-# Rows up to which a join side is broadcast after it has been counted.
-BROADCAST_ROWS = 2_000_000
-
-
-def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when its counted size is within ``max_rows``;
-    beyond that the join shuffles both sides as usual."""
-    from pyspark.sql import functions as F
-    return F.broadcast(df) if df.count() <= max_rows else df
+def exact_sum(c: Column) -> Column:
+    """Sum of doubles through DECIMAL: independent of the partition order."""
+    return F.sum(c.cast("decimal(38,9)")).cast("double")

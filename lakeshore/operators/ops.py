@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeshore.functions.core import alert_message, ram_level, ram_threshold, round_half_up
-from lakeshore.operators.common import maybe_broadcast
+from lakeshore.operators.common import exact_sum
 
 # Alert thresholds (MiB), snapshot interval (s), history (days),
 # heavy request threshold (MiB), preview cap (rows).
@@ -29,10 +29,6 @@ PREVIEW_MAX_ROWS = 1000
 FILTER_COLUMN_RE = r"^[a-zA-Zа-яА-ЯёЁ0-9_\-\. \(\)\[\]]+$"
 
 
-def exact_sum(c: Column) -> Column:
-    return F.sum(c.cast("decimal(38,9)")).cast("double")
-
-
 def request_stats(requests: DataFrame) -> DataFrame:
     """Per app: peak of before/after RSS, number of requests, sum of
     positive deltas, and the RSS at the start of the latest request."""
@@ -160,11 +156,11 @@ def contains_filters(df: DataFrame, filters: dict[str, str]) -> DataFrame:
 
 
 def preview(df: DataFrame, filters: dict[str, str], page_no: int, page_size: int, order: list[str],
-            max_rows: int = PREVIEW_MAX_ROWS) -> tuple[DataFrame, dict]:
-    """B2: filtered rows of one page plus meta.  The total is counted on
-    ``limit(max_rows)``, so counting stops at the cap."""
+            max_rows: int | None = None) -> tuple[DataFrame, dict]:
+    """B2: filtered rows of one page plus meta.  With ``max_rows`` (a caller's
+    cap, ``PREVIEW_MAX_ROWS`` for the web preview) counting stops at the cap."""
     f = contains_filters(df, filters)
-    total = f.limit(max_rows).count()
+    total = (f if max_rows is None else f.limit(max_rows)).count()
     offset = (page_no - 1) * page_size
     meta = {"total_rows": total, "page": page_no, "page_size": page_size,
             "has_next": offset + page_size < total, "total_pages": max(1, math.ceil(total / page_size))}
@@ -186,6 +182,6 @@ def longest_prefix(paths: DataFrame, prefixes: DataFrame, path_col: str = "path"
     cuts = (paths.select(key, path_col, F.explode(F.array(*[F.lit(n) for n in lengths])).alias("_len"))
             .where(F.length(path_col) >= F.col("_len"))
             .select(key, "_len", F.col(path_col).substr(F.lit(1), F.col("_len")).alias("prefix")))
-    hits = cuts.join(maybe_broadcast(prefixes.select("prefix", "app")), "prefix")
+    hits = cuts.join(prefixes.select("prefix", "app"), "prefix")
     best = hits.groupBy(key).agg(F.max_by("app", F.col("_len")).alias("app"))
     return paths.join(best, key, "left").withColumn("app", F.coalesce("app", F.lit("unknown")))

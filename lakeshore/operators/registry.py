@@ -41,10 +41,16 @@ def upsert(existing: DataFrame, updates: DataFrame, keys: list[str], order_col:
     return out.select(*[F.col(c) if c in keys or c in keep_cols else F.col("_win")[c].alias(c) for c in cols])
 
 
-def insert_ignore(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """INSERT ... ON CONFLICT DO NOTHING; returns the rows inserted
-    (first occurrence per key among the new rows, keys absent before)."""
-    return new.dropDuplicates([key]).join(existing.select(key), key, "left_anti")
+def insert_ignore(existing: DataFrame, new: DataFrame, key: str, order_col: str | None = None) -> DataFrame:
+    """INSERT ... ON CONFLICT DO NOTHING; returns the rows inserted: per
+    key absent before, the row with the smallest ``order_col`` (without one,
+    the smallest row by its columns from left to right)."""
+    row = F.struct(*new.columns)
+    first = F.min_by(row, F.col(order_col)) if order_col else F.min(row)
+    firsts = new.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(first.alias("_r"))
+    fresh = firsts.join(existing.select(F.col(key).alias("_key")), "_key", "left_anti").select("_r.*")
+    nulls = new.where(F.col(key).isNull())      # NULL conflicts with nothing
+    return fresh.unionByName(nulls)
 
 
 def active_only(registry: DataFrame, name: str | None = None) -> DataFrame:
@@ -56,9 +62,10 @@ def active_only(registry: DataFrame, name: str | None = None) -> DataFrame:
 
 
 def aggregate_by_name(registry: DataFrame, name: str | None = None, skip: int = 0,
-                      limit: int | None = 100) -> DataFrame:
+                      limit: int | None = None) -> DataFrame:
     """Sums of ``file_size`` and ``row_count`` from the JSON document per
-    name and period (null counts as 0), ordered and paged."""
+    name and period (null counts as 0), ordered; a page of ``limit`` groups
+    only when the caller asks for one."""
     base = active_only(registry, name).select(
         "name", "period", json_long("validation", "file_size").alias("size"),
         json_long("validation", "row_count").alias("rows"))

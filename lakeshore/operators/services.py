@@ -6,10 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeshore.operators.catalog import folder_check
-from lakeshore.operators.common import maybe_broadcast
-
-# Broadcast the service table only when it is at most this many rows.
-SERVICE_BROADCAST_ROWS = 1_000_000
 
 
 def sources_with_service(sources: DataFrame, services: DataFrame, name: str | None = None) -> DataFrame:
@@ -18,7 +14,7 @@ def sources_with_service(sources: DataFrame, services: DataFrame, name: str | No
     svc = services.select(F.col("id").alias("service_id"), F.col("name").alias("service_name"))
     if name is not None:
         svc = svc.where(F.col("service_name") == name)
-    j = sources.join(maybe_broadcast(svc, SERVICE_BROADCAST_ROWS), "service_id")
+    j = sources.join(svc, "service_id")
     return j.orderBy("service_name", "name", "id")
 
 
@@ -45,7 +41,7 @@ def group_files(groups: DataFrame, files: DataFrame) -> DataFrame:
 def check_service(services: DataFrame, sources: DataFrame, catalog: DataFrame, root: str, name: str) -> DataFrame:
     """Active service by trimmed lower-case name -> its active sources by
     name -> C8 over the catalog.  Unknown service: one error row; a service
-    without sources: a zero-count row."""
+    without sources: a zero-count row with status ``no sources``."""
     spark = services.sparkSession
     svc = services.where(F.col("is_active") & (F.lower(F.trim("name")) == name.strip().lower()))
     srcs = sources.where(F.col("is_active")).join(svc.select(F.col("id").alias("service_id")), "service_id")
@@ -59,5 +55,6 @@ def check_service(services: DataFrame, sources: DataFrame, catalog: DataFrame, r
         return spark.createDataFrame([(name.strip().lower(), "error", 0, 0, 0, 0)],
                                      "service string, status string, total_checked long, found long, missing long, empty long")
     return summary.select(F.lit(name.strip().lower()).alias("service"),
-                          F.when((F.col("missing") == 0) & (F.col("empty") == 0), F.lit("ok")).otherwise(F.lit("incomplete"))
+                          F.when(F.col("total_checked") == 0, F.lit("no sources"))
+                          .when((F.col("missing") == 0) & (F.col("empty") == 0), F.lit("ok")).otherwise(F.lit("incomplete"))
                           .alias("status"), "total_checked", "found", "missing", "empty")

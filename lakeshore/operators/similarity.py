@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeshore.operators.common import maybe_broadcast, spread_for_cpu
+from lakeshore.operators.common import spread_for_cpu
 from lakeshore.session import checkpoint_root
 
 # Token pattern (letters, digits, underscore; Unicode) and the
@@ -103,7 +103,7 @@ def set_similarity(queries: DataFrame, corpus: DataFrame, q_items: Column, d_ite
         cond = cond & ((1 + m) * F.least("na", "nb") > m * (F.col("na") + F.col("nb")))
     # na / nb depend on qid / id alone: grouping by them too leaves a single
     # counter as the aggregation buffer.
-    pairs = d.join(maybe_broadcast(q), cond).groupBy("qid", "id", "na", "nb").agg(F.count(F.lit(1)).alias("inter"))
+    pairs = d.join(q, cond).groupBy("qid", "id", "na", "nb").agg(F.count(F.lit(1)).alias("inter"))
     return pairs.select("qid", "id", (F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))).alias("score"))
 
 
@@ -134,9 +134,9 @@ def cosine_scores(queries: DataFrame, corpus: DataFrame, qid: str = "qid", qtext
     dtf = _tf(corpus, did, dtext, "id")
     qn = qtf.groupBy("qid").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("qn"))
     dn = dtf.groupBy("id").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("dn"))
-    dots = (dtf.withColumnRenamed("tf", "dtf").join(maybe_broadcast(qtf.withColumnRenamed("tf", "qtf")), "_tok")
+    dots = (dtf.withColumnRenamed("tf", "dtf").join(qtf.withColumnRenamed("tf", "qtf"), "_tok")
             .groupBy("qid", "id").agg(F.sum(F.col("qtf") * F.col("dtf")).alias("dot")))
-    return (dots.join(maybe_broadcast(qn), "qid").join(dn, "id")
+    return (dots.join(qn, "qid").join(dn, "id")
             .select("qid", "id", (F.col("dot") / (F.col("qn") * F.col("dn"))).alias("score")))
 
 

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakeshore.operators.common import maybe_broadcast
+from lakeshore.operators.common import exact_sum
 
 # Default cap on one output file, in bytes (120 MiB).
 MAX_FILE_BYTES = 120 * 1024 * 1024
@@ -39,7 +39,7 @@ def control_sum(df: DataFrame, key: str = "dataset_checksum", base_level: int =
 
     Codes that the trade feed declares as strings are compared as numbers
     with ``try_cast`` so that a malformed code drops the row instead of
-    failing the job (``bad_codes`` counts them).
+    failing the job; ``bad_code_counts`` reports those rows per key.
     """
     mos = F.expr("try_cast(mos_code AS BIGINT)")
     mot = F.expr("try_cast(mot_code AS BIGINT)")
@@ -47,7 +47,7 @@ def control_sum(df: DataFrame, key: str = "dataset_checksum", base_level: int =
             & (F.col("partner2_code") == 0) & (F.col("partner_code") != 0))
     level = F.col("aggr_level")
     value = F.col("primary_value")
-    aggs = [F.sum(F.when(level == lv, value)).alias(f"_s{lv}") for lv in (base_level, *levels)]
+    aggs = [exact_sum(F.when(level == lv, value)).alias(f"_s{lv}") for lv in (base_level, *levels)]
     sums = df.where(keep).groupBy(key).agg(*aggs, F.count(F.lit(1)).alias("row_count"))
     base = F.coalesce(F.col(f"_s{base_level}"), F.lit(0.0))
     terms = [F.coalesce(F.abs(F.lit(1) - base / F.nullif(F.coalesce(F.col(f"_s{lv}"), F.lit(0.0)), F.lit(0.0))),
@@ -56,17 +56,17 @@ def control_sum(df: DataFrame, key: str = "dataset_checksum", base_level: int =
     return sums.select(key, F.round(total, digits).alias("control_sum"), "row_count")
 
 
-def bad_code_counts(df: DataFrame, cols=("mos_code", "mot_code")) -> DataFrame:
-    """Rows whose string code does not parse as a number, per column."""
-    return df.select(*[F.count_if(F.col(c).isNotNull() & F.expr(f"try_cast({c} AS BIGINT)").isNull()).alias(c)
-                       for c in cols])
+def bad_code_counts(df: DataFrame, cols=("mos_code", "mot_code"), key: str = "dataset_checksum") -> DataFrame:
+    """Per key, the rows that the control sum leaves out because a string
+    code does not parse as a number (``bad_codes``)."""
+    bad = [F.col(c).isNotNull() & F.expr(f"try_cast({c} AS BIGINT)").isNull() for c in cols]
+    return df.groupBy(key).agg(F.count_if(reduce(lambda a, b: a | b, bad)).alias("bad_codes"))
 
 
 def allowed_entities(tasks: DataFrame, entities: DataFrame, entity_col: str = "entity") -> tuple[DataFrame, DataFrame]:
     """Split tasks into those whose entity is configured and the rest.
-    ``entities`` is the per-source config (one row per entity, a few hundred
-    at most), so the semi/anti joins broadcast it."""
-    cfg = maybe_broadcast(entities.select(F.col(entity_col).alias("_entity")).distinct())
+    ``entities`` is the per-source config, one row per entity."""
+    cfg = entities.select(F.col(entity_col).alias("_entity")).distinct()
     cond = F.col(entity_col) == F.col("_entity")
     return tasks.join(cfg, cond, "left_semi"), tasks.join(cfg, cond, "left_anti")
 
@@ -101,15 +101,16 @@ class SplitResult:
 
 
 def write_split(df: DataFrame, target: str, cols: list[str], max_records: int,
-                compression: str = "zstd") -> None:
+                compression: str = "zstd", folder_only: tuple[str, ...] = ()) -> None:
     """A10: one shuffle by key, then one folder per key with capped files.
 
     Keys are copied to ``_k_*`` columns because ``partitionBy`` removes the
     partition columns from the files; the copies name the folders, the
-    originals stay inside the data.  ``rebalance`` lets AQE split a skewed
+    originals stay inside the data (but for ``folder_only`` ones, which name
+    folders and are not part of the user's rows).  ``rebalance`` lets AQE split a skewed
     key over several writer tasks, so one hot key never lands in one task.
     """
-    keyed = df.select("*", *[F.col(c).alias(KEY_PREFIX + c) for c in cols])
+    keyed = df.select("*", *[F.col(c).alias(KEY_PREFIX + c) for c in cols]).drop(*folder_only)
     (keyed.hint("rebalance", *[KEY_PREFIX + c for c in cols])
      .write.mode("errorifexists")
      .option("compression", compression)
@@ -118,9 +119,11 @@ def write_split(df: DataFrame, target: str, cols: list[str], max_records: int,
      .parquet(target))
 
 
-def read_split(spark: SparkSession, target: str) -> DataFrame:
-    """Read a split folder back; key copies are dropped, data columns kept."""
+def read_split(spark: SparkSession, target: str, folder_only: tuple[str, ...] = ()) -> DataFrame:
+    """Read a split folder back; key copies are dropped, data columns kept,
+    and ``folder_only`` columns are taken from the folder names."""
     df = spark.read.option("basePath", target).parquet(target)
+    df = df.withColumns({c: F.col(KEY_PREFIX + c).cast("string") for c in folder_only})
     return df.drop(*[c for c in df.columns if c.startswith(KEY_PREFIX)])
 
 
@@ -134,14 +137,16 @@ def build_manifest(written: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def number_parts(files: DataFrame, keys: list[str], order_col: str, width: int = 3) -> DataFrame:
-    """Sequential part numbers per key, ordered by ``order_col``."""
+    """Sequential part numbers per key, ordered by ``order_col``: the
+    number (``part_no``) and its text of at least ``width`` digits (``part``)."""
     w = Window.partitionBy(*keys).orderBy(order_col)
-    return files.withColumn("part", F.lpad(F.row_number().over(w).cast("string"), width, "0"))
+    return (files.withColumn("part_no", F.row_number().over(w))
+            .withColumn("part", F.format_string(f"%0{width}d", F.col("part_no"))))
 
 
 def split_by_columns(df: DataFrame, target: str, cols: list[str] | str,
                      max_records: int | None = None,
-                     max_file_bytes: int = MAX_FILE_BYTES) -> SplitResult:
+                     max_file_bytes: int = MAX_FILE_BYTES, folder_only: tuple[str, ...] = ()) -> SplitResult:
     """Drop rows with blank keys, write one group of files per key
     combination, and read the result back for statistics.  Input and kept
     row counts are observed during the write itself (no second scan)."""
@@ -155,13 +160,15 @@ def split_by_columns(df: DataFrame, target: str, cols: list[str] | str,
         raise ValueError(f"split columns not in data: {missing}")
     spark = df.sparkSession
     if max_records is None:
-        max_records = rows_per_file(df, max_file_bytes) or 1_000_000
+        max_records = rows_per_file(df, max_file_bytes)
+        if max_records is None:
+            raise ValueError("bytes per row are unknown for this input (no parquet footers): pass max_records")
     keep = reduce(lambda a, b: a & b, [not_blank(F.col(c)) for c in cols])
     obs = Observation("split")
     observed = df.observe(obs, F.count(F.lit(1)).alias("input"), F.count_if(keep).alias("kept"))
-    write_split(observed.where(keep), target, cols, max_records)
+    write_split(observed.where(keep), target, cols, max_records, folder_only=folder_only)
     counts = obs.get
-    written = read_split(spark, target)
+    written = read_split(spark, target, folder_only)
     manifest = build_manifest(written, cols)
     stats = (manifest.groupBy(*cols)
              .agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("parts"),

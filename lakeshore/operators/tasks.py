@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeshore.operators.common import maybe_broadcast, spread_for_cpu
+from lakeshore.operators.common import spread_for_cpu
 
 TASK_SCHEMA = ("task_id string, urls array<string>, url string, dest_path string, relative_path string, "
                "entity string, updated_at string, period string, split_columns string, split_column string")
@@ -74,7 +74,7 @@ def resolve_split_columns(tasks: DataFrame, config: DataFrame, value_col: str =
     single = F.coalesce(F.when(F.schema_of_variant(F.try_variant_get(v, "$.split_columns", "variant")) == "STRING",
                                F.try_variant_get(v, "$.split_columns", "string")),
                         F.try_variant_get(v, "$.split_column", "string"))
-    cfg = maybe_broadcast(config.select(F.col("entity").alias("_cfg_entity"), F.col("split_columns").alias("_cfg_cols")))
+    cfg = config.select(F.col("entity").alias("_cfg_entity"), F.col("split_columns").alias("_cfg_cols"))
     j = tasks.join(cfg, F.col("entity") == F.col("_cfg_entity"), "left")
     cols = (F.when(as_list.isNotNull() & (F.size(as_list) > 0), strings)
             .when(single.isNotNull() & (single != ""), F.array(single))
@@ -131,7 +131,7 @@ def with_dlq(topics: DataFrame, col: str = "topic") -> DataFrame:
     return t.unionByName(t.select(F.concat("topic", F.lit(".dlq")).alias("topic")))
 
 
-def ingest_report(tasks: DataFrame) -> DataFrame:
+def ingest_report(tasks: DataFrame, source_topic: str = "report") -> DataFrame:
     """The nested report per task: completed when both stages
     completed, failed when either has an error, otherwise partial."""
     dl, pr = F.col("download_status"), F.col("processing_status")
@@ -148,5 +148,5 @@ def ingest_report(tasks: DataFrame) -> DataFrame:
                       F.col("started_at").cast("string").alias("started_at"),
                       F.col("finished_at").cast("string").alias("finished_at"),
                       duration.alias("duration_sec"), F.lit(1).alias("report_version"),
-                      F.lit("ecomru-report").alias("source_topic"))
+                      F.lit(source_topic).alias("source_topic"))
     return tasks.select(report.alias("report"), F.to_json(report).alias("value"))

@@ -136,7 +136,7 @@ def q_download_result(spark, sf_dir):
 _CHANGES = """
 SELECT conv_id AS task_id, turn AS seq, turn AS changed_at,
   CASE role WHEN 'assistant' THEN 'sent' WHEN 'user' THEN 'pending' ELSE 'failed' END AS status,
-  CASE WHEN role <> 'assistant' THEN substr(text, 1, 30) END AS error
+  CASE WHEN role <> 'assistant' THEN text END AS error
 FROM conversations
 """
 

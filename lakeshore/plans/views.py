@@ -256,7 +256,7 @@ SELECT doc_id AS id,
                     WHEN 5 THEN ' secret=0f8fad5b-d9cb-469f-a165-70867728950e '
                     WHEN 6 THEN concat(' client_secret = ', substr(md5(text), 1, 6), ' ')
                     ELSE ' auth=short ' END,
-    substr(text, 201, 300)) AS text
+    substr(text, 201)) AS text
 FROM documents
 """)
 

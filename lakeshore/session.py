@@ -45,7 +45,9 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
-        # Unset (local tests): make one.  On a cluster this is always configured.
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all nodes share")
+        # Unset in a single-process session (local tests): make one.
         root = tempfile.mkdtemp(prefix="lakeshore-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", root)
