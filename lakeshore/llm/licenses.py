@@ -55,6 +55,11 @@ def shingle_hashes(words_: Column, size: int = SHINGLE) -> Column:
     return F.when(F.size(words_) >= size, every).otherwise(F.array().cast("array<bigint>"))
 
 
+def _array(hashes: set[int]) -> Column:
+    """A literal array of longs, parsed at once (one literal each is slow to build)."""
+    return F.expr("array(" + ", ".join(f"bigint('{h}')" for h in sorted(hashes)) + ")")
+
+
 def bands(class_: int, shingles: int, containment: float = CONTAINMENT, miss: float = MISS) -> int:
     """Bands that a class needs for templates of at least ``shingles`` shingles."""
     window = 2 * class_ - SHINGLE + 1
@@ -87,7 +92,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     ``start`` and ``end`` (code points, end exclusive) and ``passage``."""
     spark = docs.sparkSession
     table = template_table(spark, LICENSES if templates is None else templates)
-    every = F.lit(sorted({h for t in table for h in t["shingles"]}))
+    every = _array({h for t in table for h in t["shingles"]})
     text = text_or_empty(F.col(text_col))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.monotonically_increasing_id().alias("rid"))
     # One expression under an outer explode: a filter on the hashes would be
@@ -100,11 +105,13 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     parts = []
     for c in classes:
         mine = [t for t in table if t["class"] == c]
-        some = F.lit(sorted({h for t in mine for h in t["shingles"]}))
+        some = _array({h for t in mine for h in t["shingles"]})
         number = bands(c, min(len(t["shingles"]) for t in mine), containment)
-        # Windows that hold a template shingle, from the places of these.
-        places = F.filter(F.transform("shingles", lambda h, i: F.when(F.array_contains(some, h), F.floor(i / c))),
-                          lambda i: i.isNotNull())
+        # Windows that hold a template shingle, from the places of these.  Each
+        # shingle is looked up among the text's few template shingles only.
+        places = F.get(F.transform(F.array(F.array_intersect("shingles", some)), lambda few: F.filter(
+            F.transform("shingles", lambda h, i: F.when(F.array_contains(few, h), F.floor(i / c))),
+            lambda i: i.isNotNull())), F.lit(0))
         numbers = F.array_distinct(F.flatten(F.transform(places, lambda i: F.array(i, F.greatest(i - 1, F.lit(0))))))
         windows = F.transform(numbers, lambda i: F.struct((i * c).cast("int").alias("first"), F.slice(
             "shingles", (i * c + 1).cast("int"), 2 * c - SHINGLE + 1).alias("inside")))
