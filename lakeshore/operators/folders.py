@@ -1,8 +1,8 @@
 """Folder processing: split + control sums for the folders named by tasks
 (J4, and the verification / process-folder stages S5, S7).
 
-All tasks that share a split-column list are processed by one Spark job:
-their folders are read together, each file is mapped to its task by the
+All tasks that share a split-column list and a schema are processed by one
+Spark job: their folders are read together, each file is mapped to its task by the
 longest folder prefix (an equi join, C7), the split is partitioned by
 (task, keys) and the control sums are grouped by (task, checksum).  The
 task list of a micro-batch is a handful of control rows; it is the data
@@ -14,6 +14,7 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,20 +70,50 @@ def process_folders(spark: SparkSession, tasks: DataFrame, raw_root: str, temp_r
             groups.setdefault(tuple(cols), []).append((r.task_id, folder))
     sums = []
     for cols, members in groups.items():
-        res, sm = _process_group(spark, members, list(cols), raw_root, temp_root, max_records)
-        results.extend(res)
-        if sm is not None:
-            sums.append(sm)
+        # Folders are read together only when their schemas agree, so no
+        # column is lost; a folder that cannot be read fails by itself.
+        by_schema = {}
+        for task_id, folder in members:
+            path = f"{raw_root}/{folder}"
+            if not _has_files(spark, path):
+                results.append(_row(task_id, folder, "empty"))
+                continue
+            try:
+                schema = _read(spark, [path]).schema
+            except AnalysisException as e:
+                results.append(_row(task_id, folder, "error", error=f"unreadable folder: {e.getCondition()}"))
+                continue
+            by_schema.setdefault(schema.json(), []).append((task_id, folder))
+        for same in by_schema.values():
+            res, sm = _process_group(spark, same, list(cols), raw_root, temp_root, max_records)
+            results.extend(res)
+            if sm is not None:
+                sums.append(sm)
     out = spark.createDataFrame(results, RESULT_SCHEMA) if results else spark.createDataFrame([], RESULT_SCHEMA)
     sum_schema = "task_id string, dataset_checksum string, control_sum double, row_count long"
     all_sums = reduce(DataFrame.unionByName, sums) if sums else spark.createDataFrame([], sum_schema)
     return out, all_sums
 
 
+#: Data files of a folder: parquet, also after the transfer has marked it.
+DATA_FILES = "*.{parquet,parquet.sended}"
+
+
+def _has_files(spark, path) -> bool:
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", DATA_FILES).load(path)
+    return not files.select("path").isEmpty()
+
+
+def _read(spark, paths):
+    """The data files below ``paths``; files of one folder may differ in
+    columns, so their schemas are merged."""
+    return (spark.read.option("recursiveFileLookup", "true").option("mergeSchema", "true")
+            .option("pathGlobFilter", DATA_FILES).parquet(*paths))
+
+
 def _process_group(spark, members, cols, raw_root, temp_root, max_records):
     paths = [f"{raw_root}/{f}" for _, f in members]
-    data = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet*").parquet(*paths)
-            .withColumn("_path", _local(F.col("_metadata.file_path"))))
+    data = _read(spark, paths).withColumn("_path", _local(F.col("_metadata.file_path")))
     missing = [c for c in cols if c not in data.columns]
     if missing:
         return [_row(t, f, "error", error=f"split columns not in data: {missing}") for t, f in members], None
@@ -96,10 +127,13 @@ def _process_group(spark, members, cols, raw_root, temp_root, max_records):
     keep = reduce(lambda a, b: a & b, [sp.not_blank(F.col(c)) for c in cols])
     dropped = {r["_task"]: r["n"] for r in tagged.groupBy("_task").agg(F.count_if(~keep).alias("n")).collect()}
     target = f"{temp_root.rstrip('/')}/{uuid.uuid4().hex}"
-    res = sp.split_by_columns(tagged, target, ["_task"] + cols, max_records=max_records)
+    if max_records is None:
+        max_records = sp.rows_per_file(data)
+    # The task names a folder of the result and is not part of the user's rows.
+    res = sp.split_by_columns(tagged, target, ["_task"] + cols, max_records=max_records, folder_only=("_task",))
     stats = {r["_task"]: r for r in res.stats.groupBy("_task")
              .agg(F.sum("rows").alias("total_rows"), F.count(F.lit(1)).alias("groups")).collect()}
-    written = sp.read_split(spark, target)
+    written = sp.read_split(spark, target, ("_task",))
     sums = None
     if "dataset_checksum" in written.columns:
         sums = _control_sums(written, ["_task"]).withColumnRenamed("_task", "task_id")

@@ -1,9 +1,10 @@
 """Link registry: canonical URLs, existence checks, new/duplicate status.
 
 A hot URL (one link repeated in a third of the input) must not pin a third
-of the rows to one task, so "first occurrence" is found by an aggregate
-(``min`` per hash, combined map-side) and joined back, never by a window
-over the hash.
+of the rows to one task.  Rows are reduced to one per hash (combined
+map-side), that table is joined with the known hashes, and the verdicts go
+back to the rows by a hash salted with the row: the one row per hash is
+repeated ``SALT`` times, the raw rows spread over the copies.
 """
 
 from __future__ import annotations
@@ -25,6 +26,17 @@ def prepare_urls(candidates: DataFrame, url_col: str = "url") -> DataFrame:
     return spread_for_cpu(candidates).withColumn("url_normalized", norm).withColumn("url_hash", h)
 
 
+#: Copies of the one-row-per-hash table when its verdicts go back to the rows.
+SALT = 16
+
+
+def _give_back(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """``rows`` with the columns of ``verdicts`` (one row per ``url_hash``)."""
+    spread = rows.withColumn("_salt", F.pmod(F.xxhash64(F.struct(*[c for c in rows.columns if c != "url_hash"])), F.lit(SALT)))
+    copies = verdicts.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+    return spread.join(copies, ["url_hash", "_salt"]).drop("_salt")
+
+
 def _known(links: DataFrame) -> DataFrame:
     if "url_hash" in links.columns:
         return links.select("url_hash").distinct()
@@ -33,9 +45,10 @@ def _known(links: DataFrame) -> DataFrame:
 
 def links_exist(candidates: DataFrame, links: DataFrame, url_col: str = "url") -> DataFrame:
     """One flag per input row (duplicates kept)."""
+    prepared = prepare_urls(candidates, url_col)
     known = _known(links).withColumn("_hit", F.lit(True))
-    out = prepare_urls(candidates, url_col).join(known, "url_hash", "left")
-    return out.withColumn("exists", F.coalesce(F.col("_hit"), F.lit(False))).drop("_hit")
+    hashes = prepared.select("url_hash").distinct().join(known, "url_hash", "left")
+    return _give_back(prepared, hashes.select("url_hash", F.coalesce("_hit", F.lit(False)).alias("exists")))
 
 
 def new_links(candidates: DataFrame, links: DataFrame, url_col: str = "url", order_col: str = "id",
@@ -46,7 +59,7 @@ def new_links(candidates: DataFrame, links: DataFrame, url_col: str = "url", ord
     prepared = prepare_urls(candidates, url_col)
     known = _known(links).withColumn("_known", F.lit(True))
     firsts = prepared.groupBy("url_hash").agg(F.min(order_col).alias("_first"))
-    out = prepared.join(known, "url_hash", "left").join(firsts, "url_hash", "inner")
+    out = _give_back(prepared, firsts.join(known, "url_hash", "left"))
     is_new = F.col("_known").isNull() & (F.lit(compat) | (F.col(order_col) == F.col("_first")))
     return (out.withColumn("status", F.when(is_new, F.lit("new")).otherwise(F.lit("duplicate")))
             .drop("_known", "_first"))

@@ -58,18 +58,19 @@ def field_set_ops(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ("schema_i
 
 
 def _footer_fields(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import pyarrow.fs as pafs
+    import pyarrow as pa
     import pyarrow.parquet as pq
+
+    from lakeshore.sources.streams import open_file
     for pdf in batches:
         rows = []
         for path in pdf["path"]:
-            try:
-                fs, p = pafs.FileSystem.from_uri(path if "://" in path else "file://" + path)
-                schema = pq.read_schema(p, filesystem=fs)
-                for i, f in enumerate(schema):
-                    rows.append((path, i, f.name, str(f.type), bool(f.nullable)))
-            except Exception:
-                rows.append((path, -1, None, None, None))
+            with open_file(path) as f:
+                try:
+                    for i, field in enumerate(pq.read_schema(f)):
+                        rows.append((path, i, field.name, str(field.type), bool(field.nullable)))
+                except pa.ArrowInvalid:     # not a parquet file; any other error fails the task
+                    rows.append((path, -1, None, None, None))
         yield pd.DataFrame(rows, columns=["path", "pos", "field", "arrow_type", "nullable"])
 
 

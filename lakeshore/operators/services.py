@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeshore.operators.catalog import folder_check
+from lakeshore.operators.links import SALT
 
 
 def sources_with_service(sources: DataFrame, services: DataFrame, name: str | None = None) -> DataFrame:
@@ -30,12 +31,19 @@ def service_version_sources(versions: DataFrame, bridge: DataFrame, sources: Dat
 
 def group_files(groups: DataFrame, files: DataFrame) -> DataFrame:
     """Files of each download group; the first row of a (group, url)
-    pair is kept, later ones are flagged duplicates (found with an
-    aggregate, not a window, so a hot group stays spread)."""
-    j = groups.select(F.col("id").alias("group_id"), F.col("status").alias("group_status")).join(files, "group_id")
-    first = j.groupBy("group_id", "url").agg(F.min("seq").alias("_first"))
-    return (j.join(first, ["group_id", "url"])
-            .withColumn("is_duplicate", F.col("seq") != F.col("_first")).drop("_first"))
+    pair is kept, later ones are flagged duplicates.  The files are reduced
+    to one row per pair first; that table meets the groups, and its verdicts
+    go back to the files by the pair salted with the row, so neither a hot
+    group nor a hot pair is one task's work."""
+    known = groups.select(F.col("id").alias("group_id"), F.col("status").alias("group_status"))
+    first = files.groupBy("group_id", "url").agg(F.min("seq").alias("_first")).join(known, "group_id")
+    first = first.withColumnsRenamed({"group_id": "_g", "url": "_u"}).withColumn(
+        "_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+    rows = files.withColumn("_salt", F.pmod(F.xxhash64(*files.columns), F.lit(SALT)))
+    out = rows.join(first, (F.col("group_id") == F.col("_g")) & F.col("url").eqNullSafe(F.col("_u"))
+                    & (F.col("_salt") == F.col("_copy")))
+    flagged = out.withColumn("is_duplicate", F.col("seq") != F.col("_first"))
+    return flagged.select("group_id", "group_status", *[c for c in files.columns if c != "group_id"], "is_duplicate")
 
 
 def check_service(services: DataFrame, sources: DataFrame, catalog: DataFrame, root: str, name: str) -> DataFrame:

@@ -10,6 +10,7 @@ from lakeshore.plans.registry import query
 from lakeshore.plans.views import view
 from lakeshore.session import scratch_dir
 from lakeshore.sources import sinks
+from lakeshore.sources.files import file_catalog
 
 CONFIG = {"src0": {"processing": {"split_columns": ["k1", "k2"]}}, "src1": ["k2", "l_linenumber"]}
 
@@ -36,8 +37,8 @@ def q_scan_registry(spark, sf_dir):
 @query("register_files")
 def q_register_files(spark, sf_dir):
     root = _lake(spark, sf_dir)
-    return scan.register_files(spark, [f"{root}/src0/2024-01-01/202401"], entity="src0", period="209912",
-                               config=CONFIG)
+    folders = sorted(r["parent"] for r in file_catalog(spark, root, "parquet").select("parent").distinct().collect())
+    return scan.register_files(spark, folders, entity="src0", period="209912", config=CONFIG)
 
 
 @query("refresh_scan")

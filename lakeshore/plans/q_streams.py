@@ -14,6 +14,7 @@ from lakeshore.plans.q_tasks import _NORM as _TASK_NORM
 from lakeshore.plans.registry import ORACLES, query
 from lakeshore.plans.views import view, with_views
 from lakeshore.session import scratch_dir
+from lakeshore.sources import sinks
 from lakeshore.streaming import jobs
 
 
@@ -104,7 +105,7 @@ def q_link_stream(spark, sf_dir):
 def q_running_app_stats(spark, sf_dir):
     out, ck = scratch_dir(spark, "out"), scratch_dir(spark, "ck")
     jobs.running_app_stats(_requests_stream(spark, sf_dir, max_files=1), out, ck)
-    return spark.read.parquet(out)
+    return sinks.read_current(spark, out)
 
 
 @query("snapshots_stream", ORACLES["snapshots"])

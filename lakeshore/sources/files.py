@@ -9,11 +9,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakeshore.sources.streams import open_file, open_stream
+
 # State suffixes stripped before the extension decides the
 # format, and the extension to format map.
 STATE_SUFFIXES = (".sended", ".processed", ".tmp", ".bak")
@@ -24,9 +27,6 @@ EXTENSION_FORMATS = {
 CSV_DELIMITERS = (",", ";", "\t", "|")
 TEXT_ENCODINGS = ("utf-8-sig", "cp1251", "windows-1252", "latin-1")
 SPARK_CHARSETS = ("iso-8859-1", "us-ascii", "utf-16", "utf-16be", "utf-16le", "utf-32", "utf-8")
-# Files above this size are hashed by a streaming reader instead of the
-# binaryFile content column (a Spark row holds at most 2 GiB).
-BINARY_ROW_LIMIT = 1 << 30
 
 
 def local_path(c: Column) -> Column:
@@ -91,16 +91,11 @@ def detect_format_by_name(path) -> Column:
 
 
 def _magic(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import pyarrow.fs as pafs
     for pdf in batches:
         flags = []
         for path in pdf["path"]:
-            try:
-                fs, p = pafs.FileSystem.from_uri(path if "://" in path else "file://" + path)
-                with fs.open_input_stream(p) as f:
-                    flags.append(f.read(4) == b"PAR1")
-            except Exception:
-                flags.append(False)
+            with open_stream(path) as f:
+                flags.append(f.read(4) == b"PAR1")
         yield pd.DataFrame({"path": pdf["path"], "is_parquet": flags})
 
 
@@ -123,10 +118,8 @@ def scan_parquet(spark: SparkSession, paths) -> DataFrame:
     return spark.read.parquet(*paths)
 
 
-def sniff_delimiter(spark: SparkSession, path: str, sample_lines: int = 20) -> str:
-    """Pick the delimiter among , ; tab | that splits a small sample of
-    lines most consistently (a bounded ``limit`` read, not a full scan)."""
-    lines = [r[0] for r in spark.read.text(path).limit(sample_lines).collect() if r[0]]
+def _delimiter(lines: list[str]) -> str:
+    """The one among , ; tab | that splits the lines most consistently."""
     best, best_score = ",", -1
     for d in CSV_DELIMITERS:
         counts = [ln.count(d) for ln in lines]
@@ -138,54 +131,121 @@ def sniff_delimiter(spark: SparkSession, path: str, sample_lines: int = 20) -> s
     return best
 
 
-def scan_csv(spark: SparkSession, path: str, sep: str | None = None, infer: bool = True) -> DataFrame:
-    """A2: header, delimiter sniffing, type inference."""
-    sep = sep or sniff_delimiter(spark, path)
-    return spark.read.option("header", True).option("inferSchema", infer).option("sep", sep).csv(path)
-
-
-def scan_json(spark: SparkSession, path: str) -> DataFrame:
-    """A3: newline-delimited JSON, or one JSON array per file."""
-    first = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
-    multiline = bool(first) and first[0][0].lstrip().startswith("[")
-    return spark.read.option("multiLine", multiline).json(path)
+def _traits(encodings: tuple[str, ...], whole: bool):
+    """Per file: the first encoding that decodes it (all of it if ``whole``),
+    its delimiter and whether it is one JSON array."""
+    import codecs
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for path in pdf["path"]:
+                left, head = {e: codecs.getincrementaldecoder(e)() for e in encodings}, b""
+                with open_stream(path) as f:
+                    while block := f.read(1 << 20):
+                        if len(head) < 1 << 20:
+                            head += block
+                        if not whole:
+                            break
+                        left = {e: d for e, d in left.items() if _feeds(d, block, False)}
+                if whole:
+                    left = {e: d for e, d in left.items() if _feeds(d, b"", True)}
+                encoding = next(iter(left), encodings[-1])
+                lines = [ln for ln in head.decode(encoding, "replace").splitlines() if ln.strip()][:20]
+                rows.append((path, encoding, _delimiter(lines), bool(lines) and lines[0].lstrip().startswith("[")))
+            yield pd.DataFrame(rows, columns=["path", "encoding", "sep", "is_array"])
+    return run
 
 
-def _decodes(spark: SparkSession, path: str, encoding: str) -> bool:
-    raw = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 65536)).first()
-    if raw is None:
-        return True
+def _feeds(decoder, block: bytes, final: bool) -> bool:
     try:
-        bytes(raw[0]).decode(encoding.replace("-sig", ""))
+        decoder.decode(block, final)
         return True
     except UnicodeDecodeError:
         return False
 
 
+def file_traits(spark: SparkSession, path: str, encodings: tuple[str, ...] = ("utf-8-sig",), whole: bool = False) -> DataFrame:
+    """One row per file below ``path``, decided inside the tasks that own
+    the files: path, encoding, sep, is_array."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    files = files.where("length > 0").select(local_path(F.col("path")).alias("path"))
+    return files.mapInPandas(_traits(tuple(encodings), whole), "path string, encoding string, sep string, is_array boolean")
+
+
+def _by_layout(spark: SparkSession, path: str, traits: DataFrame, keys: list[str], read) -> DataFrame:
+    """One read per layout that occurs (``read(paths, *layout)``), united by
+    column name.  A single layout reads ``path`` itself; otherwise the file
+    names of each layout (metadata, one row per file) make its path list."""
+    layouts = [tuple(r) for r in traits.select(*keys).distinct().orderBy(*keys).collect()]
+    if len(layouts) <= 1:
+        return read([path], *(layouts[0] if layouts else [None] * len(keys)))
+    parts = []
+    for layout in layouts:
+        mine = traits
+        for k, v in zip(keys, layout):
+            mine = mine.where(F.col(k) == v)
+        parts.append(read([r["path"] for r in mine.select("path").orderBy("path").collect()], *layout))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def scan_csv(spark: SparkSession, path: str, sep: str | None = None, infer: bool = True) -> DataFrame:
+    """A2: header, delimiter sniffing per file, type inference."""
+    def read(paths, found):
+        return spark.read.option("header", True).option("inferSchema", infer).option("sep", sep or found or ",").csv(paths)
+    if sep:
+        return read([path], sep)
+    return _by_layout(spark, path, file_traits(spark, path), ["sep"], read)
+
+
+def scan_json(spark: SparkSession, path: str) -> DataFrame:
+    """A3: newline-delimited JSON or one JSON array, decided per file."""
+    return _by_layout(spark, path, file_traits(spark, path), ["is_array"],
+                      lambda paths, is_array: spark.read.option("multiLine", bool(is_array)).json(paths))
+
+
 def scan_csv_as_text(spark: SparkSession, path: str, encodings=TEXT_ENCODINGS, sep: str | None = None) -> DataFrame:
-    """A4: fallback read with every column as text; the first encoding that
-    decodes a sample wins; header names are stripped of blanks and quotes."""
-    enc = next((e for e in encodings if _decodes(spark, path, e)), encodings[-1])
-    spark_enc = "UTF-8" if enc.startswith("utf-8") else enc
-    if spark_enc.lower() not in SPARK_CHARSETS:
-        # Spark 4 accepts other Java charsets only behind this switch.
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    sep = sep or sniff_delimiter(spark, path)
-    df = (spark.read.option("header", True).option("inferSchema", False).option("sep", sep)
-          .option("encoding", spark_enc).csv(path))
-    renamed = [F.col(f"`{c}`").alias(c.strip().strip("﻿").strip().strip('"').strip("'").strip()) for c in df.columns]
-    return df.select(*renamed)
+    """A4: fallback read with every column as text; per file the first
+    encoding that decodes all of it; header names are stripped of blanks and
+    quotes."""
+    def read(paths, enc, found):
+        charset = "UTF-8" if enc is None or enc.startswith("utf-8") else enc
+        before = spark.conf.get("spark.sql.legacy.javaCharsets", "false")
+        if charset.lower() not in SPARK_CHARSETS:
+            # Spark 4 accepts other Java charsets only behind this switch; it is read while planning.
+            spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+        try:
+            df = (spark.read.option("header", True).option("inferSchema", False).option("sep", sep or found or ",")
+                  .option("encoding", charset).csv(paths))
+            renamed = [F.col(f"`{c}`").alias(c.strip().strip("\ufeff").strip().strip('"').strip("'").strip()) for c in df.columns]
+            return df.select(*renamed)
+        finally:
+            if charset.lower() in SPARK_CHARSETS:
+                spark.conf.set("spark.sql.legacy.javaCharsets", before)
+    return _by_layout(spark, path, file_traits(spark, path, encodings, whole=True), ["encoding", "sep"], read)
 
 
 def read_table(spark: SparkSession, name: str, jdbc_url: str | None = None,
-               properties: dict | None = None, table_root: str | None = None) -> DataFrame:
+               properties: dict | None = None, table_root: str | None = None, column: str | None = None,
+               lower: int | None = None, upper: int | None = None, partitions: int | None = None) -> DataFrame:
     """A relational table: JDBC when a URL is given, else the parquet
-    table of that name under ``table_root``."""
+    table of that name under ``table_root``.  ``column`` with its bounds and
+    a partition count splits a JDBC read over tasks."""
     if jdbc_url:
-        return spark.read.jdbc(jdbc_url, name, properties=properties or {})
+        return spark.read.jdbc(jdbc_url, name, properties=properties or {}, **jdbc_split(column, lower, upper, partitions))
     return spark.read.parquet(f"{table_root.rstrip('/')}/{name}.parquet")
 
 
+def jdbc_split(column: str | None, lower: int | None, upper: int | None, partitions: int | None) -> dict:
+    """Options of a partitioned JDBC read: all four, or none."""
+    given = (column, lower, upper, partitions)
+    if all(x is None for x in given):
+        return {}
+    if any(x is None for x in given):
+        raise ValueError("a partitioned JDBC read needs column, lower, upper and partitions")
+    return {"column": column, "lowerBound": lower, "upperBound": upper, "numPartitions": partitions}
+
+
 def read_any(spark: SparkSession, paths: list[str], fmt: str) -> DataFrame:
     if fmt == "parquet":
         return spark.read.parquet(*paths)
@@ -197,17 +257,16 @@ def read_any(spark: SparkSession, paths: list[str], fmt: str) -> DataFrame:
 # ---- per-file facts -----------------------------------------------------
 
 def _footer_rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import pyarrow.fs as pafs
+    import pyarrow as pa
     import pyarrow.parquet as pq
     for pdf in batches:
         rows = []
         for path in pdf["path"]:
-            try:
-                fs, p = pafs.FileSystem.from_uri(path if "://" in path else "file://" + path)
-                with fs.open_input_file(p) as f:
+            with open_file(path) as f:
+                try:
                     rows.append(pq.ParquetFile(f).metadata.num_rows)
-            except Exception:
-                rows.append(None)   # unreadable file: null count
+                except pa.ArrowInvalid:
+                    rows.append(None)   # not a parquet file: null count; any other error fails the task
         yield pd.DataFrame({"path": pdf["path"], "rows": pd.array(rows, dtype="Int64")})
 
 
@@ -219,6 +278,27 @@ def file_row_stats(spark: SparkSession, paths: list[str]) -> tuple[int, int] | N
     return (int(r["rows"]), int(r["b"])) if r and r["rows"] else None
 
 
+def _per_file(df: DataFrame) -> DataFrame:
+    return df.select(local_path(F.col("_metadata.file_path")).alias("path")).groupBy("path").agg(
+        F.count(F.lit(1)).alias("rows"))
+
+
+def _json_rows(spark: SparkSession, files: list[str]) -> DataFrame:
+    """Records per JSON file: where every line is JSON by itself, the objects
+    and the items of arrays on the lines; else (one document over many
+    lines) the records of a multi-line read."""
+    lines = spark.read.text(files).where(F.trim("value") != "").select(
+        local_path(F.col("_metadata.file_path")).alias("path"), F.try_parse_json("value").alias("v"))
+    is_array = F.schema_of_variant("v").startswith("ARRAY")
+    size = F.when(is_array, F.size(F.try_variant_get("v", "$", "array<variant>"))).otherwise(1)
+    per = lines.groupBy("path").agg(F.sum(size).cast("long").alias("rows"), F.bool_and(F.col("v").isNotNull()).alias("alone"))
+    spread = [r["path"] for r in per.where(~F.col("alone")).select("path").collect()]
+    counted = per.where("alone").select("path", "rows")
+    if not spread:
+        return counted
+    return counted.unionByName(_per_file(spark.read.option("multiLine", True).json(spread)))
+
+
 def row_counts(spark: SparkSession, catalog: DataFrame) -> DataFrame:
     """Rows per file; unknown formats count 0, unreadable files null.
     Parquet counts come from each file's footer, read inside the tasks that
@@ -234,9 +314,8 @@ def row_counts(spark: SparkSession, catalog: DataFrame) -> DataFrame:
         files = [r["path"] for r in fmts.where(F.col("format") == fmt).select("path").collect()]
         if not files:
             continue
-        df = read_any(spark, files, fmt)
-        parts.append(df.select(local_path(F.col("_metadata.file_path")).alias("path"))
-                     .groupBy("path").agg(F.count(F.lit(1)).alias("rows")))
+        parts.append(_json_rows(spark, files) if fmt == "json" else _per_file(
+            spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(files)))
     counts = parts[0]
     for p in parts[1:]:
         counts = counts.unionByName(p)
@@ -247,41 +326,23 @@ def row_counts(spark: SparkSession, catalog: DataFrame) -> DataFrame:
 
 
 def _stream_sha(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import pyarrow.fs as pafs
     for pdf in batches:
         out = []
         for path in pdf["path"]:
+            h = hashlib.sha256()
             try:
-                fs, p = pafs.FileSystem.from_uri(path if "://" in path else "file://" + path)
-                h = hashlib.sha256()
-                with fs.open_input_stream(p) as f:
-                    while True:
-                        block = f.read(1 << 20)
-                        if not block:
-                            break
+                with open_stream(path) as f:
+                    while block := f.read(1 << 20):
                         h.update(block)
-                out.append(h.hexdigest())
-            except Exception:
-                out.append(hashlib.sha256(path.encode()).hexdigest())
+            except FileNotFoundError:   # gone since the listing: the hash of its path
+                h = hashlib.sha256(path.encode())
+            out.append(h.hexdigest())
         yield pd.DataFrame({"path": pdf["path"], "sha256": out})
 
 
-def file_sha256(spark: SparkSession, catalog: DataFrame, row_limit: int = BINARY_ROW_LIMIT) -> DataFrame:
-    """H1: SHA-256 of each file's bytes.  Files under the row limit are
-    hashed by Spark itself (``sha2`` over the binaryFile content, read only
-    for those paths); larger files stream through a reader in 1 MiB blocks
-    inside the tasks."""
-    small = catalog.where(F.col("length") < row_limit).select("path")
-    large = catalog.where(F.col("length") >= row_limit).select("path")
-    small_paths = [r["path"] for r in small.collect()]
-    parts = []
-    if small_paths:
-        parts.append(spark.read.format("binaryFile").load(small_paths)
-                     .select(local_path(F.col("path")).alias("path"), F.sha2("content", 256).alias("sha256")))
-    parts.append(large.mapInPandas(_stream_sha, "path string, sha256 string"))
-    hashes = parts[0]
-    for p in parts[1:]:
-        hashes = hashes.unionByName(p)
-    # A file that vanished between listing and hashing gets the hash of its path.
-    return (catalog.join(hashes, "path", "left")
-            .withColumn("sha256", F.coalesce(F.col("sha256"), F.sha2(F.col("path"), 256))))
+def file_sha256(spark: SparkSession, catalog: DataFrame) -> DataFrame:
+    """H1: SHA-256 of each file's bytes, streamed in 1 MiB blocks inside the
+    tasks that own the catalog rows, whatever the size.  A file that has
+    vanished gets the hash of its path; any other error fails the task."""
+    hashes = catalog.select("path").mapInPandas(_stream_sha, "path string, sha256 string")
+    return catalog.join(hashes, "path", "left")

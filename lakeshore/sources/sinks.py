@@ -92,11 +92,11 @@ def to_messages(df: DataFrame, topic: str, key_col: str | None = None, partition
 
 
 def write_messages(df: DataFrame, topic: str, sink: str = "kafka", options: dict | None = None,
-                   path: str | None = None, key_col: str | None = None) -> None:
+                   path: str | None = None, key_col: str | None = None, partition_col: str | None = None) -> None:
     """Publish rows as JSON messages.  ``kafka`` needs the connector and
     ``kafka.bootstrap.servers`` in ``options``; ``json`` writes the same
     messages to files (tests, and where no broker is available)."""
-    msgs = to_messages(df, topic, key_col)
+    msgs = to_messages(df, topic, key_col, partition_col)
     if sink == "kafka":
         w = msgs.write.format("kafka")
         for k, v in (options or {}).items():

@@ -98,21 +98,30 @@ def split_poison_stream(records: DataFrame, good_out: str, bad_out: str, checkpo
     """Good and bad messages to two outputs in one pass per batch; a
     re-run batch overwrites its own folders (idempotent by batch id)."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        good, bad = tk.split_poison(batch)
-        good.write.mode("overwrite").parquet(f"{good_out}/batch={batch_id}")
-        bad.write.mode("overwrite").parquet(f"{bad_out}/batch={batch_id}")
+        batch.persist()     # the source is read once for the two outputs
+        try:
+            good, bad = tk.split_poison(batch)
+            good.write.mode("overwrite").parquet(f"{good_out}/batch={batch_id}")
+            bad.write.mode("overwrite").parquet(f"{bad_out}/batch={batch_id}")
+        finally:
+            batch.unpersist()
     _batch_writer(handle, records, checkpoint)
 
 
 def upsert_stream(records: DataFrame, table_root: str, checkpoint: str, key: str = "key") -> None:
-    """At-least-once delivery made exactly-once in effect.  Each batch
+    """At-least-once delivery made exactly-once in effect.  A message
+    without a key is identified by topic, partition and offset, so two of
+    them never fall together; offsets are only compared as (offset,
+    partition, topic), a fixed order.  Each batch
     writes only its own rows (last per key) to ``batch=<id>`` — a re-run
     batch overwrites the same folder — and readers take the latest row per
     key (``read_latest``): merge on read, so a batch costs O(batch), not
     O(table)."""
     def handle(batch: DataFrame, batch_id: int) -> None:
         good, _ = tk.split_poison(batch)
-        rows = (good.groupBy(key).agg(F.max_by("value", "offset").alias("value"))
+        own = F.concat_ws("/", F.lit("no key"), "topic", "partition", "offset")
+        rows = (good.withColumn(key, F.coalesce(F.col(key), own))
+                .groupBy(key).agg(F.max_by("value", F.struct("offset", "partition", "topic")).alias("value"))
                 .withColumn("batch_id", F.lit(batch_id).cast("long")))
         rows.write.mode("overwrite").parquet(f"{table_root}/batch={batch_id}")
     _batch_writer(handle, records, checkpoint)
@@ -152,11 +161,12 @@ def link_stream(records: DataFrame, history_root: str, published: str, checkpoin
 
 def running_app_stats(requests: DataFrame, out: str, checkpoint: str) -> None:
     """Per-app running statistics; the streaming aggregate keeps the
-    state, each batch rewrites the complete result."""
+    state, each batch writes the complete result as the next version of the
+    table (readers take the newest finished one, never a half-written one)."""
     agg = ops.request_stats(requests)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+        sinks.write_version(batch, out)
     _batch_writer(handle, agg, checkpoint, mode="complete")
 
 
@@ -214,10 +224,14 @@ def retry_then_dlq(records: DataFrame, handler: Callable[[DataFrame], DataFrame]
 
     ``handler(df)`` gets (key, value, attempt) rows and returns them with an
     ``error`` column (null = success).  Nothing sleeps inside a batch:
-    failures are written to a retry table with ``attempt`` and ``next_at``;
-    each later batch takes the due rows along with its new messages.  Every
-    output is keyed by batch id (a re-run batch rewrites its own files), and
-    messages that are not JSON go to ``bad_out`` without retries.
+    failures wait with ``attempt`` and ``next_at``; each later batch takes
+    the due ones along with its new messages (a trigger without new data
+    needs a heartbeat message).  What waits after batch n is the folder
+    ``batch=n`` below ``retry_root``; batch n reads the newest folder before
+    n and rewrites all its own outputs, so a replayed batch starts from the
+    same state and leaves every message in exactly one output.  The handler
+    runs once per batch: its result is written before it is divided.
+    Messages that are not JSON go to ``bad_out`` without retries.
     """
     import time as _time
 
@@ -226,12 +240,17 @@ def retry_then_dlq(records: DataFrame, handler: Callable[[DataFrame], DataFrame]
         now = clock(batch_id) if clock else _time.time()
         good, bad = tk.split_poison(batch)
         bad.write.mode("overwrite").parquet(f"{bad_out}/batch={batch_id}")
-        pending = sinks.read_current(spark, retry_root, RETRY_SCHEMA)
+        before = [int(d[6:]) for d in sinks.list_dirs(spark, retry_root) if d.startswith("batch=")]
+        before = [b for b in before if b < batch_id and sinks.exists(spark, f"{retry_root}/batch={b}/_SUCCESS")]
+        pending = (spark.read.schema(RETRY_SCHEMA).parquet(f"{retry_root}/batch={max(before)}") if before
+                   else spark.createDataFrame([], RETRY_SCHEMA))
         due = pending.where(F.col("next_at") <= F.lit(now))
         later = pending.where(F.col("next_at") > F.lit(now))
         work = (good.select("key", "value", F.lit(1).alias("attempt"))
                 .unionByName(due.select("key", "value", (F.col("attempt") + 1).alias("attempt"))))
-        res = handler(work)
+        handled = f"{retry_root}/handled={batch_id}"
+        handler(work).write.mode("overwrite").parquet(handled)
+        res = spark.read.parquet(handled)
         res.where(F.col("error").isNull()).select("key", "value", "attempt") \
             .write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
         failed = res.where(F.col("error").isNotNull())
@@ -240,7 +259,7 @@ def retry_then_dlq(records: DataFrame, handler: Callable[[DataFrame], DataFrame]
         retry = failed.where(F.col("attempt") <= max_retries).select(
             "key", "value", "attempt",
             (F.lit(now) + F.least(F.lit(base_sec) * F.col("attempt"), F.lit(cap_sec))).alias("next_at"), "error")
-        sinks.write_version(later.unionByName(retry), retry_root)
+        later.unionByName(retry).write.mode("overwrite").parquet(f"{retry_root}/batch={batch_id}")
     _batch_writer(handle, records, checkpoint)
 
 
