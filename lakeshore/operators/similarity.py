@@ -77,8 +77,17 @@ def _explode(arr: Column) -> Column:
     return F.explode_outer(arr)
 
 
-def _set_rows(df: DataFrame, key: str, items: Column) -> DataFrame:
-    s = spread_for_cpu(df).select(F.col(key).alias("_key"), F.array_distinct(items).alias("_set"))
+def _by_document(df: DataFrame, key: str) -> DataFrame:
+    """The corpus dealt out by document before its tokens are exploded: what
+    is then grouped by (document, query) or (document, token) stays in its
+    task, so pairs never cross the network.  The partition count is the
+    session's (an explicit one: AQE would merge few bytes of much work)."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(n, df.sparkSession.sparkContext.defaultParallelism), key)
+
+
+def _set_rows(df: DataFrame, key: str, items: Column, corpus: bool = False) -> DataFrame:
+    s = (_by_document(df, key) if corpus else spread_for_cpu(df)).select(F.col(key).alias("_key"), F.array_distinct(items).alias("_set"))
     # A non-nullable size: with a nullable one, Catalyst infers
     # isnotnull(size(<set expression>)) from the join condition and pushes it
     # to the scan, evaluating the whole set expression a second time there.
@@ -96,7 +105,7 @@ def set_similarity(queries: DataFrame, corpus: DataFrame, q_items: Column, d_ite
     condition, so impossible pairs are never emitted (exact, no cap)."""
     q = _set_rows(queries, qid, q_items).select(F.col("_key").alias("qid"), F.col("_n").alias("na"),
                                                 F.col("_tok").alias("_qtok"))
-    d = _set_rows(corpus, did, d_items).select(F.col("_key").alias("id"), F.col("_n").alias("nb"), "_tok")
+    d = _set_rows(corpus, did, d_items, corpus=True).select(F.col("_key").alias("id"), F.col("_n").alias("nb"), "_tok")
     cond = F.col("_tok") == F.col("_qtok")
     if min_score is not None:
         m = float(min_score)
@@ -122,8 +131,8 @@ def trigram_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, qid: str = "
         "qid", "id", percentage(F.col("score")).alias("percentage"), "rank")
 
 
-def _tf(df: DataFrame, key: str, text: str, alias: str) -> DataFrame:
-    t = (spread_for_cpu(df).select(F.col(key).alias(alias), _explode(tokens(text)).alias("_tok"))
+def _tf(df: DataFrame, key: str, text: str, alias: str, corpus: bool = False) -> DataFrame:
+    t = ((_by_document(df, key) if corpus else spread_for_cpu(df)).select(F.col(key).alias(alias), _explode(tokens(text)).alias("_tok"))
          .where(F.col("_tok").isNotNull()))
     return t.groupBy(alias, "_tok").agg(F.count(F.lit(1)).alias("tf"))
 
@@ -131,7 +140,7 @@ def _tf(df: DataFrame, key: str, text: str, alias: str) -> DataFrame:
 def cosine_scores(queries: DataFrame, corpus: DataFrame, qid: str = "qid", qtext: str = "text",
                   did: str = "id", dtext: str = "text") -> DataFrame:
     qtf = _tf(queries, qid, qtext, "qid")
-    dtf = _tf(corpus, did, dtext, "id")
+    dtf = _tf(corpus, did, dtext, "id", corpus=True)
     qn = qtf.groupBy("qid").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("qn"))
     dn = dtf.groupBy("id").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("dn"))
     dots = (dtf.withColumnRenamed("tf", "dtf").join(qtf.withColumnRenamed("tf", "qtf"), "_tok")
