@@ -36,6 +36,8 @@ TERM = "term"
 #: Distinct texts in which an entity and a term must meet.
 SUPPORT = 3
 GENERALISE = 0.85
+#: Items of the lists in which matches are gathered.
+CHUNK = 256
 REMOVE = 0.97
 
 _JOIN, _OTHER = "\ue000", "\ue001"      # the second stands for the first where a text has it
@@ -55,12 +57,19 @@ def matches(text: Column, pattern: str) -> Column:
         F.length(gap).cast("long").alias("gap"), F.length(hit).cast("long").alias("len"), hit.alias("value")))
     pairs = F.filter(pairs, lambda p: p["value"].isNotNull())
     empty = F.array().cast("array<struct<start:bigint,end:bigint,value:string>>")
-    walk = F.aggregate(pairs, F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out")), lambda s, p: F.struct(
-        (s["at"] + p["gap"] + p["len"]).alias("at"),
-        F.concat(s["out"], F.array(F.struct((s["at"] + p["gap"]).alias("start"),
-                                            (s["at"] + p["gap"] + p["len"]).alias("end"),
-                                            p["value"].alias("value")))).alias("out")))
-    return walk["out"]
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(
+        "array<array<struct<start:bigint,end:bigint,value:string>>>").alias("full"), empty.alias("last"))
+
+    def step(s: Column, p: Column) -> Column:
+        # Appended to a short list that moves to ``full`` when it has CHUNK
+        # items: appending to one long list would copy it each time.
+        end = s["at"] + p["gap"] + p["len"]
+        item = F.array(F.struct((s["at"] + p["gap"]).alias("start"), end.alias("end"), p["value"].alias("value")))
+        closed = F.size(s["last"]) >= CHUNK
+        return F.struct(end.alias("at"), F.when(closed, F.concat(s["full"], F.array(s["last"]))).otherwise(s["full"]).alias("full"),
+                        F.when(closed, item).otherwise(F.concat(s["last"], item)).alias("last"))
+
+    return F.aggregate(pairs, start, step, lambda s: F.flatten(F.concat(s["full"], F.array(s["last"]))))
 
 
 def _digits(value: Column) -> Column:
