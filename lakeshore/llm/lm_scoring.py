@@ -27,7 +27,7 @@ an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from lakeshore.llm.common import lower_words, materialise, text_or_empty
 
 #: Text bytes of a block, and of the documents per shard, about.
-BLOCK = 6 << 20
+BLOCK = 8 << 20
 #: Weight m of the unigram in a context.
 WEIGHT = 20.0
 END = 0         # token number of the end; also the context in which a text begins
@@ -53,6 +53,39 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _pack(numbers: np.ndarray) -> bytes:
+    """Unsigned numbers in as few bytes each as the largest needs."""
+    return numbers.astype(np.min_scalar_type(int(numbers.max(initial=0)))).tobytes()
+
+
+def _unpack(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, f"<u{len(data) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
+
+
+def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents of a batch by block, each block's part as one compressed
+    stream: whole texts cross the network at a third of their size."""
+    for batch in batches:
+        block = batch.column("block").to_numpy()
+        order = np.argsort(block, kind="stable")
+        table = pa.Table.from_batches([batch.take(pa.array(order))])
+        cuts = [0, *(np.flatnonzero(np.diff(block[order])) + 1).tolist(), len(order)]
+        numbers, parts = [], []
+        for start, end in zip(cuts, cuts[1:]):
+            if end > start:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_table(table.slice(start, end - start))
+                numbers.append(int(block[order[start]]))
+                parts.append(sink.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(parts, pa.binary())], names=["block", "part"])
+
+
+def _documents(table: pa.Table) -> pa.Table:
+    """The documents of a block's parts."""
+    return pa.concat_tables(pa.ipc.open_stream(p).read_all() for p in table.column("part").to_pylist())
+
+
 class Block:
     """Texts of a block as token numbers, with its distinct words and bigrams."""
 
@@ -83,7 +116,7 @@ class Block:
         learnt = np.repeat(training, self.lengths)
         out = []
         for kind, index in ((0, self.tokens), (1, self.arcs)):
-            counts = np.bincount(index[learnt], minlength=len(self.hashes[kind])).astype(np.uint32)
+            counts = np.bincount(index[learnt], minlength=len(self.hashes[kind]))
             for shard, places in self.shards(kind, shards):
                 out.append((shard, kind, self.hashes[kind][places], counts[places]))
         return out
@@ -128,25 +161,27 @@ def score_documents(docs: DataFrame, train: Callable[[Column], Column], id_col:
                        F.coalesce(train(F.col(id_col)), F.lit(False)).alias("training"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)))
     id_type = rows.schema["id"].dataType
+    parts = rows.mapInArrow(_deal, "block bigint, part binary")
 
     def ask(table: pa.Table) -> pa.Table:
-        block = Block(table.column("text").to_pylist())
-        training = table.column("training").to_numpy(zero_copy_only=False).astype(bool)
+        docs = _documents(table)
+        block = Block(docs.column("text").to_pylist())
+        training = docs.column("training").to_numpy(zero_copy_only=False).astype(bool)
         asked = block.requests(training, shards)
         number = table.column("block")[0].as_py()
         shard, kind, hashes, counts = zip(*asked)
         return pa.table({"shard": pa.array(shard, pa.int64()), "kind": pa.array(kind, pa.int32()),
                          "block": pa.array([number] * len(asked), pa.int64()),
                          "hashes": pa.array([h.tobytes() for h in hashes], pa.binary()),
-                         "counts": pa.array([c.tobytes() for c in counts], pa.binary())})
+                         "counts": pa.array([_pack(c) for c in counts], pa.binary())})
 
     def answer(table: pa.Table) -> pa.Table:
         hashes = [np.frombuffer(h, np.uint64) for h in table.column("hashes").to_pylist()]
-        counts = [np.frombuffer(c, np.uint32) for c in table.column("counts").to_pylist()]
+        counts = [_unpack(c, len(h)) for c, h in zip(table.column("counts").to_pylist(), hashes)]
         keys, place = np.unique(np.concatenate(hashes), return_inverse=True)
         sums = np.bincount(place, weights=np.concatenate(counts).astype(float), minlength=len(keys)).astype(np.int64)
         cuts = np.cumsum([len(h) for h in hashes])[:-1]
-        totals = [t.tobytes() for t in np.split(sums[place], cuts)]
+        totals = [_pack(t) for t in np.split(sums[place], cuts)]
         kind = table.column("kind")[0].as_py()
         out = {n: table.column(n).to_pylist() for n in ("block", "kind", "shard")}
         for name, value in (("block", -1), ("kind", kind), ("shard", table.column("shard")[0].as_py())):
@@ -156,7 +191,7 @@ def score_documents(docs: DataFrame, train: Callable[[Column], Column], id_col:
         return pa.table({"block": pa.array(out["block"], pa.int64()), "kind": pa.array(out["kind"], pa.int32()),
                          "shard": pa.array(out["shard"], pa.int64()), "totals": pa.array(totals, pa.binary())})
 
-    asked = rows.groupBy("block").applyInArrow(ask, "shard bigint, kind int, block bigint, hashes binary, counts binary")
+    asked = parts.groupBy("block").applyInArrow(ask, "shard bigint, kind int, block bigint, hashes binary, counts binary")
     answers = materialise(asked.groupBy("shard", "kind").applyInArrow(
         answer, "block bigint, kind int, shard bigint, totals binary"), "counts")
 
@@ -173,6 +208,7 @@ def score_documents(docs: DataFrame, train: Callable[[Column], Column], id_col:
 
     def score(key, texts: pa.Table, totals: pa.Table) -> pa.Table:
         names = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+        texts = _documents(texts)
         block = Block(texts.column("text").to_pylist())
         counts = []
         for kind in (0, 1):
@@ -180,7 +216,7 @@ def score_documents(docs: DataFrame, train: Callable[[Column], Column], id_col:
             mine = totals.filter(pc.equal(totals.column("kind"), kind))
             got = dict(zip(mine.column("shard").to_pylist(), mine.column("totals").to_pylist()))
             for shard, places in block.shards(kind, shards):
-                values[places] = np.frombuffer(got[shard], np.int64)
+                values[places] = _unpack(got[shard], len(places))
             counts.append(values)
         log, base = Automaton(block, counts[0], counts[1], total, distinct, weight).traverse(block)
         known = np.add.reduceat((counts[0][block.tokens] > 0).astype(np.int64), block.starts) if len(block.tokens) else block.lengths
@@ -188,7 +224,7 @@ def score_documents(docs: DataFrame, train: Callable[[Column], Column], id_col:
         return pa.table([texts.column("id").combine_chunks(), pa.array(held), pa.array(block.lengths), pa.array(known),
                          pa.array(np.full(len(held), total, np.int64)), pa.array(base), pa.array(log)], names=names)
 
-    scored = rows.groupBy("block").cogroup(answers.filter("block >= 0").groupBy("block")).applyInArrow(
+    scored = parts.groupBy("block").cogroup(answers.filter("block >= 0").groupBy("block")).applyInArrow(
         score, f"id {id_type.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
                "base_score double, score double")
     return scored
