@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeshore.functions.core import json_long
+from lakeshore.functions.core import dataset_key, json_long
 
 
 def upsert(existing: DataFrame, updates: DataFrame, keys: list[str], order_col: str | None = None,
@@ -103,6 +103,27 @@ def update_registry(registry: DataFrame, changes: DataFrame, key: str = "hash_su
                            for c in registry.columns])
 
 
+def missing_counts(registry: DataFrame, catalog: DataFrame, link_col: str = "link", path_col: str = "path") -> DataFrame:
+    """C4, the summary: active rows checked, files missing, rows updated."""
+    gone = missing_files(registry, catalog, link_col, path_col).agg(F.count(F.lit(1)).alias("missing"))
+    checked = registry.agg(F.count_if("is_active").alias("checked"))
+    # Two one-row tables side by side.
+    both = checked.withColumn("one", F.lit(1)).join(gone.withColumn("one", F.lit(1)), "one")
+    return both.select("checked", "missing", F.col("missing").alias("updated"))
+
+
+def create_or_update(registry: DataFrame, changes: DataFrame, key: str = "hash_sum") -> DataFrame:
+    """Rows whose key is known are updated as in ``update_registry``; the
+    others are created, active unless they say otherwise.  Without a key the
+    dataset key of name, period and link (H2) is taken."""
+    keyed = changes.withColumn(key, F.coalesce(F.col(key), dataset_key("name", "period", "link")))
+    updated = update_registry(registry, keyed, key)
+    fresh = keyed.join(registry.select(key), key, "left_anti")
+    cols = [F.col(c) if c in fresh.columns else F.lit(None).cast(registry.schema[c].dataType).alias(c) for c in registry.columns]
+    fresh = fresh.select(*cols).withColumn("is_active", F.coalesce("is_active", F.lit(True)))
+    return updated.unionByName(fresh)
+
+
 def distinct_values(df: DataFrame, fields: list[str]) -> DataFrame:
     """Distinct values per field in one pass (null kept), as
     (field, value) rows with the value rendered as text.  Missing fields are

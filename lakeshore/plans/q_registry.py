@@ -129,6 +129,39 @@ def q_update_registry(spark, sf_dir):
     return reg.update_registry(spark.table("docs_registry"), changes)
 
 
+@query("missing_counts", with_views(["catalog_now", "docs_registry"], """
+SELECT count(*) FILTER (is_active) AS checked,
+  count(*) FILTER (is_active AND link NOT IN (SELECT path FROM catalog_now)) AS missing,
+  count(*) FILTER (is_active AND link NOT IN (SELECT path FROM catalog_now)) AS updated
+FROM docs_registry
+"""))
+def q_missing_counts(spark, sf_dir):
+    return reg.missing_counts(view(spark, sf_dir, "docs_registry"), view(spark, sf_dir, "catalog_now"))
+
+
+_NEW_ROWS = """
+SELECT CASE WHEN CAST(hash_sum AS BIGINT) % 2 = 0 THEN hash_sum END AS hash_sum, concat('made ', name) AS name, period, link
+FROM docs_registry WHERE CAST(hash_sum AS BIGINT) % 9 = 0
+"""
+
+
+@query("create_registry", with_views(["docs_registry"], """
+SELECT r.hash_sum, coalesce(c.name, r.name) AS name, coalesce(c.period, r.period) AS period,
+  coalesce(c.link, r.link) AS link, r.validation, r.is_active
+FROM docs_registry r LEFT JOIN made c ON c.hash_sum = r.hash_sum
+UNION ALL
+SELECT sha256(concat_ws(':', coalesce(name, 'None'), coalesce(period, 'None'), coalesce(link, 'None'))), name, period, link,
+  NULL, TRUE
+FROM made WHERE hash_sum IS NULL
+""", made=_NEW_ROWS))
+def q_create_registry(spark, sf_dir):
+    r = view(spark, sf_dir, "docs_registry")
+    number = F.col("hash_sum").cast("bigint")
+    made = r.where(number % 9 == 0).select(F.when(number % 2 == 0, F.col("hash_sum")).alias("hash_sum"),
+                                           F.concat(F.lit("made "), "name").alias("name"), "period", "link")
+    return reg.create_or_update(r, made)
+
+
 @query("distinct_values", with_views(["li_keys"], """
 SELECT 'k1' AS field, CAST(k1 AS STRING) AS value FROM li_keys
 UNION SELECT 'k2' AS field, CAST(k2 AS STRING) AS value FROM li_keys
