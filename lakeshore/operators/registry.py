@@ -105,11 +105,10 @@ def update_registry(registry: DataFrame, changes: DataFrame, key: str = "hash_su
 
 def missing_counts(registry: DataFrame, catalog: DataFrame, link_col: str = "link", path_col: str = "path") -> DataFrame:
     """C4, the summary: active rows checked, files missing, rows updated."""
-    gone = missing_files(registry, catalog, link_col, path_col).agg(F.count(F.lit(1)).alias("missing"))
-    checked = registry.agg(F.count_if("is_active").alias("checked"))
-    # Two one-row tables side by side.
-    both = checked.withColumn("one", F.lit(1)).join(gone.withColumn("one", F.lit(1)), "one")
-    return both.select("checked", "missing", F.col("missing").alias("updated"))
+    present = catalog.select(F.col(path_col).alias(link_col)).distinct().withColumn("_present", F.lit(True))
+    gone = F.col("is_active") & F.col("_present").isNull()
+    return registry.join(present, link_col, "left").agg(
+        F.count_if("is_active").alias("checked"), F.count_if(gone).alias("missing"), F.count_if(gone).alias("updated"))
 
 
 def create_or_update(registry: DataFrame, changes: DataFrame, key: str = "hash_sum") -> DataFrame:
