@@ -32,7 +32,6 @@ from pyspark.sql import functions as F
 
 from lakeshore.llm.common import materialise, text_or_empty
 from lakeshore.llm.license_texts import TEMPLATES as LICENSES
-from lakeshore.llm.pii import matches
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -150,8 +149,16 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     less = F.coalesce((before["best"]["to"] > F.col("from")) & (before["best"]["containment"] > F.col("best.containment")), F.lit(False))
     less = less | F.coalesce((after["from"] < F.col("best.to")) & (after["best"]["containment"] > F.col("best.containment")), F.lit(False))
     place = place.withColumn("less", less).filter("not less")
-    found = rows.join(place, "rid").withColumn("at", matches(F.col("text"), WORDS))
-    start = F.element_at("at", (F.col("from") + 1).cast("int"))["start"]
-    end = F.element_at("at", (F.col("best.to") + 1).cast("int"))["end"]
+    found = rows.join(place, "rid").withColumn("gaps", F.split("text", WORDS, -1)).withColumn(
+        "runs", F.regexp_extract_all("text", F.lit(WORDS), F.lit(0)))
+
+    def reach(number: Column) -> Column:
+        """Code points before word ``number`` (from 0): its gaps and the words before it."""
+        return (F.length(F.array_join(F.slice("gaps", F.lit(1), (number + 1).cast("int")), ""))
+                + F.length(F.array_join(F.slice("runs", F.lit(1), number.cast("int")), ""))).cast("long")
+
+    found = found.withColumn("begin", reach(F.col("from"))).withColumn(
+        "stop", reach(F.col("best.to")) + F.length(F.get("runs", F.col("best.to").cast("int"))))
+    start, end = F.col("begin"), F.col("stop")
     return found.select("id", "license", F.col("best.containment").alias("containment"), start.alias("start"), end.alias("end"),
                         F.substr(F.col("text"), (start + 1).cast("int"), (end - start).cast("int")).alias("passage"))
