@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from lakeshore.llm.common import lower_words, materialise, text_or_empty
 
 #: Text bytes of a block, and of the documents per shard, about.
-BLOCK = 8 << 20
+BLOCK = 6 << 20
 #: Weight m of the unigram in a context.
 WEIGHT = 20.0
 END = 0         # token number of the end; also the context in which a text begins
