@@ -81,3 +81,24 @@ def test_held_out_accuracy(spark):
                  F.avg(F.when(F.col("toxic") == 1, F.col("predicted"))).alias("recall"),
                  F.avg(F.when(F.col("toxic") == 0, F.col("predicted"))).alias("false")).first()
     assert r["right"] > 0.97 and r["recall"] > 0.9 and r["false"] < 0.02
+
+
+def test_all_terms_of_the_examples_count(spark):
+    """Few toxic labels, words that clean texts hold too, and a word of one example."""
+    rnd = random.Random(8)
+    filler = lambda: ["".join(rnd.choice("abcdefgh") for _ in range(3)) for _ in range(8)]
+    weak = ["daft", "silly", "dull"]
+    rows, labels = [], []
+    for i in range(400):
+        toxic = i % 20 == 0
+        ws = filler() + (rnd.sample(weak, 2) if toxic else [rnd.choice(weak)] if i % 16 == 1 else ["calm"])
+        rows.append((i, " ".join(ws + ["onlyhere"] * (i == 120))))
+        labels.append((i, 1, int(toxic)))
+    rows += [(i, " ".join(filler() + (weak if i < 1010 else ["calm"]))) for i in range(1000, 1020)] + [(2000, "onlyhere")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    marks = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    index, _ = toxicity.fit(docs, marks)
+    assert len(index.vocabulary) == len(set().union(*[toxicity.terms(t) for i, t in rows if i < 400]))
+    got = {r["id"]: r for r in toxicity.score_documents(docs, marks).collect()}
+    assert sum((got[i]["score"] >= 0.5) == (i < 1010) for i in range(1000, 1020)) >= 18
+    assert got[2000]["neighbours"] == [120]
