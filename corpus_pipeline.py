@@ -4,6 +4,7 @@ Each stage is written as Parquet and read again as the next one's input."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,10 +38,23 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(docs)
 
 
+def in_written_order(docs: DataFrame) -> DataFrame:
+    """The rows in the order of the part files and rows of their table: a scan
+    reads the files by size, not by part number.  Frames that are not read from
+    files have no such place and stay as they are."""
+    try:
+        place = docs.metadataColumn("_metadata")
+        return docs.select("*").orderBy(F.regexp_extract(place["file_name"], r"^part-(\d+)", 1).try_cast("bigint"),
+                                        place["file_name"], place["row_index"])
+    except AnalysisException:
+        return docs
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix cut into sequences, one row per piece with its token ids (operator 8)."""
+    """The mix cut into sequences along the curriculum, one row per piece with
+    its token ids (operator 8)."""
     ship_package(spark)
-    return packing.pack(docs, tokenizer_path()).withColumnRenamed("id", "doc_id").withColumn(
+    return packing.pack(in_written_order(docs), tokenizer_path()).withColumnRenamed("id", "doc_id").withColumn(
         "ids_crc32", F.crc32("ids"))
 
 

@@ -84,3 +84,13 @@ def test_stages_on_odd_rows(spark, odd, empty, clash, sf01):
                 assert docs.columns == start.columns
         if start is empty:
             assert docs.count() == 0
+
+
+def test_packing_follows_the_curriculum_over_many_files(spark, sf01):
+    rows = [(i, "word " * (5 + 40 * (i // 10)), "en", "s", 1) for i in range(80)]     # later files are larger
+    mix = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    mix = materialise(mix.repartitionByRange(8, "doc_id").sortWithinPartitions("doc_id"), "test-order")
+    assert len(mix.inputFiles()) > 4
+    got = corpus_pipeline.pack_sequences(spark, mix, sf01).orderBy("sequence_id", "offset").collect()
+    order = [r["doc_id"] for r in got]
+    assert order == sorted(order) and set(order) == set(range(80))
