@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeshore.llm import exact_dedup, licenses, lm_scoring, mixing, packing, pii, quality, simhash, topk_search, toxicity
+from lakeshore.llm import alignment, exact_dedup, licenses, lm_scoring, mixing, packing, pii, quality, simhash, topk_search, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -158,3 +158,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [count(kind) for kind in pii.KINDS]
     return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"),
                         pii.joined(F.col("spans")).alias("spans"))
+
+
+@query("op13_alignment")
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both tokenizers over every document, aligned by bytes, with corpus-wide link counts."""
+    aligned = alignment.align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"),
+                              tokenizer_path("piece_bpe_32k.model"), digest=True)
+    return aligned.select(F.col("id").cast("bigint").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
+                          F.col("groups").alias("groups_sha256"))
