@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeshore.llm import alignment, exact_dedup, licenses, lm_scoring, mixing, packing, pii, quality, simhash, topk_search, toxicity
+from lakeshore.llm import alignment, exact_dedup, licenses, lm_scoring, mixing, packing, pii, quality, sharding, simhash, topk_search, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -167,3 +167,45 @@ def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
                               tokenizer_path("piece_bpe_32k.model"), digest=True)
     return aligned.select(F.col("id").cast("bigint").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
                           F.col("groups").alias("groups_sha256"))
+
+
+#: CRC-32 of a hexadecimal string's bytes by table, in DuckDB's SQL (it has no such function).
+CRC = """
+crc_bits(i, k, c) AS (
+  SELECT i, 0, i FROM (SELECT unnest(generate_series(0, 255))::BIGINT AS i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc_bits WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY i) AS t FROM crc_bits WHERE k = 8)"""
+
+
+def crc_sql(text: str) -> str:
+    """SQL for the CRC-32 of the UTF-8 bytes of expression ``text``; needs ``CRC`` and ``crc_table``."""
+    pairs = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::BIGINT)"
+    return (f"xor(list_reduce(list_prepend(4294967295::BIGINT, {pairs}), "
+            "lambda c, b: xor(c >> 8, t[1 + xor(c, b) % 256])), 4294967295)")
+
+
+@query("op11_sharding", f"""
+WITH RECURSIVE {CRC},
+d AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT + 8 AS size, {crc_sql("coalesce(text, '')")} AS text_crc32,
+         ('0x' || md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, '')))[1:8])::BIGINT % {sharding.SLOTS} AS home,
+         row_number() OVER (PARTITION BY doc_id, text) - 1 AS copy
+  FROM documents, crc_table),
+e AS (SELECT *, (home + copy) % {sharding.SLOTS} AS virtual_slot FROM d),
+s AS (SELECT virtual_slot, sum(size)::BIGINT AS bytes, count(*) AS n, row_number() OVER (ORDER BY sum(size) DESC, virtual_slot) AS turn
+      FROM e GROUP BY virtual_slot),
+deal(turn, virtual_slot, shard, loads) AS (
+  SELECT 0::BIGINT, -1::BIGINT, -1::BIGINT, list_transform(generate_series(1, 24), lambda x: 0::BIGINT)
+  UNION ALL
+  SELECT s.turn, s.virtual_slot, list_position(loads, list_min(loads)) - 1,
+         list_transform(generate_series(1, 24), lambda i: loads[i] + CASE WHEN i = list_position(loads, list_min(loads)) THEN s.bytes ELSE 0 END)
+  FROM deal JOIN s ON s.turn = deal.turn + 1)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard::INTEGER AS shard, virtual_slot::INTEGER AS virtual_slot,
+       row_number() OVER (PARTITION BY shard ORDER BY virtual_slot, doc_id NULLS FIRST, size, text_crc32) - 1 AS slot,
+       NULL::INTEGER AS grown_shard
+FROM e JOIN deal USING (virtual_slot)""")
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards of nearly equal size, by a map of virtual slots."""
+    rows, _ = sharding.shard(table(spark, sf_dir, "documents"), 24)
+    return rows.select(F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard",
+                       F.col("slot").alias("virtual_slot"), F.col("place").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
