@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeshore.llm import alignment, exact_dedup, licenses, lm_scoring, mixing, packing, pii, quality, sharding, simhash, topk_search, toxicity
+from lakeshore.llm import alignment, conversations, exact_dedup, licenses, lm_scoring, mixing, packing, pii, quality, sharding, simhash, topk_search, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -209,3 +209,9 @@ def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = sharding.shard(table(spark, sf_dir, "documents"), 24)
     return rows.select(F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard",
                        F.col("slot").alias("virtual_slot"), F.col("place").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op12_conversations")
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged and repaired by the cheapest edits."""
+    return conversations.repair(conversations.damage(table(spark, sf_dir, "conversations"))).withColumnRenamed("conv", "conv_id")
