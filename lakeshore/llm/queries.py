@@ -211,7 +211,85 @@ def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("slot").alias("virtual_slot"), F.col("place").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
-@query("op12_conversations")
+def _way(value: str, cost: str, letter: str) -> str:
+    """SQL: a way, six digits of cost and the audit, made longer by an edit."""
+    return f"lpad(({value}[1:6]::BIGINT + {cost})::VARCHAR, 6, '0') || {value}[7:] || '{letter}'"
+
+
+def _lattice_sql() -> tuple[str, str]:
+    """SQL of the next layer of the lattice: after one row's Keep, Rerole or
+    Delete (states n0 to n3 from v0 to v3), then after Inserts (w0 to w3)."""
+    extra = "(fault = 3)::BIGINT"
+
+    def keep(s: int, letter: str) -> str:
+        return f"CASE WHEN fault NOT IN (1, 2) AND letter = '{letter}' THEN {_way(f'v{s}', extra, 'K')} END"
+
+    def rerole(s: int) -> str:
+        return f"CASE WHEN fault NOT IN (1, 2) THEN {_way(f'v{s}', f'2 + {extra}', 'R')} END"
+    delete = [_way(f"v{s}", "3", "D") for s in range(4)]
+    to_user = ", ".join(f"{keep(s, 'u')}, {rerole(s)}" for s in (0, 1, 3))
+    row = (f"{delete[0]} AS n0, least({delete[1]}, {keep(0, 's')}) AS n1, least({delete[2]}, {to_user}) AS n2, "
+           f"least({delete[3]}, {keep(2, 'a')}, {rerole(2)}) AS n3")
+    user = f"least(n2, {_way('n0', '2', 'I')}, {_way('n1', '2', 'I')})"
+    inserts = (f"n0 AS w0, n1 AS w1, least({user}, {_way('n3', '2', 'I')}) AS w2, "
+               f"least(n3, {_way(f'({user})', '2', 'I')}) AS w3")
+    return row, inserts
+
+
+_ROW, _INSERTS = _lattice_sql()
+
+
+@query("op12_conversations", f"""
+WITH RECURSIVE {CRC},
+base AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {crc_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS kind
+  FROM conversations, crc_table),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM base WHERE kind <> 0),
+ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS again,
+         regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS body, role[1:1] AS letter FROM damaged),
+facts AS (
+  SELECT *, CASE WHEN body = '' THEN 1 WHEN again > 1 THEN 2 WHEN body[-1:] IN ('.', '!', '?') THEN 0 ELSE 3 END AS fault,
+         lag(letter) OVER (PARTITION BY conv_id ORDER BY i) AS before
+  FROM ordered),
+counts AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank,
+         count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+         count(*) FILTER (before IS NOT NULL AND before || letter NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM facts GROUP BY conv_id),
+layers(conv_id, i, w0, w1, w2, w3) AS (
+  SELECT conv_id, 0::BIGINT, '000000', NULL::VARCHAR, '000002I', '000004II' FROM counts
+  UNION ALL
+  SELECT conv_id, i, {_INSERTS} FROM (
+    SELECT conv_id, i, {_ROW} FROM (
+      SELECT f.conv_id, f.i, f.fault, f.letter, w0 AS v0, w1 AS v1, w2 AS v2, w3 AS v3
+      FROM layers JOIN facts f ON f.conv_id IS NOT DISTINCT FROM layers.conv_id AND f.i = layers.i + 1))),
+ways AS (
+  SELECT c.*, least(w0, w3)[1:6]::BIGINT AS cost, least(w0, w3)[7:] AS audit
+  FROM counts c JOIN layers l ON l.conv_id IS NOT DISTINCT FROM c.conv_id AND l.i = c.n),
+walk(conv_id, audit, p, i, state, said) AS (
+  SELECT conv_id, audit, 1::BIGINT, 0::BIGINT, 0, []::VARCHAR[] FROM ways
+  UNION ALL
+  SELECT conv_id, audit, p + 1, i, CASE edit WHEN 'D' THEN state ELSE CASE letter WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END END,
+         CASE edit WHEN 'D' THEN said ELSE list_append(said, CASE WHEN edit = 'K' THEN role WHEN letter = 'u' THEN 'user' ELSE 'assistant' END
+                                                             || ':' || CASE edit WHEN 'I' THEN '' ELSE text END) END
+  FROM (
+    SELECT w.conv_id, w.audit, w.p, w.i + (w.audit[w.p:w.p] <> 'I')::BIGINT AS i, w.state, w.said, w.audit[w.p:w.p] AS edit, f.role, f.text,
+           CASE WHEN w.audit[w.p:w.p] = 'K' THEN f.letter WHEN w.state = 2 THEN 'a' ELSE 'u' END AS letter
+    FROM walk w LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1
+    WHERE w.p <= length(w.audit))),
+told AS (SELECT conv_id, said FROM walk WHERE p = length(audit) + 1)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit,
+       sha256(coalesce(array_to_string(said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a
+LEFT JOIN ways w ON w.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN told t ON t.conv_id IS NOT DISTINCT FROM a.conv_id""")
 def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, damaged and repaired by the cheapest edits."""
     return conversations.repair(conversations.damage(table(spark, sf_dir, "conversations"))).withColumnRenamed("conv", "conv_id")
