@@ -12,11 +12,12 @@ of one multi-byte character share a span, and byte-fallback tokens have an
 empty one.  A span is taken where it agrees with the token's decoded bytes;
 elsewhere the end is the previous end plus the length of those bytes.
 
-No token of either crosses from a visible character into a space or line feed
-(checked on the files: the first cuts words by its pattern, the second has no
-such piece), so a text's tokens are those of its stretches ``\\s*\\S+`` one
-after another.  Each distinct stretch is aligned once and remembered.  Where
-the check fails, the whole text is one stretch.
+No token of either crosses from a visible character into a space or line feed,
+or from a Latin letter into a mark of punctuation (checked on the files: the
+first cuts words by its pattern, the second has no such piece), so a text's
+tokens are those of its stretches, cut there, one after another.  Distinct
+stretches are aligned together and remembered.  Tokenizers that fail the check
+are refused.
 
 Blocks of ``BLOCK`` bytes of text are written with their documents' stretches
 and the distinct id pairs.  Pairs are counted by one aggregation over the
@@ -52,8 +53,8 @@ from lakeshore.llm.packing import Memory
 #: Bytes of text per block.
 BLOCK = 8 << 20
 #: Remembered stretches per worker, and the longest one in characters.
-CACHE, LONGEST = 100_000, 128
-_STRETCH = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+CACHE, LONGEST = 300_000, 64
+_LATIN = "[A-Za-zÀ-ÖØ-öø-ɏ]"
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 #: Between a visible character and a space or line feed.
 _CUT = re.compile(r"(?<=\S)(?=[ \n])")
@@ -64,31 +65,30 @@ class Stretch(NamedTuple):
     n_b: int
     n_groups: int
     groups: str                     # "a1,a2|b1;a3|b2"
-    links: np.ndarray               # a << 32 | b, one entry per link
+    links: bytes                    # a << 32 | b as 64-bit numbers, one per link
 
 
-def byte_ends(spans: Iterable[tuple[int, int]], decoded: Iterable[bytes]) -> list[int]:
-    """Ends of tokens from coarse byte spans, refined by their decoded bytes."""
-    ends, at = [], 0
-    for (start, end), raw in zip(spans, decoded):
-        at = end if start == at and end - start == len(raw) else at + len(raw)
-        ends.append(at)
-    return ends
+NONE = Stretch(0, 0, 0, "", b"")
 
 
-def link(a: list[int], ends_a: list[int], b: list[int], ends_b: list[int]) -> Stretch:
-    """Groups and links of two token sequences over the same bytes."""
-    links, groups = [], []
-    i = j = first_a = first_b = 0
-    while i < len(a):
-        links.append(a[i] << 32 | b[j])
-        step = ends_a[i] - ends_b[j]
-        i += step <= 0
-        j += step >= 0
-        if not step:
-            groups.append(f"{','.join(map(str, a[first_a:i]))}|{','.join(map(str, b[first_b:j]))}")
-            first_a, first_b = i, j
-    return Stretch(len(a), len(b), len(groups), ";".join(groups), np.array(links, np.int64))
+def byte_ends(start: np.ndarray, end: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Ends of consecutive tokens from coarse byte spans, refined by the
+    ``size`` of their decoded bytes: a span that is as long as the token and
+    starts where the one before ended is a sure cut; the ends after it are
+    counted on from it."""
+    counted = np.cumsum(size)
+    sure = (end - start == size) & (start == counted - size)
+    last = np.maximum.accumulate(np.where(sure, np.arange(len(size)), -1))
+    return np.where(last >= 0, end[last] + counted - counted[last], counted)
+
+
+def link(a: np.ndarray, ends_a: np.ndarray, b: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of two token sequences over the same bytes: the links in order, where
+    each ends, and the ends that both share.  Between two neighbouring ends of
+    either lies one token of each, and two tokens overlap in one such piece."""
+    ends = np.union1d(ends_a, ends_b)
+    links = a[np.searchsorted(ends_a, ends)] << 32 | b[np.searchsorted(ends_b, ends)]
+    return links, ends, np.intersect1d(ends_a, ends_b, assume_unique=True)
 
 
 class Aligner:
@@ -108,8 +108,14 @@ class Aligner:
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.cuts = self._by_words() and not any(re.search(r"[^\s▁][▁ \n]|.\n|\n.", p, re.S) for p in pieces)
-        self.space = self.b.piece_to_id("▁")
+        self.size_a = np.array([len(self.bytes_a[i]) for i in range(len(self.bytes_a))])
+        self.size_b = np.array([len(x) for x in self.bytes_b])
+        if not self._by_words() or any(re.search(r"[^\s▁][▁ \n]|.\n|\n.", p, re.S) for p in pieces):
+            raise ValueError("tokens of these tokenizers may cross from a visible character into a space")
+        # Marks that no piece of the second holds after a Latin letter; the first always cuts there.
+        marks = "".join(m for m in ".,!?;:" if not any(re.search(f"{_LATIN}{re.escape(m)}", p) for p in pieces))
+        word = f"[ \n]*{_LATIN}+(?=[{marks}])|" if marks else ""
+        self.stretch = re.compile(word + r"[ \n]*[^ \n]+|[ \n]+")
         self.memory = Memory(CACHE)
 
     def _by_words(self) -> bool:
@@ -125,39 +131,54 @@ class Aligner:
 
     def stretches(self, text: str) -> list[str]:
         """Space and text, cut where no token of either crosses."""
-        if not self.cuts:
-            return [" " + text]
-        return _CUT.split(" " + text) if _OTHER_SPACE.search(text) else _STRETCH.findall(" " + text)
+        return _CUT.split(" " + text) if _OTHER_SPACE.search(text) else self.stretch.findall(" " + text)
 
     def align(self, stretches: list[str]) -> list[Stretch | None]:
         """The alignment of each; None where the joined bytes differ."""
-        out = []
-        # The second puts a space of its own in front: it replaces that of the stretch or goes again.
-        own = [s[:1] != " " for s in stretches]
-        for s, whole, a, b in zip(stretches, own, self.a.encode_batch(stretches, add_special_tokens=False),
-                                  self.b.encode([s if o else s[1:] for s, o in zip(stretches, own)], return_type="proto", num_threads=1)):
-            raw, pieces = s.encode(), [(p.id, p.begin, p.end) for p in b.pieces]
-            if s == " ":                    # the second has no token for its own space alone
-                pieces = [(self.space, 0, 0)]
-            elif whole:
-                pieces = pieces[1:] if pieces and pieces[0][0] == self.space else None
-            ids_a, ids_b = a.ids, [p[0] for p in pieces or ()]
-            decoded_a, decoded_b = [self.bytes_a[i] for i in ids_a], [self.bytes_b[i] for i in ids_b]
-            if pieces is None or b"".join(decoded_a) != raw or b"".join(decoded_b) != raw:
-                out.append(None)
-                continue
-            at = range(len(s) + 1) if len(raw) == len(s) else [0, *np.cumsum([len(c.encode()) for c in s]).tolist()]
-            ends_a = byte_ends(((at[x], at[y]) for x, y in a.offsets), decoded_a)
-            add = 0 if whole else 1
-            spans_b = [(start + add, end + add) for _, start, end in pieces]
-            if add:
-                spans_b[0] = 0, spans_b[0][1]
-            out.append(link(ids_a, ends_a, ids_b, byte_ends(spans_b, decoded_b)))
-        return out
+        if not stretches:
+            return []
+        # The second puts a space of its own in front: with a line feed behind it, it stays apart and goes again.
+        first = self.a.encode_batch(stretches, add_special_tokens=False)
+        second = [y.pieces for y in self.b.encode(["\n" + s for s in stretches], return_type="proto", num_threads=1)]
+        n_a, n_b = [len(x) for x in first], [len(y) - 2 for y in second]
+        a = np.empty((sum(n_a), 3), np.int64)
+        a[:, 0] = np.fromiter(chain.from_iterable([x.ids for x in first]), np.int64, len(a))
+        a[:, 1:] = np.fromiter(chain.from_iterable(chain.from_iterable([x.offsets for x in first])), np.int64, 2 * len(a)).reshape(-1, 2)
+        b = np.array([(p.id, p.begin, p.end) for y in second for p in y[2:]], np.int64).reshape(-1, 3)
+        # Spans as places in the bytes of the joined stretches.
+        whole = "".join(stretches)
+        raw = whole.encode()
+        codes = np.frombuffer(whole.encode("utf-32-le"), "<u4")
+        place = np.concatenate(([0], np.cumsum(1 + (codes > 0x7F).astype(np.int64) + (codes > 0x7FF) + (codes > 0xFFFF))))
+        chars = np.cumsum([0, *map(len, stretches)])
+        a[:, 1:] = place[a[:, 1:] + np.repeat(chars[:-1], n_a)[:, None]]
+        b[:, 1:] += np.repeat(place[chars[:-1]] - 1, n_b)[:, None]
+        if (b"".join(map(self.bytes_a.__getitem__, a[:, 0].tolist())) != raw
+                or b"".join(map(self.bytes_b.__getitem__, b[:, 0].tolist())) != raw):
+            half = len(stretches) // 2
+            return self.align(stretches[:half]) + self.align(stretches[half:]) if half else [None]
+        ends_a, ends_b = (byte_ends(x[:, 1], x[:, 2], size[x[:, 0]]) for x, size in ((a, self.size_a), (b, self.size_b)))
+        links, ends, common = link(a[:, 0], ends_a, b[:, 0], ends_b)
+        # All groups as text at once: their ids in order, and what stands after each.
+        group = np.concatenate((np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)))
+        side = np.repeat([0, 1], [len(a), len(b)])
+        order = np.argsort(group * 2 + side, kind="stable")
+        ids, group, side = np.concatenate((a[:, 0], b[:, 0]))[order], group[order], side[order]
+        limits = place[chars[1:]]
+        after = np.append((group[1:] != group[:-1]) * 2 + (side[1:] != side[:-1]) * (group[1:] == group[:-1]), 2)
+        after[np.searchsorted(group, np.searchsorted(common, limits), side="right") - 1] = 3
+        text = "".join(chain.from_iterable(zip(map(str, ids.tolist()), map(",|;\n".__getitem__, after.tolist())))).split("\n")
+        cut_a, cut_b, cut_groups, cut_links = (
+            [0, *np.searchsorted(x, limits, side="right").tolist()] for x in (ends_a, ends_b, common, ends))
+        packed = links.tobytes()
+        return [Stretch(cut_a[k + 1] - cut_a[k], cut_b[k + 1] - cut_b[k], cut_groups[k + 1] - cut_groups[k], text[k],
+                        packed[8 * cut_links[k]:8 * cut_links[k + 1]]) for k in range(len(stretches))]
 
     def recall(self, stretches: list[str]) -> list[Stretch | None]:
         """``align`` of distinct stretches, remembering those of usual length."""
-        found = [self.memory.get(s) or self.memory.recall(s) for s in stretches]
+        found = list(map(self.memory.get, stretches))
+        for i in [i for i, x in enumerate(found) if x is None]:
+            found[i] = self.memory.recall(stretches[i])
         new = [i for i, x in enumerate(found) if x is None]
         for start in range(0, len(new), 4096):
             some = new[start:start + 4096]
@@ -214,9 +235,9 @@ def align_block(ids: pa.Array, texts: list[str | None], aligner: Aligner, digest
     number = {s: i for i, s in enumerate(dict.fromkeys(chain.from_iterable(lists)))}
     found = aligner.recall(list(number))
     sound = np.array([x is not None for x in found], bool)
-    none = Stretch(0, 0, 0, "", np.zeros(0, np.int64))
-    found = [x or none for x in found]
-    sizes = np.array([(x.n_a, x.n_b, x.n_groups, len(x.links)) for x in found], np.int64).reshape(-1, 4)
+    found = [x or NONE for x in found]
+    sizes = np.array([(x.n_a, x.n_b, x.n_groups, len(x.links) // 8) for x in found], np.int64).reshape(-1, 4)
+    text_of = [x.groups for x in found]
     weight = np.zeros(len(found), np.int64)
     figures, groups, words, counts = [], [], [], []
     for stretches in lists:
@@ -224,17 +245,17 @@ def align_block(ids: pa.Array, texts: list[str | None], aligner: Aligner, digest
         if not len(at) or not sound[at].all():
             at = at[:0]
         figures.append(sizes[at].sum(axis=0))
-        joined = ";".join([found[i].groups for i in at.tolist()])
+        joined = ";".join(map(text_of.__getitem__, at.tolist()))
         groups.append(hashlib.sha256(joined.encode()).hexdigest() if digest and len(at) else joined)
         distinct, n = np.unique(at, return_counts=True)
         weight[distinct] += n
         words.append(distinct)
         counts.append(n)
     use = weight > 0                        # the others stand in texts without tokens only
-    links = [x.links if u else none.links for x, u in zip(found, use)]
-    flat = np.concatenate([none.links, *links])
-    pairs, place = np.unique(flat, return_inverse=True)
-    n = np.bincount(place, np.repeat(weight, [len(x) for x in links]), len(pairs)).astype(np.int64) if len(pairs) else place
+    links = [x.links for x, u in zip(found, use) if u]
+    n_links = np.where(use, sizes[:, 3], 0)
+    pairs, place = np.unique(np.frombuffer(b"".join(links), np.int64), return_inverse=True)
+    n = np.bincount(place, np.repeat(weight, n_links), len(pairs)).astype(np.int64) if len(pairs) else place
     figures = np.array(figures, np.int64).reshape(-1, 4)
     table = pa.table([ids, *[pa.array(figures[:, i]) for i in range(4)], pa.array(groups, pa.string())],
                      names=["id", "n_a", "n_b", "n_groups", "n_links", "groups"])
@@ -244,7 +265,7 @@ def align_block(ids: pa.Array, texts: list[str | None], aligner: Aligner, digest
     zero = np.zeros(0, np.int64)
     return {"docs": sink.getvalue().to_pybytes(),
             "body": _packed(np.array([len(x) for x in words], np.int64), np.concatenate([zero, *[np.diff(x, prepend=0) for x in words]]),
-                            np.concatenate([zero, *counts]), np.array([len(x) for x in links], np.int64), place),
+                            np.concatenate([zero, *counts]), n_links, place),
             "pairs": zlib.compress(np.diff(pairs, prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1),
             "n": zlib.compress(n.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)}
 

@@ -39,6 +39,7 @@ import hashlib
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -62,36 +63,60 @@ SOUND, BLANK, DUPLICATE, CUT = range(4)
 Node = tuple[int, int]
 
 
+def known(letter: str) -> str:
+    """The letter if a role may have it anywhere, else none."""
+    return letter if letter and letter in "sua" else ""
+
+
 def fault(text: str) -> int:
     """Blank or cut short, by the text alone."""
     end = text.rstrip(ASCII_SPACE)
     return BLANK if not end else SOUND if end[-1] in ".!?" else CUT
 
 
-def edits(node: Node, rows: list[tuple[str, int]]) -> Iterator[tuple[str, int, Node]]:
+@cache
+def moves(letter: str, wrong: int) -> tuple[tuple[tuple[str, int, int], ...], ...]:
+    """By state before: (edit, cost, state after) of the edits that read a row
+    whose role has this letter and that has this fault."""
+    extra = TRUNCATED if wrong == CUT else 0
+    out = []
+    for state in range(4):
+        found = [("D", DELETE, state)]
+        if wrong not in (BLANK, DUPLICATE):
+            if letter in NEXT[state]:
+                found.append(("K", extra, NEXT[state][letter]))
+            found.append(("R", REROLE + extra, NEXT[state][MADE[state]]))
+        out.append(tuple(found))
+    return tuple(out)
+
+
+def turned(forward: tuple) -> tuple:
+    """The same edits by state after: (edit, cost, state before)."""
+    return tuple(tuple((edit, cost, before) for before in range(4) for edit, cost, after in forward[before] if after == state)
+                 for state in range(4))
+
+
+moves_back = cache(lambda letter, wrong: turned(moves(letter, wrong)))
+INSERTS = tuple((("I", INSERT, NEXT[state][MADE[state]]),) for state in range(4))
+INSERTS_BACK = turned(INSERTS)
+
+
+def edits(node: Node, rows: list[tuple[str, int]]) -> list[tuple[str, int, Node]]:
     """(letter, cost, next node) of the edits at a node; ``rows``: (letter of the role, fault)."""
     i, state = node
-    made = NEXT[state][MADE[state]]
-    yield "I", INSERT, (i, made)
+    out = [(edit, cost, (i, to)) for edit, cost, to in INSERTS[state]]
     if i < len(rows):
-        letter, wrong = rows[i]
-        yield "D", DELETE, (i + 1, state)
-        if wrong not in (BLANK, DUPLICATE):
-            extra = TRUNCATED if wrong == CUT else 0
-            if letter in NEXT[state]:
-                yield "K", extra, (i + 1, NEXT[state][letter])
-            yield "R", REROLE + extra, (i + 1, made)
+        out += [(edit, cost, (i + 1, to)) for edit, cost, to in moves(*rows[i])[state]]
+    return out
 
 
-def edits_back(node: Node, rows: list[tuple[str, int]]) -> Iterator[tuple[str, int, Node]]:
+def edits_back(node: Node, rows: list[tuple[str, int]]) -> list[tuple[str, int, Node]]:
     """(letter, cost, node before) of the edits that lead to a node."""
     i, state = node
-    for before in range(4):
-        for at in (i, i - 1):
-            if at >= 0:
-                for letter, cost, after in edits((at, before), rows):
-                    if after == node:
-                        yield letter, cost, (at, before)
+    out = [(edit, cost, (i, to)) for edit, cost, to in INSERTS_BACK[state]]
+    if i:
+        out += [(edit, cost, (i - 1, to)) for edit, cost, to in moves_back(*rows[i - 1])[state]]
+    return out
 
 
 class Side:
@@ -270,7 +295,7 @@ def solve(key: object, rows: list[tuple], out: Writer) -> None:
         if wrong != BLANK and (role, text) in seen:
             wrong = DUPLICATE
         seen.add((role, text))
-        lattice.append((role[:1], wrong))
+        lattice.append((known(role[:1]), wrong))
         facts.append((turn, role[:1], wrong))
     cost, audit = cheapest(lattice)
     finish(key, counts_of(facts), cost, audit, iter([(r, t) for _, r, t in rows]), out)
@@ -395,7 +420,7 @@ def _repair_long(left: DataFrame, key_type: str, messages: bool) -> DataFrame:
     def bridge(key: tuple, table: pa.Table) -> pa.Table:
         """A stretch for every pair of states at its ends."""
         rows = sorted(zip(*[table.column(c).to_pylist() for c in ("row", "turn", "letter", "fault")]))
-        lattice = [(letter, wrong) for _, _, letter, wrong in rows]
+        lattice = [(known(letter), wrong) for _, _, letter, wrong in rows]
         ways = [(s, t, *way) for s in range(4) for t in range(4)
                 if (t >= USER or s <= t) and (way := cheapest(lattice, s, (t,)))]
         c = counts_of([r[1:] for r in rows])

@@ -1,6 +1,7 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,10 +62,13 @@ TEXTS = ["Hello, world! don't stop", "日本語 テスト 😀😀 á", "a  b
 
 
 def test_byte_ends_refine_coarse_spans():
+    def ends(spans, decoded):
+        spans = np.array(spans)
+        return alignment.byte_ends(spans[:, 0], spans[:, 1], np.array([len(x) for x in decoded])).tolist()
     # One character of four bytes in three tokens: the spans of all cover the whole character.
-    assert alignment.byte_ends([(0, 1), (1, 5), (1, 5), (1, 5), (5, 6)], [b"a", b"\xf0", b"\x9f\x98", b"\x80", b"b"]) == [1, 2, 4, 5, 6]
+    assert ends([(0, 1), (1, 5), (1, 5), (1, 5), (5, 6)], [b"a", b"\xf0", b"\x9f\x98", b"\x80", b"b"]) == [1, 2, 4, 5, 6]
     # Byte fallback: empty spans before the last byte.
-    assert alignment.byte_ends([(0, 0), (0, 0), (0, 3)], [b"\xe2", b"\x96", b"\x81"]) == [1, 2, 3]
+    assert ends([(0, 0), (0, 0), (0, 3)], [b"\xe2", b"\x96", b"\x81"]) == [1, 2, 3]
 
 
 def test_stretches_align_like_whole_texts(aligner):
