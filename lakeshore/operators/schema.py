@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 
 from lakeshore.functions.types import (CONTRACT_SPARK, CONTRACT_TYPES, normalize_type, spark_type_name,
                                        type_compatible)
+from lakeshore.sources import records
+from lakeshore.sources.files import detect_format_by_name
 
 
 def schema_diff(src: DataFrame, tgt: DataFrame, src_dialect: str, tgt_dialect: str,
@@ -71,17 +73,27 @@ def _footer_fields(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         rows.append((path, i, field.name, str(field.type), bool(field.nullable)))
                 except pa.ArrowInvalid:     # not a parquet file; any other error fails the task
                     rows.append((path, -1, None, None, None))
-        yield pd.DataFrame(rows, columns=["path", "pos", "field", "arrow_type", "nullable"])
-
-
-def extract_schema(catalog: DataFrame) -> DataFrame:
-    """H16 over a file catalog: one row per (file, field) from each parquet
-    footer, read inside the tasks that own the files; the arrow type name is
-    normalised with the parquet dialect.  Unreadable files give one row with
-    a null field."""
-    fields = catalog.select("path").mapInPandas(
-        _footer_fields, "path string, pos int, field string, arrow_type string, nullable boolean")
-    return fields.withColumn("type", normalize_type(F.col("arrow_type"), "parquet"))
+        yield pd.DataFrame(rows, columns=["path", "pos", "field", "raw_type", "nullable"])
+
+
+def extract_schema(catalog: DataFrame, roots: list[str] | None = None) -> DataFrame:
+    """H16 over a file catalog: one row per (file, field).  Parquet fields come
+    from the footers, read inside the tasks that own the files, in the parquet
+    dialect; those of CSV and JSON files from all their values, joined per
+    file and column (``sources.records``), and may always be null.  A file
+    that cannot be read gives one row with a null field.  ``roots``: folders
+    that hold the text files (default: the catalog's common folder)."""
+    spark = catalog.sparkSession
+    by_name = detect_format_by_name(F.col("path"))
+    footers = catalog.where(by_name == "parquet").select("path").mapInPandas(
+        _footer_fields, "path string, pos int, field string, raw_type string, nullable boolean")
+    texts = catalog.where(by_name != "parquet").select("path").distinct()
+    found = records.text_schemas(spark, texts, roots)
+    texts = texts.join(found, "path", "left").select("path", F.coalesce("pos", F.lit(-1)).alias("pos"), "field", "raw_type",
+                                                     F.when(F.col("field").isNotNull(), True).alias("nullable"))
+    typed = [footers.withColumn("type", normalize_type(F.col("raw_type"), "parquet")),
+             texts.withColumn("type", normalize_type(F.col("raw_type"), "duckdb"))]
+    return typed[0].unionByName(typed[1])
 
 
 def describe(df: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from lakeshore.functions.types import COMPATIBLE_TYPES, CONTRACT_TYPES, TYPE_MAP
 from lakeshore.operators import schema as sc
 from lakeshore.plans.registry import query
 from lakeshore.plans.views import view, with_views
+from lakeshore.session import scratch_dir
 from lakeshore.sources.files import file_catalog
 
 CONTRACT = {"l_orderkey": "Int64", "l_quantity": "Int8", "l_returnflag": "Int64", "l_extendedprice": "Float64",
@@ -163,3 +164,39 @@ def q_validate_contract(spark, sf_dir):
 @query("extract_schema")
 def q_extract_schema(spark, sf_dir):
     return sc.extract_schema(file_catalog(spark, sf_dir, "parquet")).select("path", "pos", "field", "type", "nullable")
+
+
+#: Tables written as text files: columns in the order of the files (JSON fields come by name).
+_TEXT_TABLES = {
+    "nation": ["n_nationkey", "n_name", "n_regionkey"],
+    "region": ["r_regionkey", "r_name"],
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate"],
+}
+
+
+def _text_schema_sql() -> str:
+    """Types from every value of every column, by DuckDB's own casts."""
+    parts = []
+    for name, columns in _TEXT_TABLES.items():
+        for fmt in ("csv", "json"):
+            for pos, c in enumerate(columns if fmt == "csv" else sorted(columns)):
+                v = f"CAST({c} AS VARCHAR)"
+                parts.append(f"""SELECT '{name}_{fmt}' AS folder, {pos} AS pos, '{c}' AS field, CASE
+  WHEN count({c}) = 0 THEN 'VARCHAR' WHEN bool_and(TRY_CAST({v} AS BIGINT) IS NOT NULL AND NOT contains({v}, '.')) THEN 'BIGINT'
+  WHEN bool_and(TRY_CAST({v} AS DOUBLE) IS NOT NULL) THEN 'DOUBLE PRECISION' WHEN bool_and(lower({v}) IN ('true', 'false')) THEN 'BOOLEAN'
+  WHEN bool_and(TRY_CAST({v} AS DATE) IS NOT NULL AND length({v}) = 10) THEN 'DATE'
+  WHEN bool_and(TRY_CAST({v} AS TIMESTAMP) IS NOT NULL) THEN 'TIMESTAMP' ELSE 'VARCHAR' END AS type, TRUE AS nullable FROM {name}""")
+    return "\nUNION ALL\n".join(parts)
+
+
+@query("extract_text_schema", _text_schema_sql())
+def q_extract_text_schema(spark, sf_dir):
+    """Schemas of CSV files (two delimiters) and JSON files, all in one catalog."""
+    root = scratch_dir(spark, "text-schema")
+    for name, columns in _TEXT_TABLES.items():
+        rows = spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
+        rows.write.option("header", True).option("sep", ";" if name == "nation" else ",").csv(f"{root}/{name}_csv")
+        rows.write.json(f"{root}/{name}_json")
+    found = sc.extract_schema(file_catalog(spark, root))
+    folder = F.regexp_extract("path", r"([^/]*)/[^/]*$", 1)
+    return found.select(folder.alias("folder"), "pos", "field", "type", "nullable").distinct()

@@ -131,6 +131,14 @@ def _delimiter(lines: list[str]) -> str:
     return best
 
 
+def file_head(path: str, size: int = 1 << 20) -> tuple[list[str], str]:
+    """The first lines of a file that are not blank (some twenty, the last may
+    be cut by ``size``) and the delimiter that they have."""
+    with open_stream(path) as f:
+        lines = [ln for ln in f.read(size).decode("utf-8-sig", "replace").splitlines() if ln.strip()][:20]
+    return lines, _delimiter(lines)
+
+
 def _traits(encodings: tuple[str, ...], whole: bool):
     """Per file: the first encoding that decodes it (all of it if ``whole``),
     its delimiter and whether it is one JSON array."""
