@@ -9,7 +9,7 @@ repeated ``SALT`` times, the raw rows spread over the copies.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeshore.functions.urls import normalize_url, url_hash
@@ -43,6 +43,11 @@ def _known(links: DataFrame) -> DataFrame:
     return links.select(url_hash(F.col("url_normalized")).alias("url_hash")).distinct()
 
 
+def _order(order_col: str, url_col: str) -> Column:
+    """Which row of a hash is the first: by id, rows without one last."""
+    return F.struct(F.col(order_col).isNull(), F.col(order_col), F.col(url_col).isNull(), F.col(url_col))
+
+
 def links_exist(candidates: DataFrame, links: DataFrame, url_col: str = "url") -> DataFrame:
     """One flag per input row (duplicates kept)."""
     prepared = prepare_urls(candidates, url_col)
@@ -54,13 +59,14 @@ def links_exist(candidates: DataFrame, links: DataFrame, url_col: str = "url") -
 def new_links(candidates: DataFrame, links: DataFrame, url_col: str = "url", order_col: str = "id",
               compat: bool = False) -> DataFrame:
     """Status ``new`` for the first row of each hash not yet in the
-    table, ``duplicate`` otherwise.  ``compat=True`` marks every row of an
+    table, ``duplicate`` otherwise (rows that share the first id or have none
+    too, and its URL, are all ``new``).  ``compat=True`` marks every row of an
     unknown hash ``new`` (the reference's behaviour within one batch)."""
     prepared = prepare_urls(candidates, url_col)
     known = _known(links).withColumn("_known", F.lit(True))
-    firsts = prepared.groupBy("url_hash").agg(F.min(order_col).alias("_first"))
+    firsts = prepared.groupBy("url_hash").agg(F.min(_order(order_col, url_col)).alias("_first"))
     out = _give_back(prepared, firsts.join(known, "url_hash", "left"))
-    is_new = F.col("_known").isNull() & (F.lit(compat) | (F.col(order_col) == F.col("_first")))
+    is_new = F.col("_known").isNull() & (F.lit(compat) | _order(order_col, url_col).eqNullSafe(F.col("_first")))
     return (out.withColumn("status", F.when(is_new, F.lit("new")).otherwise(F.lit("duplicate")))
             .drop("_known", "_first"))
 
@@ -74,7 +80,7 @@ def insert_new(candidates: DataFrame, links: DataFrame, url_col: str = "url", or
     """A12 on links: rows to insert (first per hash, hash not present)."""
     prepared = prepare_urls(candidates, url_col)
     firsts = prepared.groupBy("url_hash").agg(
-        F.min_by(F.struct(F.col(order_col), F.col(url_col), F.col("url_normalized")), F.col(order_col)).alias("r"))
+        F.min_by(F.struct(F.col(order_col), F.col(url_col), F.col("url_normalized")), _order(order_col, url_col)).alias("r"))
     fresh = firsts.join(_known(links), "url_hash", "left_anti")
     return fresh.select(F.col("r")[order_col].alias(order_col), F.col("r")[url_col].alias(url_col),
                         F.col("r.url_normalized").alias("url_normalized"), "url_hash")

@@ -227,10 +227,7 @@ SELECT line_no, raw, regexp_matches(raw, '{_LOG_RE_SQL}') AS ok,
   CASE WHEN regexp_matches(raw, '{_LOG_RE_SQL}') THEN regexp_extract(raw, '{_LOG_RE_SQL}', 7) ELSE raw END AS msg
 FROM log_lines
 """
-_PARSED_COLS = ("line_no, time, level, name, line, file, func, msg, raw, "
-                "CASE WHEN NOT ok THEN 'lvl-raw' WHEN level = 'DEBUG' THEN 'lvl-debug' WHEN level = 'INFO' THEN 'lvl-info' "
-                "WHEN level = 'WARNING' THEN 'lvl-warn' WHEN level = 'ERROR' THEN 'lvl-error' "
-                "WHEN level = 'CRITICAL' THEN 'lvl-crit' ELSE 'lvl-raw' END AS cls")
+_PARSED_COLS = "line_no, time, level, name, line, file, func, msg, raw"
 
 
 def _parsed(spark, sf_dir):

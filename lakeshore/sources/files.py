@@ -8,12 +8,14 @@ Per-file facts (row count, hash) are Spark jobs over that catalog.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakeshore.sources.streams import open_file, open_stream
 
@@ -181,35 +183,70 @@ def file_traits(spark: SparkSession, path: str, encodings: tuple[str, ...] = ("u
     return files.mapInPandas(_traits(tuple(encodings), whole), "path string, encoding string, sep string, is_array boolean")
 
 
-def _by_layout(spark: SparkSession, path: str, traits: DataFrame, keys: list[str], read) -> DataFrame:
+def _by_layout(spark: SparkSession, path: str, traits: DataFrame, keys: list[str], read, unite: bool = True):
     """One read per layout that occurs (``read(paths, *layout)``), united by
     column name.  A single layout reads ``path`` itself; otherwise the file
     names of each layout (metadata, one row per file) make its path list."""
     layouts = [tuple(r) for r in traits.select(*keys).distinct().orderBy(*keys).collect()]
     if len(layouts) <= 1:
-        return read([path], *(layouts[0] if layouts else [None] * len(keys)))
+        only = read([path], *(layouts[0] if layouts else [None] * len(keys)))
+        return only if unite else [only]
     parts = []
     for layout in layouts:
         mine = traits
         for k, v in zip(keys, layout):
             mine = mine.where(F.col(k) == v)
         parts.append(read([r["path"] for r in mine.select("path").orderBy("path").collect()], *layout))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if unite else parts
 
 
 def scan_csv(spark: SparkSession, path: str, sep: str | None = None, infer: bool = True) -> DataFrame:
-    """A2: header, delimiter sniffing per file, type inference."""
-    def read(paths, found):
-        return spark.read.option("header", True).option("inferSchema", infer).option("sep", sep or found or ",").csv(paths)
+    """A2: header, delimiter sniffing per file, type inference.  Where files
+    of different delimiters give a column different types, all are read again with the
+    type that holds both: numbers widen, anything else is text."""
+    def read(paths, found, types=None):
+        reader = spark.read.option("header", True).option("sep", sep or found or ",")
+        first = reader.option("inferSchema", infer).csv(paths)
+        if types is None or not set(first.columns) & set(types):
+            return first
+        fields = [T.StructField(f.name, types.get(f.name, f.dataType)) for f in first.schema]
+        return reader.schema(T.StructType(fields)).csv(paths)
     if sep:
         return read([path], sep)
-    return _by_layout(spark, path, file_traits(spark, path), ["sep"], read)
+    traits = file_traits(spark, path)
+    seen: dict[str, set[T.DataType]] = {}
+
+    def look(paths, found):
+        df = read(paths, found)
+        for f in df.schema:
+            seen.setdefault(f.name, set()).add(f.dataType)
+        return df
+    found = _by_layout(spark, path, traits, ["sep"], look, unite=False)
+    types = {name: _wider(kinds) for name, kinds in seen.items() if len(kinds) > 1}
+    if types:
+        found = _by_layout(spark, path, traits, ["sep"], lambda paths, s: read(paths, s, types), unite=False)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
+
+
+def _wider(kinds: set[T.DataType]) -> T.DataType:
+    order = [T.IntegerType(), T.LongType(), T.DoubleType()]
+    return max(kinds, key=order.index) if all(k in order for k in kinds) else T.StringType()
 
 
 def scan_json(spark: SparkSession, path: str) -> DataFrame:
-    """A3: newline-delimited JSON or one JSON array, decided per file."""
-    return _by_layout(spark, path, file_traits(spark, path), ["is_array"],
-                      lambda paths, is_array: spark.read.option("multiLine", bool(is_array)).json(paths))
+    """A3: newline-delimited JSON, or one array or object over any number of
+    lines, decided per file by whether every line is JSON by itself.  A
+    folder that holds both is read as variants under their joined schema."""
+    from lakeshore.sources import records
+    files = file_catalog(spark, path).where("length > 0").select("path")
+    layout = records.json_layout(spark, files, [path])
+    kinds = [r["alone"] for r in layout.select("alone").distinct().collect()]
+    if len(kinds) < 2:
+        return spark.read.option("multiLine", kinds == [False]).json(path)
+    values = records.json_records(spark, files, [path], layout).where(F.schema_of_variant("record").startswith("OBJECT"))
+    found = values.agg(F.schema_of_variant_agg("record")).first()[0]
+    ddl = re.sub(r"DECIMAL\(\d+,\d+\)", "DOUBLE", re.sub(r"\b(VOID|VARIANT)\b", "STRING", found.replace("OBJECT<", "STRUCT<")))
+    return values.select(F.try_variant_get("record", "$", ddl).alias("r")).select("r.*")
 
 
 def scan_csv_as_text(spark: SparkSession, path: str, encodings=TEXT_ENCODINGS, sep: str | None = None) -> DataFrame:
@@ -291,42 +328,27 @@ def _per_file(df: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("rows"))
 
 
-def _json_rows(spark: SparkSession, files: list[str]) -> DataFrame:
-    """Records per JSON file: where every line is JSON by itself, the objects
-    and the items of arrays on the lines; else (one document over many
-    lines) the records of a multi-line read."""
-    lines = spark.read.text(files).where(F.trim("value") != "").select(
-        local_path(F.col("_metadata.file_path")).alias("path"), F.try_parse_json("value").alias("v"))
-    is_array = F.schema_of_variant("v").startswith("ARRAY")
-    size = F.when(is_array, F.size(F.try_variant_get("v", "$", "array<variant>"))).otherwise(1)
-    per = lines.groupBy("path").agg(F.sum(size).cast("long").alias("rows"), F.bool_and(F.col("v").isNotNull()).alias("alone"))
-    spread = [r["path"] for r in per.where(~F.col("alone")).select("path").collect()]
-    counted = per.where("alone").select("path", "rows")
-    if not spread:
-        return counted
-    return counted.unionByName(_per_file(spark.read.option("multiLine", True).json(spread)))
-
-
-def row_counts(spark: SparkSession, catalog: DataFrame) -> DataFrame:
-    """Rows per file; unknown formats count 0, unreadable files null.
-    Parquet counts come from each file's footer, read inside the tasks that
-    own the catalog rows (no data pages are touched, no path list on the
-    driver).  CSV and JSON are scanned, one Spark job per format; a file
-    with zero rows produces no group, so counts are joined back onto the
-    catalog and default to 0."""
+def row_counts(spark: SparkSession, catalog: DataFrame, roots: list[str] | None = None) -> DataFrame:
+    """Rows per file; unreadable files null.  Parquet counts come from
+    each file's footer, read inside the tasks that own the catalog rows (no
+    data pages are touched).  CSV and JSON files are read below ``roots``
+    (default: the catalog's common folder) by name pattern and matched to the
+    catalog by path, so no path list comes to the driver; a JSON file counts
+    its records (``sources.records``).  A file with zero rows produces no
+    group, so counts are joined back onto the catalog and default to 0."""
+    from lakeshore.sources import records
     fmts = catalog.select(detect_format_by_name(F.col("path")).alias("format"), "path")
-    footer = fmts.where(F.col("format") == "parquet").select("path").mapInPandas(_footer_rows, "path string, rows long")
-    known = [r["format"] for r in fmts.where(F.col("format") != "parquet").select("format").distinct().collect()]
-    parts = [footer]
-    for fmt in known:
-        files = [r["path"] for r in fmts.where(F.col("format") == fmt).select("path").collect()]
-        if not files:
-            continue
-        parts.append(_json_rows(spark, files) if fmt == "json" else _per_file(
-            spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(files)))
-    counts = parts[0]
-    for p in parts[1:]:
-        counts = counts.unionByName(p)
+    counts = fmts.where(F.col("format") == "parquet").select("path").mapInPandas(_footer_rows, "path string, rows long")
+    texts = fmts.where(F.col("format") != "parquet")
+    root = roots or [records.common_folder(texts)]
+    if root != [None]:
+        jsons, csvs = (records.of_format(texts, f) for f in ("json", "csv"))
+        counts = counts.unionByName(records.json_records(spark, jsons, root).groupBy("path").agg(F.count(F.lit(1)).alias("rows")))
+        pattern = records.name_pattern(csvs)
+        if pattern:
+            read = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+            rows = _per_file(read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).csv(root))
+            counts = counts.unionByName(rows.join(csvs, "path", "left_semi"))
     counts = counts.withColumn("_seen", F.lit(True))
     return (catalog.join(counts, "path", "left")
             .withColumn("rows", F.when(F.col("_seen"), F.col("rows")).otherwise(F.lit(0).cast("long")))

@@ -17,13 +17,14 @@ from __future__ import annotations
 import codecs
 import csv
 import io
+import re
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeshore.sources.files import EXTENSION_FORMATS, STATE_SUFFIXES, detect_format_by_name, file_head, local_path
+from lakeshore.sources.files import STATE_SUFFIXES, detect_format_by_name, file_head, local_path
 from lakeshore.sources.streams import open_stream
 
 #: Bits of a vote.
@@ -34,10 +35,16 @@ _DATE = r"^\d{4}-\d{2}-\d{2}$"
 _TIMESTAMP = r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?(Z|[+-]\d{2}:?\d{2})?$"
 
 
-def name_pattern(fmt: str) -> str:
-    """Glob of the file names of a format, with and without a state suffix."""
-    names = [e + s for e, f in EXTENSION_FORMATS.items() if f == fmt for s in ("", *STATE_SUFFIXES)]
-    return "{" + ",".join(f"*{n}" for n in names) + "}"
+def name_pattern(files: DataFrame) -> str | None:
+    """Glob that finds the names of ``files`` by their endings, which are few; None without files."""
+    state = "|".join(x.replace(".", r"\.") for x in STATE_SUFFIXES)
+    ending = F.regexp_extract("path", rf"(\.[^./]*?(?:{state})?|)$", 1)
+    found = sorted(r["e"] for r in files.select(ending.alias("e")).distinct().collect())
+    if not found:
+        return None
+    if any(not re.fullmatch(r"(\.[\w-]+)+", e) for e in found):
+        return "*"
+    return "{" + ",".join(f"*{e}" for e in found) + "}"
 
 
 def common_folder(catalog: DataFrame) -> str | None:
@@ -51,18 +58,16 @@ def common_folder(catalog: DataFrame) -> str | None:
 
 
 def of_format(catalog: DataFrame, fmt: str) -> DataFrame:
-    """Paths of a format whose names the reader's pattern finds."""
-    ends = [e + s for e, f in EXTENSION_FORMATS.items() if f == fmt for s in ("", *STATE_SUFFIXES)]
-    name = F.lower("path")
-    hit = F.lit(False)
-    for e in ends:
-        hit = hit | name.endswith(e)
-    return catalog.where(hit & (detect_format_by_name(F.col("path")) == fmt)).select("path").distinct()
+    """Paths of a format by name (other names count as CSV)."""
+    return catalog.where(detect_format_by_name(F.col("path")) == fmt).select("path").distinct()
 
 
-def text_lines(spark: SparkSession, files: DataFrame, roots: list[str], fmt: str) -> DataFrame:
+def text_lines(spark: SparkSession, files: DataFrame, roots: list[str]) -> DataFrame:
     """(path, value): the lines of ``files``, read below ``roots``."""
-    read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name_pattern(fmt)).text(roots)
+    pattern = name_pattern(files)
+    if pattern is None:
+        return spark.createDataFrame([], "path string, value string")
+    read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(roots)
     lines = read.select(local_path(F.col("_metadata.file_path")).alias("path"), "value")
     return lines.join(files, "path", "left_semi")
 
@@ -78,7 +83,7 @@ def _documents(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def json_layout(spark: SparkSession, files: DataFrame, roots: list[str]) -> DataFrame:
     """(path, alone): whether every line of a file is JSON by itself."""
-    lines = text_lines(spark, files, roots, "json").where(F.trim("value") != "")
+    lines = text_lines(spark, files, roots).where(F.trim("value") != "")
     return lines.groupBy("path").agg(F.bool_and(F.try_parse_json(_unmarked("value")).isNotNull()).alias("alone"))
 
 
@@ -92,7 +97,7 @@ def json_records(spark: SparkSession, files: DataFrame, roots: list[str], layout
     of an array are records of their own.  A file that is no JSON at all is
     one null record."""
     layout = json_layout(spark, files, roots) if layout is None else layout
-    lines = text_lines(spark, layout.where("alone").select("path"), roots, "json").where(F.trim("value") != "")
+    lines = text_lines(spark, layout.where("alone").select("path"), roots).where(F.trim("value") != "")
     whole = layout.where(~F.col("alone")).select("path").mapInPandas(_documents, "path string, value string")
     values = lines.unionByName(whole).select("path", F.try_parse_json(_unmarked("value")).alias("v"))
     items = F.when(F.schema_of_variant("v").startswith("ARRAY"), F.try_variant_get("v", "$", "array<variant>")).otherwise(F.array("v"))
@@ -163,7 +168,7 @@ def csv_votes(spark: SparkSession, files: DataFrame, roots: list[str]) -> DataFr
     width = found["width"] or 0
     if not width:
         return spark.createDataFrame([], "path string, pos int, field string, votes int")
-    lines = text_lines(spark, files, roots, "csv").join(heads.select("path", "sep", "head"), "path")
+    lines = text_lines(spark, files, roots).join(heads.select("path", "sep", "head"), "path")
     lines = lines.where((F.trim("value") != "") & (_unmarked("value") != F.coalesce("head", F.lit(""))))
     ddl = ", ".join(f"c{i} string" for i in range(width))
     cells = None

@@ -1,6 +1,6 @@
 """Field configuration (H28, H29) against plain-Python definitions."""
 
-from lakeshore.operators.config import config_frame, entity_columns, normalize_config
+from lakeshore.operators.config import config_frame, entity_columns, trimmed
 
 CFG = {
     " SRC-A ": {"processing": {"split_columns": [" trading_partner_code ", "period"]},
@@ -10,10 +10,9 @@ CFG = {
 }
 
 
-def test_normalize_config():
-    n = normalize_config(CFG)
-    assert "SRC-A" in n and n["SRC-A"]["processing"]["split_columns"] == ["trading_partner_code", "period"]
-    assert n["SRC-B"] == ["year", "reporter_code"] and n["SRC-A"]["column"]["flow"]["type"] == "String"
+def test_trimmed():
+    assert trimmed({" a ": [" x ", {"b\n": "\t y z "}], "": "  ", "q": ' say "hi" ', "n": 1}) == {
+        "a": ["x", {"b": "y z"}], "": "", "q": 'say "hi"', "n": 1}
 
 
 def test_config_frame(spark):

@@ -1,40 +1,32 @@
-"""Path metadata and folder operators against pathlib."""
+"""Path metadata and folder operators by examples."""
 
 import datetime as dt
-import re
-from pathlib import PurePosixPath
 
 from pyspark.sql import functions as F
 
 from lakeshore.functions.core import path_metadata
 from lakeshore.operators import catalog as cat
-from lakeshore.plans.views import view
 
 
-def spec_meta(p):
-    parts = list(PurePosixPath(p).parts)
-    idx = next((i for i, x in enumerate(parts) if re.match(r"^\d{4}-\d{2}-\d{2}$", x)), None)
-    if idx is None:
-        return (None, None, None)
-    source = parts[idx - 1] if idx > 0 else None
-    period = None
-    if idx + 1 < len(parts) and re.match(r"^\d{4}$|^\d{6}$|^\d{8}$", parts[idx + 1]):
-        period = parts[idx + 1]
-    try:
-        d = dt.datetime.strptime(parts[idx], "%Y-%m-%d").date()
-    except ValueError:
-        d = None
-    return (source, period, d)
-
-
-EDGE = ["2024-01-01/x.csv", "/a/2024-02-30/20240101/f", "/a/b/c.parquet", "rel/src/2023-12-31/1234/f", "/2024-01-01"]
-
-
-def test_path_metadata(spark, sf):
-    paths = [r.path for r in view(spark, sf, "paths").collect()] + EDGE
-    df = spark.createDataFrame([(p,) for p in paths], "path string")
-    got = [tuple(r.m) for r in df.select(path_metadata("path").alias("m")).collect()]
-    assert got == [spec_meta(p) for p in paths]
+DAY = dt.date(2024, 1, 1)
+#: Path -> (source, period, date).
+META = {
+    "2024-01-01/x.csv": (None, None, DAY),
+    "/2024-01-01": ("/", None, DAY),
+    "/a/2024-02-30/20240101/f": ("a", "20240101", None),
+    "/a/b/c.parquet": (None, None, None),
+    "rel/src/2023-12-31/1234/f": ("src", "1234", dt.date(2023, 12, 31)),
+    "/a/s/2024-01-01/202401/f.csv": ("s", "202401", DAY),
+    "/a/s/2024-01-01/20240/f.csv": ("s", None, DAY),
+    "/a/s/2024-01-01/2024-02-02/f.csv": ("s", None, DAY),
+    "/a/s/2024-1-01/2024-01-01/2024": ("2024-1-01", "2024", DAY),
+    "/s/x2024-01-01/2024-01-01y/f": (None, None, None),
+}
+
+
+def test_path_metadata(spark):
+    df = spark.createDataFrame([(p,) for p in META], "path string")
+    assert {r.path: tuple(r.m) for r in df.select("path", path_metadata("path").alias("m")).collect()} == META
 
 
 def test_folder_check_with_dirs(spark):

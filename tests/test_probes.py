@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from lakeshore.operators import catalog, folders, split
+from lakeshore.operators import catalog, folders, links, split
 from lakeshore.session import scratch_dir
 from lakeshore.sources import files, sinks, streams
 from lakeshore.streaming import jobs
@@ -136,7 +136,37 @@ def test_layout_is_decided_per_file(spark):
     assert sorted(r["a"] for r in files.scan_json(spark, root).collect()) == [1, 2, 3, 4]
 
 
+def test_types_of_mixed_layouts_are_widened(spark):
+    root = scratch_dir(spark, "widened")
+    _write(spark, f"{root}/a.csv", b"k,v\n007,1\n2,3\n")
+    _write(spark, f"{root}/b.csv", b"k;v\nx;1.5\ny;2\n")
+    assert sorted(tuple(r) for r in files.scan_csv(spark, root).collect()) == [("007", 1.0), ("2", 3.0), ("x", 1.5), ("y", 2.0)]
+
+
+def test_json_object_over_several_lines(spark):
+    root = scratch_dir(spark, "json-object")
+    _write(spark, f"{root}/a.json", b'{\n"a": 1,\n"b": {"c": 0.5}\n}\n')
+    assert [(r["a"], r["b"]["c"]) for r in files.scan_json(spark, root).collect()] == [(1, 0.5)]
+    _write(spark, f"{root}/b.jsonl", b'{"a": 2}\n{"a": 3, "b": {"c": 2.0}, "d": "x"}\n')
+    got = sorted((r["a"], r["b"] and r["b"]["c"], r["d"]) for r in files.scan_json(spark, root).collect())
+    assert got == [(1, 0.5, None), (2, None, None), (3, 2.0, "x")]
+    counts = {r["name"]: r["rows"] for r in files.row_counts(spark, files.file_catalog(spark, root)).collect()}
+    assert counts == {"a.json": 1, "b.jsonl": 2}
+
+
+def test_links_without_id_are_not_lost(spark):
+    c = spark.createDataFrame([(None, "http://a.com"), (None, "http://b.com"), (5, "http://B.com"), (None, None)], "id long, url string")
+    none = spark.createDataFrame([], "url_normalized string")
+    status = {(r["id"], r["url"]): r["status"] for r in links.new_links(c, none).collect()}
+    assert status == {(None, "http://a.com"): "new", (None, "http://b.com"): "duplicate", (5, "http://B.com"): "new", (None, None): "new"}
+    rows = {(r["id"], r["url"]) for r in links.insert_new(c, none).collect()}
+    assert rows == {(None, "http://a.com"), (5, "http://B.com"), (None, None)}
+
+
 def test_unknown_store_is_an_error():
+    for path in ("dbfs:/x", "hdfs:/x"):
+        with pytest.raises(ValueError):
+            streams.filesystem(path)
     assert streams.filesystem("file:/tmp/x")[1] == "/tmp/x"
     with pytest.raises(ValueError):
         streams.filesystem("odd://bucket/x")

@@ -4,7 +4,9 @@ import math
 import re
 from collections import Counter
 from difflib import SequenceMatcher
+from functools import cache
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,13 +45,18 @@ def jac(a, b):
     return len(A & B) / len(A | B) if A and B else 0.0
 
 
+@cache
+def counts(text):
+    return Counter(toks(text))
+
+
 def cos(a, b):
-    ca, cb = Counter(toks(a)), Counter(toks(b))
-    common = set(ca) & set(cb)
-    if not common:
-        return 0.0
-    dot = sum(ca[w] * cb[w] for w in common)
-    return dot / (math.sqrt(sum(v * v for v in ca.values())) * math.sqrt(sum(v * v for v in cb.values())))
+    """Of the count vectors over the union of both texts' words."""
+    first, second = counts(a), counts(b)
+    words = list(first.keys() | second.keys())
+    x, y = (np.array([v[w] for w in words], float) for v in (first, second))
+    length = np.linalg.norm(x) * np.linalg.norm(y)
+    return float(x @ y / length) if length else 0.0
 
 
 def tri(a, b):
