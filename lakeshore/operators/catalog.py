@@ -3,15 +3,17 @@ checks and date folders (B7, B8, C8, D11, D12, D14, G2, H13, J8).
 
 Folders are derived from file paths (every ancestor of a file), so a
 catalog of millions of files is processed as a distributed explode +
-distinct; nothing walks a directory tree on the driver.
+distinct.  Folders without files come from ``folder_tree``, which walks a
+root level by level inside tasks; nothing walks it on the driver.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeshore.functions.paths import ancestors, strip_suffix
+from lakeshore.sources.files import folder_tree
 
 DATE_RE = r"^\d{4}-\d{2}-\d{2}$"
 
@@ -112,6 +114,18 @@ def folder_check(expected: DataFrame, catalog: DataFrame, root: str, folder_col:
     return out.select("folder", "ord", status.otherwise(F.lit("missing")).alias("status"))
 
 
+def folder_check_listing(spark: SparkSession, expected: DataFrame, root: str, folder_col: str = "folder",
+                         order_col: str = "ord") -> DataFrame:
+    """C8 on a real folder: ``root`` is walked, so folders without files are ``empty``."""
+    tree = folder_tree(spark, root)
+    return folder_check(expected, tree.where(~F.col("is_dir")), root, folder_col, order_col, relative_dirs(tree, root))
+
+
+def relative_dirs(tree: DataFrame, root: str) -> DataFrame:
+    """The folders of a tree by their path below ``root``."""
+    return tree.where("is_dir").select(F.substring("path", len(root.rstrip("/")) + 2, 1 << 30).alias("folder"))
+
+
 def folder_report(checked: DataFrame, dates: DataFrame) -> DataFrame:
     """One summary row: counts, success flag and the message text; an
     empty request is an error."""

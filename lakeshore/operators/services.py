@@ -46,14 +46,15 @@ def group_files(groups: DataFrame, files: DataFrame) -> DataFrame:
     return flagged.select("group_id", "group_status", *[c for c in files.columns if c != "group_id"], "is_duplicate")
 
 
-def check_service(services: DataFrame, sources: DataFrame, catalog: DataFrame, root: str, name: str) -> DataFrame:
+def check_service(services: DataFrame, sources: DataFrame, catalog: DataFrame, root: str, name: str,
+                  dirs: DataFrame | None = None) -> DataFrame:
     """Active service by trimmed lower-case name -> its active sources by
-    name -> C8 over the catalog.  Unknown service: one error row; a service
+    name -> C8 over the catalog (and ``dirs``, the folders that are there).  Unknown service: one error row; a service
     without sources: a zero-count row with status ``no sources``."""
     spark = services.sparkSession
     svc = services.where(F.col("is_active") & (F.lower(F.trim("name")) == name.strip().lower()))
     srcs = sources.where(F.col("is_active")).join(svc.select(F.col("id").alias("service_id")), "service_id")
-    checked = folder_check(srcs.select(F.col("name").alias("folder"), F.col("id").alias("ord")), catalog, root)
+    checked = folder_check(srcs.select(F.col("name").alias("folder"), F.col("id").alias("ord")), catalog, root, dirs=dirs)
     summary = checked.agg(F.count(F.lit(1)).alias("total_checked"),
                           F.count_if(F.col("status") == "found").alias("found"),
                           F.count_if(F.col("status") == "missing").alias("missing"),

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from lakeshore.functions import paths as pf
 from lakeshore.functions.core import sanitize_name
 from lakeshore.operators import catalog as cat
+from lakeshore.operators import services as sv
 from lakeshore.plans.registry import query
 from lakeshore.plans.views import view, with_views
+from lakeshore.session import scratch_dir
+from lakeshore.sources.files import folder_tree
 
 ROOT = "/data/source"
 
@@ -172,3 +175,81 @@ def q_clean_path(spark, sf_dir):
     p = view(spark, sf_dir, "paths").select("id", F.expr(_MESSY).alias("m"))
     c = pf.clean_path("m")
     return p.select("id", c.alias("clean"), pf.parent_path(c).alias("parent"))
+
+
+# ---- real folders: suppliers' files below their nation, folders without files, folders that are not there ----
+
+def _made(batches):
+    from lakeshore.sources.streams import filesystem
+    for pdf in batches:
+        for path, is_dir in zip(pdf["path"], pdf["is_dir"]):
+            fs, place = filesystem(path)
+            fs.create_dir(place if is_dir else place.rsplit("/", 1)[0], recursive=True)
+            if not is_dir:
+                with fs.open_output_stream(place) as f:
+                    f.write(b"x\n1\n")
+        yield pdf[["path"]]
+
+
+def real_tree(spark, sf_dir) -> str:
+    """A folder on disk: nations with key % 3 = 0 have a file per supplier
+    below a date, those with 1 have only empty folders, the others none."""
+    root = scratch_dir(spark, "folders")
+    nation, supplier = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "supplier"))
+    files = supplier.join(nation.where("n_nationkey % 3 = 0"), F.col("s_nationkey") == F.col("n_nationkey")).select(
+        F.format_string(f"{root}/%s/2024-01-%02d/s%d.csv", "n_name", F.col("s_suppkey") % 28 + 1, "s_suppkey").alias("path"),
+        F.lit(False).alias("is_dir"))
+    empty = nation.where("n_nationkey % 3 = 1").select(F.concat(F.lit(root + "/"), "n_name", F.lit("/2030-01-01")).alias("path"),
+                                                       F.lit(True).alias("is_dir"))
+    files.unionByName(empty).mapInPandas(_made, "path string").write.format("noop").mode("overwrite").save()
+    return root
+
+
+_LISTED = """
+SELECT n_name AS folder, n_nationkey AS ord, n_regionkey, n_nationkey,
+  CASE WHEN n_nationkey % 3 = 0 AND EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey) THEN 'found'
+       WHEN n_nationkey % 3 = 1 THEN 'empty' ELSE 'missing' END AS status,
+  (SELECT max(printf('2024-01-%02d', s_suppkey % 28 + 1)) FROM supplier WHERE s_nationkey = n_nationkey) AS newest
+FROM nation
+"""
+
+
+def _expected(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.concat(F.lit(" "), "n_name").alias("folder"),
+                                                                 F.col("n_nationkey").alias("ord"))
+
+
+@query("folder_check_listing", f"SELECT folder, ord, status FROM ({_LISTED})")
+def q_folder_check_listing(spark, sf_dir):
+    return cat.folder_check_listing(spark, _expected(spark, sf_dir), real_tree(spark, sf_dir))
+
+
+@query("folder_report_listing", f"""
+SELECT count(*) FILTER (WHERE status = 'missing') AS missing, count(*) FILTER (WHERE status = 'empty') AS empty,
+  count(*) FILTER (WHERE status = 'found') AS found, count(*) AS total_checked,
+  max(CASE WHEN status = 'found' THEN newest END) AS newest_date
+FROM ({_LISTED})""")
+def q_folder_report_listing(spark, sf_dir):
+    root = real_tree(spark, sf_dir)
+    tree = folder_tree(spark, root)
+    files = tree.where(~F.col("is_dir"))
+    checked = cat.folder_check(_expected(spark, sf_dir), files, root, dirs=cat.relative_dirs(tree, root))
+    dates = cat.max_date_per_folder(files, root).select(F.substring("folder", len(root) + 2, 1 << 30).alias("folder"), "max_date")
+    return cat.folder_report(checked, dates).select("missing", "empty", "found", "total_checked", "newest_date")
+
+
+@query("check_service_listing", f"""
+SELECT lower(r_name) AS service, CASE WHEN count(*) FILTER (WHERE status <> 'found') = 0 THEN 'ok' ELSE 'incomplete' END AS status,
+  count(*) AS total_checked, count(*) FILTER (WHERE status = 'found') AS found,
+  count(*) FILTER (WHERE status = 'missing') AS missing, count(*) FILTER (WHERE status = 'empty') AS empty
+FROM ({_LISTED}) JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey = 1 GROUP BY r_name""")
+def q_check_service_listing(spark, sf_dir):
+    root = real_tree(spark, sf_dir)
+    tree = folder_tree(spark, root)
+    regions = spark.read.parquet(f"{sf_dir}/region.parquet")
+    services = regions.select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"), F.lit(True).alias("is_active"))
+    sources = spark.read.parquet(f"{sf_dir}/nation.parquet").select(
+        F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("service_id"), F.col("n_name").alias("name"),
+        F.lit(True).alias("is_active"))
+    name = regions.where("r_regionkey = 1").first()["r_name"]
+    return sv.check_service(services, sources, tree.where(~F.col("is_dir")), root, f" {name} ", cat.relative_dirs(tree, root))

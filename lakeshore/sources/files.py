@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeshore.sources.streams import open_file, open_stream
+from lakeshore.sources.streams import filesystem, open_file, open_stream
 
 # State suffixes stripped before the extension decides the
 # format, and the extension to format map.
@@ -62,6 +62,33 @@ def file_catalog(spark: SparkSession, root: str, extensions="*") -> DataFrame:
     return with_name_parts(df).transform(lambda d: filter_extensions(d, extensions))
 
 
+def _children(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    import pyarrow.fs as pafs
+    for pdf in batches:
+        for folder in pdf["path"]:
+            fs, place = filesystem(folder)
+            rows = [(f"{folder.rstrip('/')}/{i.base_name}", i.type == pafs.FileType.Directory, max(i.size or 0, 0))
+                    for i in fs.get_file_info(pafs.FileSelector(place, allow_not_found=True))]
+            yield pd.DataFrame(rows, columns=["path", "is_dir", "length"])
+
+
+def folder_tree(spark: SparkSession, root: str) -> DataFrame:
+    """Files and folders below ``root``, empty folders too (path, is_dir,
+    length; not ``root`` itself).  The walk goes level by level: the folders of a level
+    are a table, each is listed by a task, and the next level is the folders
+    found.  The driver learns only whether a level has any."""
+    from lakeshore.session import scratch_dir
+    place, schema = scratch_dir(spark, "tree"), "path string, is_dir boolean, length long"
+    level, depth = spark.createDataFrame([(root.rstrip("/") or "/",)], "path string"), 0
+    while True:
+        tasks = spark.sparkContext.defaultParallelism
+        level.repartition(tasks).mapInPandas(_children, schema).write.parquet(f"{place}/level={depth}")
+        level = spark.read.schema(schema).parquet(f"{place}/level={depth}").where("is_dir").select("path")
+        depth += 1
+        if level.isEmpty():
+            return spark.read.schema(schema).parquet(*[f"{place}/level={i}" for i in range(depth)])
+
+
 def with_name_parts(df: DataFrame, path_col: str = "path") -> DataFrame:
     p = F.col(path_col)
     name = F.regexp_extract(p, r"([^/]*)$", 1)
