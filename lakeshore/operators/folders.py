@@ -2,8 +2,8 @@
 (J4, and the verification / process-folder stages S5, S7).
 
 All tasks that share a split-column list and a schema are processed by one
-Spark job: their folders are read together, each file is mapped to its task by the
-longest folder prefix (an equi join, C7), the split is partitioned by
+Spark job: their folders are read together, each file is mapped to every task
+whose folder holds it (an equi join on the file's ancestors), the split is partitioned by
 (task, keys) and the control sums are grouped by (task, checksum).  The
 task list of a micro-batch is a handful of control rows; it is the data
 behind them that Spark distributes.
@@ -18,8 +18,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakeshore.functions.paths import ancestors
 from lakeshore.operators import split as sp
-from lakeshore.operators.ops import longest_prefix
 from lakeshore.sources import sinks
 
 RESULT_SCHEMA = ("task_id string, folder string, status string, split_performed boolean, total_rows long, "
@@ -112,17 +112,18 @@ def _read(spark, paths):
 
 
 def _process_group(spark, members, cols, raw_root, temp_root, max_records):
-    paths = [f"{raw_root}/{f}" for _, f in members]
+    root = _strip(raw_root)
+    paths = _outermost(f"{root}/{f}" for _, f in members)
     data = _read(spark, paths).withColumn("_path", _local(F.col("_metadata.file_path")))
     missing = [c for c in cols if c not in data.columns]
     if missing:
         return [_row(t, f, "error", error=f"split columns not in data: {missing}") for t, f in members], None
-    # File -> task by the longest folder prefix; the file list comes from
-    # the reader's own file index (listed once, by Spark).
-    files = spark.createDataFrame([(_strip(p),) for p in data.inputFiles()], "_path string") \
-        .withColumn("_fid", F.xxhash64("_path"))
-    prefixes = spark.createDataFrame([(f"{raw_root}/{f}/", t) for t, f in members], "prefix string, app string")
-    owner = longest_prefix(files, prefixes, path_col="_path", key="_fid").select("_path", F.col("app").alias("_task"))
+    # A file belongs to every task whose folder holds it, directly or deeper
+    # down; each folder is read once however many tasks name it.
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", DATA_FILES).load(paths)
+    files = listed.select(_local(F.col("path")).alias("_path"))
+    tasks = spark.createDataFrame([(f"{root}/{f}", t) for t, f in members], "_folder string, _task string")
+    owner = files.select("_path", F.explode(ancestors(F.col("_path"))).alias("_folder")).join(tasks, "_folder").select("_path", "_task")
     tagged = data.join(owner, "_path").drop("_path")
     keep = reduce(lambda a, b: a & b, [sp.not_blank(F.col(c)) for c in cols])
     dropped = {r["_task"]: r["n"] for r in tagged.groupBy("_task").agg(F.count_if(~keep).alias("n")).collect()}
@@ -148,6 +149,15 @@ def _process_group(spark, members, cols, raw_root, temp_root, max_records):
     return out, sums
 
 
+def _outermost(paths) -> list[str]:
+    """Distinct folders that lie in no other of them."""
+    out: list[str] = []
+    for p in sorted({x.rstrip("/") for x in paths}, key=lambda x: x + "/"):
+        if not out or not (p + "/").startswith(out[-1] + "/"):
+            out.append(p)
+    return out
+
+
 def _row(task_id, folder, status, split_performed=False, total_rows=0, dropped_rows=0, groups=0, error=None):
     return dict(task_id=task_id, folder=folder, status=status, split_performed=split_performed, total_rows=total_rows,
                 dropped_rows=dropped_rows, groups=groups, error=error)

@@ -12,7 +12,8 @@ WRITES = {"split_stats", "write_split", "build_manifest", "append_log", "scan_cs
           "export_csv", "sequence_topk", "similarity_report", "read_tasks_stream", "write_messages",
           "normalize_task_stream", "split_poison_stream", "exactly_once_effect", "link_stream", "running_app_stats",
           "snapshots_stream", "alert_stream", "heavy_only_stream", "retry_then_dlq", "process_folder",
-          "verification_stage", "process_folder_stage", "scan_registry", "register_files", "refresh_scan"}
+          "verification_stage", "process_folder_stage", "scan_registry", "register_files", "refresh_scan",
+          "scan_combinations", "scan_row_counts", "register_counts", "refresh_counts"}
 
 
 def plan(df):

@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from lakeshore.operators import catalog, folders, links, split
+from lakeshore.operators import catalog, folders, links, scan, split
 from lakeshore.session import scratch_dir
 from lakeshore.sources import files, sinks, streams
 from lakeshore.streaming import jobs
@@ -185,3 +185,49 @@ def test_batch_messages_carry_key_and_partition(spark):
     sinks.write_messages(df, "t", sink="json", path=path, key_col="id", partition_col="p")
     got = sorted((r["key"], r["partition"]) for r in spark.read.json(path).collect())
     assert got == [("0", 0), ("1", 1), ("2", 0), ("3", 1)]
+
+
+def test_files_of_a_source_may_differ(spark):
+    root = scratch_dir(spark, "differ")
+    base = spark.range(6).select((F.col("id") % 2).cast("int").alias("k1"), F.col("id").alias("v"))
+    base.coalesce(1).write.parquet(f"{root}/s/2024-01-01/202401")
+    base.withColumn("k2", F.lit("x")).coalesce(1).write.parquet(f"{root}/s/2024-01-02/202401")
+    base.select(F.col("k1").cast("string"), F.lit(2.5).alias("k2")).coalesce(1).write.parquet(f"{root}/s/2024-01-03/202401")
+    base.select("v").coalesce(1).write.parquet(f"{root}/t/2024-01-03/202401")
+
+    def facts(config):
+        out = {}
+        for r in scan.scan_registry(spark, root, config=config, extensions="parquet").collect():
+            v = json.loads(r["validation"])
+            out[r["name"], str(r["upload_date"])[-2:]] = v.get("split_combinations"), v.get("distinct_values")
+        return out
+    got = facts({"s": {"split_columns": ["k1", "k2"]}, "t": ["v", "none"]})
+    assert got["s", "01"] == (None, None)
+    assert got["s", "02"] == ([["0", "x"], ["1", "x"]], None)
+    assert got["s", "03"] == ([["0", "2.5"], ["1", "2.5"]], None)
+    assert got["t", "03"] == (None, {"v": ["0", "1", "2", "3", "4", "5"]})
+    got = facts({"s": ["k1", "k2"]})
+    assert got["s", "01"][1] == {"k1": ["0", "1"]} and got["s", "02"][1] == {"k1": ["0", "1"], "k2": ["x"]}
+
+
+def test_a_folder_belongs_to_every_task_that_names_it(spark):
+    root, temp = scratch_dir(spark, "own"), scratch_dir(spark, "temp")
+    base = spark.range(10).withColumn("k", F.lit("a"))
+    base.coalesce(1).write.parquet(f"{root}/E/1")
+    base.coalesce(1).write.parquet(f"{root}/E/1/inner")
+    base.coalesce(1).write.parquet(f"{root}/E/10")
+    tasks = spark.createDataFrame([("a", "E/1", ["k"]), ("b", "E/1/", ["k"]), ("c", "E/1/inner", ["k"]), ("d", "E/10", ["k"])],
+                                  "task_id string, folder string, split_columns array<string>")
+    res, _ = folders.process_folders(spark, tasks, root, temp, ["E"], max_records=100)
+    assert {r["task_id"]: (r["status"], r["total_rows"]) for r in res.collect()} == {
+        "a": ("completed", 20), "b": ("completed", 20), "c": ("completed", 10), "d": ("completed", 10)}
+
+
+def test_folder_tree_has_empty_folders(spark):
+    root = scratch_dir(spark, "tree-test")
+    _write(spark, f"{root}/a/b/x.csv", b"1")
+    fs, path, jvm = sinks._fs(spark, f"{root}/a/empty/inner")
+    fs.mkdirs(path)
+    got = {(r["path"][len(root) + 1:], r["is_dir"], r["length"]) for r in files.folder_tree(spark, root).collect() if not r["path"].endswith(".crc")}
+    assert got == {("a", True, 0), ("a/b", True, 0), ("a/b/x.csv", False, 1), ("a/empty", True, 0), ("a/empty/inner", True, 0)}
+    assert files.folder_tree(spark, f"{root}/nowhere").collect() == []
