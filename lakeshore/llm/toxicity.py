@@ -17,9 +17,10 @@ cosine a first part; a block is read only if its best first part and the sum
 of its largest weights reach the ``NEIGHBOURS``-th best first part.  What may
 be among the best is computed again in full: the exact neighbours.  Their
 votes, weighted by cosine to the power ``SHARPNESS``, become a score by a
-monotone calibration fitted on the examples (each without itself).  Index and
-calibration are broadcast; their size is bounded by the distinct terms of
-2 * ``EXAMPLES`` texts.
+monotone calibration fitted on the examples.  An example is never its own
+neighbour, neither there nor when it is scored.  Terms are 64-bit hashes
+everywhere.  Index and calibration are broadcast; their size is bounded by the
+distinct terms of 2 * ``EXAMPLES`` texts.
 
 Defined cases: null text counts as empty; a text without known terms has no
 neighbours and the score of a vote of 0; a label row counts if its label is 0 or 1 and its id is not null (repeats count
@@ -42,8 +43,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from lakeshore.llm.common import materialise, small_batches, text_key
+from lakeshore.llm.packing import Memory
 
 #: Labelled rows per class in the index, at most.
 EXAMPLES = 2000
@@ -51,6 +54,10 @@ EXAMPLES = 2000
 HEAD = 1024
 PREFIXES = (4, 5, 6)
 BLOCK = 64
+#: Words that a worker remembers.
+CACHE = 100_000
+#: Blocks read before the others are held against what they gave.
+FIRST = 8
 NEIGHBOURS = 15
 SHARPNESS = 2.0
 _TOKEN = re.compile(r"\w+")
@@ -67,6 +74,19 @@ def terms(text: str | None) -> Counter:
     return out
 
 
+def numbers(words: list[str]) -> np.ndarray:
+    """64-bit numbers of terms: no term is kept as text beside the examples."""
+    return np.array([xxh64_intdigest(w) for w in words], np.uint64).view(np.int64)
+
+
+def numbered(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending numbers and counts of the terms of a whole text."""
+    found = terms(text)
+    at, count = numbers(list(found)), np.fromiter(found.values(), np.int64, len(found))
+    order = np.argsort(at)
+    return at[order], count[order]
+
+
 class Weights:
     """Vocabulary x examples, sparse; ``[terms, examples]`` gives a dense part."""
 
@@ -99,6 +119,7 @@ class Index:
     ids: np.ndarray
     weights: Weights                # vocabulary x examples
     block_max: Weights              # vocabulary x blocks
+    block_starts: np.ndarray        # where the postings of each entry of ``block_max`` start
     forward: tuple[np.ndarray, np.ndarray, np.ndarray]      # starts, terms and weights by example
     head: np.ndarray                # row of the dense table for each term, -1 for the others
     dense: np.ndarray               # HEAD x examples, padded to whole blocks
@@ -138,16 +159,25 @@ class Index:
             cosine[n:] = -2.0
             rare = self.head[at] < 0
             at_rare, weight_rare = at[rare], weight[rare]
-            place, which = self.block_max.places(at_rare)
-            blocks = len(cosine) // BLOCK
+            entry, which = self.block_max.places(at_rare)
+            block, blocks = self.block_max.example[entry], len(cosine) // BLOCK
             bound = cosine.reshape(blocks, BLOCK).max(axis=1) + np.bincount(
-                self.block_max.example[place], weight_rare[which] * self.block_max.weight[place], blocks)
+                block, weight_rare[which] * self.block_max.weight[entry], blocks)
+            # The blocks of the highest bounds first; then those that can still hold a better one.
+            order, done = np.argsort(-bound, kind="stable"), np.zeros(blocks, bool)
             low = np.partition(cosine[:n], n - k)[n - k] if n > k else -1.0
-            live = bound >= max(low - slack, 0)
-            place, which = self.weights.places(at_rare)
-            example = self.weights.example[place]
-            use = live[example // BLOCK]
-            cosine += np.bincount(example[use], weight_rare[which[use]] * self.weights.weight[place[use]], len(cosine))
+            for some in (order[:FIRST], order[FIRST:]):
+                live = np.zeros(blocks, bool)
+                live[some[bound[some] >= max(low - slack, 0)]] = True
+                use = live[block]
+                starts_ = self.block_starts[entry[use]]
+                size = self.block_starts[entry[use] + 1] - starts_
+                place = np.arange(size.sum()) + np.repeat(starts_ - np.cumsum(size) + size, size)
+                cosine += np.bincount(self.weights.example[place], np.repeat(weight_rare[which[use]], size) * self.weights.weight[place],
+                                      len(cosine))
+                done |= live
+                low = np.partition(cosine[:n], n - k)[n - k] if n > k else -1.0
+            cosine[np.repeat(~done, BLOCK)] = -2.0
             low = np.partition(cosine[:n], n - k)[n - k] if n > k else 0.0
             best = np.flatnonzero((cosine >= low - slack) & (cosine > 0))
             if not len(best):
@@ -196,11 +226,15 @@ def _known(vocabulary: np.ndarray, found: dict[int, int] | tuple[np.ndarray, np.
 
 
 def build_index(ids: list, found: list, labels: list[int], stands_for: list[float],
-                frequency: dict[int, int], documents: int, nothing: float) -> Index:
+                frequency: np.ndarray | dict[int, int], documents: int, nothing: float) -> Index:
     """The index and its calibration over examples (term numbers and counts
     ``found``); ``frequency`` has the terms' documents among all ``documents``; without
     examples every score is ``nothing``."""
-    vocabulary = np.array(sorted(frequency), np.int64)
+    if isinstance(frequency, dict):
+        vocabulary = np.array(sorted(frequency), np.int64)
+        frequency = np.array([frequency[t] for t in vocabulary.tolist()], np.int64)
+    else:
+        vocabulary = np.arange(len(frequency))
     label, n, size = np.array(labels, float), len(found), len(frequency)
     parts = [_known(vocabulary, f) for f in found]
     ones, zeros = np.zeros(size), np.zeros(size)
@@ -209,10 +243,10 @@ def build_index(ids: list, found: list, labels: list[int], stands_for: list[floa
     n1, n0 = max(1, int(label.sum())), max(1, int((1 - label).sum()))
     p, q = (ones + 0.5) / (n1 + 1), (zeros + 0.5) / (n0 + 1)
     apart = np.abs(p - q) / np.sqrt(p * (1 - p) / n1 + q * (1 - q) / n0) + 1e-3
-    idf = np.log((documents + 1) / (np.array([frequency[t] for t in vocabulary.tolist()], float) + 1)) + 1e-3
+    idf = np.log((documents + 1) / (frequency + 1.0)) + 1e-3
     blocks = max(1, -(-n // BLOCK))
     none = Weights(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0), (size, n))
-    index = Index(vocabulary, idf * apart, label, np.array(stands_for, float), np.array(ids, object), none, none,
+    index = Index(vocabulary, idf * apart, label, np.array(stands_for, float), np.array(ids, object), none, none, np.zeros(1, np.int64),
                   (np.zeros(1, np.int64),) * 3, np.full(size, -1), np.zeros((0, blocks * BLOCK), np.float32),
                   (np.array([0.0, 1.0]), np.array([nothing, nothing])))
     if not n:
@@ -227,6 +261,7 @@ def build_index(ids: list, found: list, labels: list[int], stands_for: list[floa
     if len(of):
         new = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (block[1:] != block[:-1]))))
         index.block_max = Weights(of[new], block[new], np.maximum.reduceat(index.weights.weight, new), (size, blocks))
+        index.block_starts = np.append(new, len(of))
     often = np.argsort(-np.diff(index.weights.starts), kind="stable")[:HEAD]
     index.head[often] = np.arange(len(often))
     index.dense = np.zeros((len(often), blocks * BLOCK), np.float32)
@@ -253,31 +288,49 @@ def _unpacked(found: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(both[:len(both) // 2]), both[len(both) // 2:]
 
 
-def _counted(docs: DataFrame, vocabulary: list[str], id_col: str, text_col: str) -> DataFrame:
-    """``id``, ``key``, and ``found``: the numbers and counts of the known terms in each whole text."""
+class Words:
+    """Rows of the vocabulary of a word and its prefixes, remembered."""
+
+    def __init__(self, vocabulary: np.ndarray):
+        self.vocabulary, self.memory = vocabulary, Memory(CACHE)
+
+    def rows(self, words: list[str]) -> list[np.ndarray]:
+        found = [self.memory.get(w) for w in words]
+        for i in [i for i, x in enumerate(found) if x is None]:
+            found[i] = self.memory.recall(words[i])
+        new = [i for i, x in enumerate(found) if x is None]
+        parts = [[words[i], *[words[i][:p] + "*" for p in PREFIXES if len(words[i]) > p]] for i in new]
+        at = numbers([t for part in parts for t in part])
+        row = np.minimum(np.searchsorted(self.vocabulary, at), max(0, len(self.vocabulary) - 1))
+        row[self.vocabulary[row] != at if len(self.vocabulary) else slice(None)] = -1
+        start = 0
+        for i, part in zip(new, parts):
+            mine = row[start:start + len(part)]
+            start += len(part)
+            found[i] = mine[mine >= 0]
+            self.memory.keep(words[i], found[i])
+        return found
+
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Ascending rows and their counts in a whole text."""
+        words = Counter(_TOKEN.findall((text or "").lower()))
+        each = self.rows(list(words))
+        at, place = np.unique(np.concatenate([np.zeros(0, np.int64), *each]), return_inverse=True)
+        n = np.repeat(np.fromiter(words.values(), np.int64, len(words)), [len(x) for x in each])
+        return at, np.bincount(place, n, len(at)).astype(np.int64)
+
+
+def _counted(docs: DataFrame, vocabulary: np.ndarray, id_col: str, text_col: str) -> DataFrame:
+    """``id``, ``key``, and ``found``: rows and counts of the known terms in each whole text."""
     rows = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"),
                        F.col(text_col).cast("string").alias("text"))
-    # The terms of at most 2 * EXAMPLES texts.
-    known = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(vocabulary)})
+    # Eight bytes for each term of at most 2 * EXAMPLES texts.
+    known = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = known.value.get
+        words = Words(known.value)
         for batch in small_batches(batches):
-            packed = []
-            for text in batch.column(2).to_pylist():
-                found: dict[int, int] = {}
-                for word, n in Counter(_TOKEN.findall((text or "").lower())).items():
-                    if (t := get(word)) is not None:
-                        found[t] = found.get(t, 0) + n
-                    for size in PREFIXES:
-                        if len(word) <= size:
-                            break
-                        if (t := get(word[:size] + "*")) is not None:
-                            found[t] = found.get(t, 0) + n
-                numbers = np.fromiter(found.keys(), np.int64, len(found))
-                counts = np.fromiter(found.values(), np.int64, len(found))
-                order = np.argsort(numbers)
-                packed.append(_packed(numbers[order], counts[order]))
+            packed = [_packed(*words.counts(text)) for text in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())],
                                              names=["id", "key", "found"])
 
@@ -285,7 +338,7 @@ def _counted(docs: DataFrame, vocabulary: list[str], id_col: str, text_col: str)
     return rows.mapInArrow(run, f"id {id_type}, key bigint, found binary")
 
 
-def _frequency(counted: DataFrame, size: int) -> dict[int, int]:
+def _frequency(counted: DataFrame, size: int) -> np.ndarray:
     """Documents of each known term."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(size, np.int64)
@@ -296,7 +349,9 @@ def _frequency(counted: DataFrame, size: int) -> dict[int, int]:
         yield pa.RecordBatch.from_arrays([pa.array(have.astype(np.int32)), pa.array(n[have])], names=["term", "n"])
 
     total = counted.select("found").mapInArrow(count, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    return dict.fromkeys(range(size), 0) | dict(zip(total["term"].to_pylist(), total["n"].to_pylist()))
+    out = np.zeros(size, np.int64)
+    out[total["term"].to_numpy()] = total["n"].to_numpy()
+    return out
 
 
 def _example_terms(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> pa.Table:
@@ -307,13 +362,13 @@ def _example_terms(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: st
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 32):
-            found = [terms(text) for text in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(f) for f in found], pa.list_(pa.string())),
-                                              pa.array([list(f.values()) for f in found], pa.list_(pa.int64()))],
+            found = [numbered(text) for text in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.list_(pa.int64())),
+                                              pa.array([f[1].astype(np.int32) for f in found], pa.list_(pa.int32()))],
                                              names=["id", "y", "terms", "counts"])
 
     id_type = texts.schema["id"].dataType.simpleString()
-    return texts.mapInArrow(spread, f"id {id_type}, y int, terms array<string>, counts array<bigint>").toArrow()
+    return texts.mapInArrow(spread, f"id {id_type}, y int, terms array<bigint>, counts array<int>").toArrow()
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col: str = "doc_id",
@@ -329,26 +384,21 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col:
     total = {int(r["y"]): r["count"] for r in rows.groupBy("y").count().collect()}
     share = total.get(1, 0) / max(1, sum(total.values()))
     if len(total) < 2:
-        return build_index([], [], [], [], {}, 0, share), materialise(_counted(docs, [], id_col, text_col), "term-counts")
+        return build_index([], [], [], [], {}, 0, share), materialise(_counted(docs, np.zeros(0, np.int64), id_col, text_col), "term-counts")
     pick = [rows.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_class) for y in (0, 1)]
     examples = _example_terms(docs, materialise(pick[0].unionByName(pick[1]), "examples"), id_col, text_col)
     each = examples["terms"].combine_chunks()
-    flat = each.flatten()
-    vocabulary = pc.unique(flat)
-    vocabulary = vocabulary.take(pc.sort_indices(vocabulary))
-    numbers = pc.index_in(flat, value_set=vocabulary).to_numpy(zero_copy_only=False).astype(np.int32)
-    counts = examples["counts"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+    flat = each.flatten().to_numpy()
+    vocabulary = np.unique(flat)
+    at = np.searchsorted(vocabulary, flat).astype(np.int32)     # ascending within a text, as the numbers are
+    counts = examples["counts"].combine_chunks().flatten().to_numpy()
     ends = np.cumsum(pc.list_value_length(each).to_numpy(zero_copy_only=False)).tolist()
-    found = []
-    for start, end in zip([0, *ends], ends):
-        order = np.argsort(numbers[start:end])
-        found.append((numbers[start:end][order], counts[start:end][order]))
+    found = [(at[start:end], counts[start:end]) for start, end in zip([0, *ends], ends)]
     ids, y = examples["id"].to_pylist(), examples["y"].to_pylist()
-    per, vocabulary = Counter(y), vocabulary.to_pylist()
-    del examples, each, flat, numbers, counts
+    per = Counter(y)
+    del examples, each, flat
     counted = materialise(_counted(docs, vocabulary, id_col, text_col), "term-counts")
     frequency = _frequency(counted, len(vocabulary))
-    del vocabulary
     return build_index(ids, found, y, [total[label] / per[label] for label in y], frequency,
                        counted.count(), share), counted
 
@@ -358,13 +408,15 @@ def score_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     ids and cosines of the neighbours.  Options as in ``fit``."""
     index, counted = fit(docs, labels, **options)
     shared = docs.sparkSession.sparkContext.broadcast(index)
+    place = {id_: i for i, id_ in enumerate(index.ids.tolist())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in small_batches(batches):
             scores, near, cosines = [], [], []
             vectors = [index.vector(_unpacked(found)) for found in batch.column(2).to_pylist()]
-            for i, c in index.search(vectors):
+            # A document that is an example leaves itself out.
+            for i, c in index.search(vectors, without=[place.get(x) for x in batch.column(0).to_pylist()]):
                 scores.append(min(1.0, max(0.0, index.score(index.vote(i, c)))))
                 near.append([int(x) for x in index.ids[i]])
                 cosines.append(c.tolist())
@@ -378,9 +430,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs``, all columns, whose score is below ``threshold``.
-    Equal texts have equal scores, so rows leave by text."""
+    Rows leave by id and text together."""
     scored = score_documents(docs, labels, text_col=text_col, **options)
-    bad = materialise(scored.filter(F.col("score") >= threshold).select("key").distinct(), "toxic-texts")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+    bad = materialise(scored.filter(F.col("score") >= threshold).select(F.col("id").alias("bad_id"), F.col("key").alias("bad_key")).distinct(),
+                      "toxic-texts")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(options.get("id_col", "doc_id")).alias("id"),
                        text_key(F.col(text_col)).alias("key"))
-    return rows.join(bad, "key", "left_anti").select("row.*")
+    return rows.join(bad, (F.col("key") == F.col("bad_key")) & F.col("id").eqNullSafe(F.col("bad_id")), "left_anti").select("row.*")
