@@ -51,13 +51,11 @@ from lakeshore.llm.packing import Memory
 #: Labelled rows per class in the index, at most.
 EXAMPLES = 2000
 #: Commonest terms, whose weights are kept as a dense table.
-HEAD = 1024
+HEAD = 4096
 PREFIXES = (4, 5, 6)
 BLOCK = 64
 #: Words that a worker remembers.
-CACHE = 100_000
-#: Blocks read before the others are held against what they gave.
-FIRST = 8
+CACHE = 200_000
 NEIGHBOURS = 15
 SHARPNESS = 2.0
 _TOKEN = re.compile(r"\w+")
@@ -117,14 +115,33 @@ class Index:
     labels: np.ndarray              # of the examples
     stands_for: np.ndarray          # training rows that an example stands for
     ids: np.ndarray
-    weights: Weights                # vocabulary x examples
-    block_max: Weights              # vocabulary x blocks
-    block_starts: np.ndarray        # where the postings of each entry of ``block_max`` start
     forward: tuple[np.ndarray, np.ndarray, np.ndarray]      # starts, terms and weights by example
-    head: np.ndarray                # row of the dense table for each term, -1 for the others
-    dense: np.ndarray               # HEAD x examples, padded to whole blocks
     knots: tuple[np.ndarray, np.ndarray]
 
+    def __getstate__(self) -> dict:
+        """Only the examples' vectors travel; workers invert them again."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("weights", "block_max", "head", "dense")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.invert()
+
+    def invert(self) -> None:
+        """Postings, block maxima and the dense table from the examples' vectors."""
+        starts, row, weight = self.forward
+        size, n = len(self.vocabulary), len(self.labels)
+        blocks = max(1, -(-n // BLOCK))
+        self.weights = Weights(row, np.repeat(np.arange(len(starts) - 1, dtype=np.int32), np.diff(starts)), weight, (size, n))
+        of, block = np.repeat(np.arange(size, dtype=np.int32), np.diff(self.weights.starts)), self.weights.example // BLOCK
+        new = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (block[1:] != block[:-1])))[:len(of)])
+        most = np.maximum.reduceat(self.weights.weight, new) if len(new) else np.zeros(0)
+        self.block_max = Weights(of[new], block[new], most, (size, blocks))
+        often = np.argsort(-np.diff(self.weights.starts), kind="stable")[:HEAD]
+        self.head = np.full(size, -1)
+        self.head[often] = np.arange(len(often))
+        self.dense = np.zeros((blocks * BLOCK, len(often)), np.float32)
+        self.dense[:n] = self.weights[often, :].T
+
     def vector(self, found: dict[int, int] | tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Rows and unit weights, from term numbers and counts."""
         at, counts = _known(self.vocabulary, found)
@@ -142,13 +159,13 @@ class Index:
                without: list[int | None] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """``neighbours`` of each vector."""
         n, slack = len(self.labels), 1e-5                   # of sums of single floats
-        common = np.zeros((len(vectors), len(self.dense)), np.float32)
-        for i, (at, weight) in enumerate(vectors):
-            head = self.head[at]
-            common[i, head[head >= 0]] = weight[head >= 0]
-        first = common @ self.dense
-        query = np.zeros(len(self.vocabulary))
-        starts, terms_, weights = self.forward
+        common = np.zeros((len(vectors), self.dense.shape[1]), np.float32)
+        which = np.repeat(np.arange(len(vectors)), [len(at) for at, _ in vectors])
+        head = self.head[np.concatenate([np.zeros(0, np.int64), *[at for at, _ in vectors]])]
+        weights = np.concatenate([np.zeros(0), *[w for _, w in vectors]])
+        common[which[head >= 0], head[head >= 0]] = weights[head >= 0]
+        first = common @ self.dense.T
+        exact_common = np.zeros(self.dense.shape[1])
         for i, (at, weight) in enumerate(vectors):
             if not len(at) or not n:
                 yield np.zeros(0, np.int64), np.zeros(0)
@@ -157,38 +174,25 @@ class Index:
             if without is not None and without[i] is not None:
                 cosine[without[i]] = -2.0                   # below 0 with all other terms too
             cosine[n:] = -2.0
-            rare = self.head[at] < 0
+            head = self.head[at]
+            rare = head < 0
             at_rare, weight_rare = at[rare], weight[rare]
-            entry, which = self.block_max.places(at_rare)
-            block, blocks = self.block_max.example[entry], len(cosine) // BLOCK
+            place, which = self.block_max.places(at_rare)
+            blocks = len(cosine) // BLOCK
             bound = cosine.reshape(blocks, BLOCK).max(axis=1) + np.bincount(
-                block, weight_rare[which] * self.block_max.weight[entry], blocks)
-            # The blocks of the highest bounds first; then those that can still hold a better one.
-            order, done = np.argsort(-bound, kind="stable"), np.zeros(blocks, bool)
+                self.block_max.example[place], weight_rare[which] * self.block_max.weight[place], blocks)
             low = np.partition(cosine[:n], n - k)[n - k] if n > k else -1.0
-            for some in (order[:FIRST], order[FIRST:]):
-                live = np.zeros(blocks, bool)
-                live[some[bound[some] >= max(low - slack, 0)]] = True
-                use = live[block]
-                starts_ = self.block_starts[entry[use]]
-                size = self.block_starts[entry[use] + 1] - starts_
-                place = np.arange(size.sum()) + np.repeat(starts_ - np.cumsum(size) + size, size)
-                cosine += np.bincount(self.weights.example[place], np.repeat(weight_rare[which[use]], size) * self.weights.weight[place],
-                                      len(cosine))
-                done |= live
-                low = np.partition(cosine[:n], n - k)[n - k] if n > k else -1.0
-            cosine[np.repeat(~done, BLOCK)] = -2.0
+            live = bound >= max(low - slack, 0)
+            place, which = self.weights.places(at_rare)
+            other = np.bincount(self.weights.example[place], weight_rare[which] * self.weights.weight[place], len(cosine))
+            cosine += other
+            cosine[np.repeat(~live, BLOCK)] = -2.0
             low = np.partition(cosine[:n], n - k)[n - k] if n > k else 0.0
             best = np.flatnonzero((cosine >= low - slack) & (cosine > 0))
-            if not len(best):
-                yield np.zeros(0, np.int64), np.zeros(0)
-                continue
-            query[at] = weight
-            size = starts[best + 1] - starts[best]
-            ends = np.cumsum(size)
-            place = np.arange(ends[-1]) + np.repeat(starts[best] - ends + size, size)
-            exact = np.add.reduceat(query[terms_[place]] * weights[place], ends - size)
-            query[at] = 0
+            # The common terms once more in double precision; the others are so already.
+            exact_common[head[~rare]] = weight[~rare]
+            exact = self.dense[best].astype(float) @ exact_common + other[best]
+            exact_common[head[~rare]] = 0
             keep = np.lexsort((best, -exact))[:k]
             yield best[keep], exact[keep]
 
@@ -244,28 +248,17 @@ def build_index(ids: list, found: list, labels: list[int], stands_for: list[floa
     p, q = (ones + 0.5) / (n1 + 1), (zeros + 0.5) / (n0 + 1)
     apart = np.abs(p - q) / np.sqrt(p * (1 - p) / n1 + q * (1 - q) / n0) + 1e-3
     idf = np.log((documents + 1) / (frequency + 1.0)) + 1e-3
-    blocks = max(1, -(-n // BLOCK))
-    none = Weights(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0), (size, n))
-    index = Index(vocabulary, idf * apart, label, np.array(stands_for, float), np.array(ids, object), none, none, np.zeros(1, np.int64),
-                  (np.zeros(1, np.int64),) * 3, np.full(size, -1), np.zeros((0, blocks * BLOCK), np.float32),
-                  (np.array([0.0, 1.0]), np.array([nothing, nothing])))
+    index = Index(vocabulary, idf * apart, label, np.array(stands_for, float), np.array(ids, object),
+                  (np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32)), (np.array([0.0, 1.0]), np.array([nothing, nothing])))
+    index.invert()
     if not n:
         return index
     lengths = np.array([len(at) for at, _ in parts], np.int64)
     row = np.concatenate([at for at, _ in parts]).astype(np.int32)
     weight = np.concatenate([index.vector((vocabulary[at], counts))[1].astype(np.float32) for at, counts in parts])
     del parts
-    index.weights = Weights(row, np.repeat(np.arange(n, dtype=np.int32), lengths), weight, (size, n))
     index.forward = np.concatenate(([0], np.cumsum(lengths))), row, weight
-    of, block = np.repeat(np.arange(size, dtype=np.int32), np.diff(index.weights.starts)), index.weights.example // BLOCK
-    if len(of):
-        new = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (block[1:] != block[:-1]))))
-        index.block_max = Weights(of[new], block[new], np.maximum.reduceat(index.weights.weight, new), (size, blocks))
-        index.block_starts = np.append(new, len(of))
-    often = np.argsort(-np.diff(index.weights.starts), kind="stable")[:HEAD]
-    index.head[often] = np.arange(len(often))
-    index.dense = np.zeros((len(often), blocks * BLOCK), np.float32)
-    index.dense[:, :n] = index.weights[often, :]
+    index.invert()
     votes = []
     for start in range(0, n, BLOCK):
         some = range(start, min(n, start + BLOCK))
@@ -295,7 +288,7 @@ class Words:
         self.vocabulary, self.memory = vocabulary, Memory(CACHE)
 
     def rows(self, words: list[str]) -> list[np.ndarray]:
-        found = [self.memory.get(w) for w in words]
+        found = list(map(self.memory.get, words))
         for i in [i for i, x in enumerate(found) if x is None]:
             found[i] = self.memory.recall(words[i])
         new = [i for i, x in enumerate(found) if x is None]
@@ -311,13 +304,16 @@ class Words:
             self.memory.keep(words[i], found[i])
         return found
 
-    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Ascending rows and their counts in a whole text."""
-        words = Counter(_TOKEN.findall((text or "").lower()))
-        each = self.rows(list(words))
-        at, place = np.unique(np.concatenate([np.zeros(0, np.int64), *each]), return_inverse=True)
-        n = np.repeat(np.fromiter(words.values(), np.int64, len(words)), [len(x) for x in each])
-        return at, np.bincount(place, n, len(at)).astype(np.int64)
+    def counts(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ascending rows and their counts in each whole text."""
+        counted = [Counter(_TOKEN.findall((t or "").lower())) for t in texts]
+        known = list({}.fromkeys(w for words in counted for w in words))
+        row_of = dict(zip(known, self.rows(known)))
+        for words in counted:
+            each = list(map(row_of.__getitem__, words))
+            at, place = np.unique(np.concatenate([np.zeros(0, np.int64), *each]), return_inverse=True)
+            n = np.repeat(np.fromiter(words.values(), np.int64, len(words)), list(map(len, each)))
+            yield at, np.bincount(place, n, len(at)).astype(np.int64)
 
 
 def _counted(docs: DataFrame, vocabulary: np.ndarray, id_col: str, text_col: str) -> DataFrame:
@@ -330,7 +326,7 @@ def _counted(docs: DataFrame, vocabulary: np.ndarray, id_col: str, text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(known.value)
         for batch in small_batches(batches):
-            packed = [_packed(*words.counts(text)) for text in batch.column(2).to_pylist()]
+            packed = [_packed(*found) for found in words.counts(batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())],
                                              names=["id", "key", "found"])
 
@@ -389,8 +385,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col:
     examples = _example_terms(docs, materialise(pick[0].unionByName(pick[1]), "examples"), id_col, text_col)
     each = examples["terms"].combine_chunks()
     flat = each.flatten().to_numpy()
-    vocabulary = np.unique(flat)
-    at = np.searchsorted(vocabulary, flat).astype(np.int32)     # ascending within a text, as the numbers are
+    vocabulary, at = np.unique(flat, return_inverse=True)
+    at = at.astype(np.int32)                # ascending within a text, as the numbers are
     counts = examples["counts"].combine_chunks().flatten().to_numpy()
     ends = np.cumsum(pc.list_value_length(each).to_numpy(zero_copy_only=False)).tolist()
     found = [(at[start:end], counts[start:end]) for start, end in zip([0, *ends], ends)]
