@@ -37,6 +37,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,16 +47,15 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from lakeshore.llm.common import materialise, small_batches, text_key
-from lakeshore.llm.packing import Memory
 
 #: Labelled rows per class in the index, at most.
 EXAMPLES = 2000
 #: Commonest terms, whose weights are kept as a dense table.
-HEAD = 4096
+HEAD = 2048
 PREFIXES = (4, 5, 6)
-BLOCK = 64
+BLOCK = 512
 #: Words that a worker remembers.
-CACHE = 200_000
+CACHE = 400_000
 NEIGHBOURS = 15
 SHARPNESS = 2.0
 _TOKEN = re.compile(r"\w+")
@@ -85,19 +85,23 @@ def numbered(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return at[order], count[order]
 
 
+def _spread(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``starts[i]``, ``starts[i] + 1``, ... , ``n[i]`` of them, for each i."""
+    return np.arange(n.sum()) + np.repeat(starts - np.cumsum(n) + n, n)
+
+
 class Weights:
     """Vocabulary x examples, sparse; ``[terms, examples]`` gives a dense part."""
 
     def __init__(self, row: np.ndarray, example: np.ndarray, weight: np.ndarray, shape: tuple[int, int]):
         order = np.argsort(row, kind="stable")             # examples come in order
-        self.example, self.weight, self.shape = example[order].astype(np.int32), weight[order].astype(np.float32), shape
+        self.example, self.weight, self.shape = example[order].astype(np.intp), weight[order].astype(np.float32), shape
         self.starts = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=shape[0]))))
 
     def places(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of the postings of terms ``at``, and for each which term it is of."""
         n = self.starts[at + 1] - self.starts[at]
-        which = np.repeat(np.arange(len(at)), n)
-        return np.arange(n.sum()) + np.repeat(self.starts[at] - np.cumsum(n) + n, n), which
+        return _spread(self.starts[at], n), np.repeat(np.arange(len(at)), n)
 
     def __getitem__(self, key: tuple) -> np.ndarray:
         at, examples = key
@@ -120,7 +124,7 @@ class Index:
 
     def __getstate__(self) -> dict:
         """Only the examples' vectors travel; workers invert them again."""
-        return {k: v for k, v in self.__dict__.items() if k not in ("weights", "block_max", "head", "dense")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("weights", "block_max", "runs", "head", "dense")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -136,6 +140,7 @@ class Index:
         new = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (block[1:] != block[:-1])))[:len(of)])
         most = np.maximum.reduceat(self.weights.weight, new) if len(new) else np.zeros(0)
         self.block_max = Weights(of[new], block[new], most, (size, blocks))
+        self.runs = np.append(new, len(of))                 # postings of each (term, block)
         often = np.argsort(-np.diff(self.weights.starts), kind="stable")[:HEAD]
         self.head = np.full(size, -1)
         self.head[often] = np.arange(len(often))
@@ -177,14 +182,22 @@ class Index:
             head = self.head[at]
             rare = head < 0
             at_rare, weight_rare = at[rare], weight[rare]
-            place, which = self.block_max.places(at_rare)
-            blocks = len(cosine) // BLOCK
-            bound = cosine.reshape(blocks, BLOCK).max(axis=1) + np.bincount(
-                self.block_max.example[place], weight_rare[which] * self.block_max.weight[place], blocks)
+            n_entries = self.block_max.starts[at_rare + 1] - self.block_max.starts[at_rare]
+            entry, term_weight = _spread(self.block_max.starts[at_rare], n_entries), np.repeat(weight_rare, n_entries)
+            block, blocks = self.block_max.example[entry], len(cosine) // BLOCK
+            bound = cosine.reshape(blocks, BLOCK).max(axis=1) + np.bincount(block, term_weight * self.block_max.weight[entry], blocks)
             low = np.partition(cosine[:n], n - k)[n - k] if n > k else -1.0
             live = bound >= max(low - slack, 0)
-            place, which = self.weights.places(at_rare)
-            other = np.bincount(self.weights.example[place], weight_rare[which] * self.weights.weight[place], len(cosine))
+            # Only postings of blocks that can hold a neighbour are read.
+            if live.all():
+                start, length, term_weight = self.weights.starts[at_rare], self.weights.starts[at_rare + 1], weight_rare
+                length = length - start
+            else:
+                read = live[block]
+                entry, term_weight = entry[read], term_weight[read]
+                start, length = self.runs[entry], self.runs[entry + 1] - self.runs[entry]
+            place = _spread(start, length)
+            other = np.bincount(self.weights.example[place], np.repeat(term_weight, length) * self.weights.weight[place], len(cosine))
             cosine += other
             cosine[np.repeat(~live, BLOCK)] = -2.0
             low = np.partition(cosine[:n], n - k)[n - k] if n > k else 0.0
@@ -282,38 +295,55 @@ def _unpacked(found: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """Rows of the vocabulary of a word and its prefixes, remembered."""
+    """Rows of the vocabulary of words and their prefixes, remembered: word i
+    has ``length[i]`` rows from place ``starts[i]`` of ``flat``."""
 
     def __init__(self, vocabulary: np.ndarray):
-        self.vocabulary, self.memory = vocabulary, Memory(CACHE)
+        self.vocabulary = vocabulary
+        self.forget()
 
-    def rows(self, words: list[str]) -> list[np.ndarray]:
-        found = list(map(self.memory.get, words))
-        for i in [i for i, x in enumerate(found) if x is None]:
-            found[i] = self.memory.recall(words[i])
-        new = [i for i, x in enumerate(found) if x is None]
-        parts = [[words[i], *[words[i][:p] + "*" for p in PREFIXES if len(words[i]) > p]] for i in new]
-        at = numbers([t for part in parts for t in part])
+    def forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.flat = self.length = self.starts = np.zeros(0, np.int64)
+
+    def learn(self, words: list[str]) -> None:
+        parts = [[w, *[w[:p] + "*" for p in PREFIXES if len(w) > p]] for w in words]
+        at = numbers(list(chain.from_iterable(parts)))
         row = np.minimum(np.searchsorted(self.vocabulary, at), max(0, len(self.vocabulary) - 1))
-        row[self.vocabulary[row] != at if len(self.vocabulary) else slice(None)] = -1
-        start = 0
-        for i, part in zip(new, parts):
-            mine = row[start:start + len(part)]
-            start += len(part)
-            found[i] = mine[mine >= 0]
-            self.memory.keep(words[i], found[i])
-        return found
+        known = self.vocabulary[row] == at if len(self.vocabulary) else np.zeros(len(at), bool)
+        of = np.repeat(np.arange(len(words)), np.fromiter(map(len, parts), np.int64, len(parts)))
+        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words))))
+        self.flat = np.concatenate((self.flat, row[known]))
+        self.length = np.concatenate((self.length, np.bincount(of[known], minlength=len(words))))
+        self.starts = np.cumsum(self.length) - self.length
 
     def counts(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Ascending rows and their counts in each whole text."""
+        """Ascending rows and their counts in each whole text.  All words of the
+        batch are spread into (text, row) pairs and added up together."""
+        if len(self.place) > CACHE:
+            self.forget()
         counted = [Counter(_TOKEN.findall((t or "").lower())) for t in texts]
-        known = list({}.fromkeys(w for words in counted for w in words))
-        row_of = dict(zip(known, self.rows(known)))
-        for words in counted:
-            each = list(map(row_of.__getitem__, words))
-            at, place = np.unique(np.concatenate([np.zeros(0, np.int64), *each]), return_inverse=True)
-            n = np.repeat(np.fromiter(words.values(), np.int64, len(words)), list(map(len, each)))
-            yield at, np.bincount(place, n, len(at)).astype(np.int64)
+        sizes = np.fromiter(map(len, counted), np.int64, len(counted))
+        words = list(chain.from_iterable(counted))
+        found = list(map(self.place.get, words))
+        new = [i for i, x in enumerate(found) if x is None]
+        self.learn(list({}.fromkeys(words[i] for i in new)))
+        for i in new:
+            found[i] = self.place[words[i]]
+        word = np.array(found, np.int64)
+        n = np.fromiter(chain.from_iterable(map(Counter.values, counted)), np.int64, len(word))
+        flat, length, starts = self.flat, self.length, self.starts
+        each = length[word]
+        at = flat[np.arange(each.sum()) + np.repeat(starts[word] - np.cumsum(each) + each, each)]
+        pair = np.repeat(np.repeat(np.arange(len(counted)) << 32, sizes), each) | at
+        order = np.argsort(pair)
+        pair = pair[order]
+        new = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1]))[:len(pair)])
+        total = np.add.reduceat(np.repeat(n, each)[order], new) if len(new) else np.zeros(0, np.int64)
+        pair = pair[new]
+        cut = np.searchsorted(pair >> 32, np.arange(len(counted) + 1)).tolist()
+        for start, end in zip(cut, cut[1:]):
+            yield pair[start:end] & 0xFFFFFFFF, total[start:end]
 
 
 def _counted(docs: DataFrame, vocabulary: np.ndarray, id_col: str, text_col: str) -> DataFrame:
