@@ -14,9 +14,13 @@ For a low c it is pruned by length alone.  What is left is verified by exact
 integer products.  Queries are cut into blocks of ``QUERIES``; a task holds one
 chunk and one block.
 
+Bounds are floats that lie below the exact products they stand for; products
+are compared as exact integers.
+
 Defined cases: vectors that are null, or hold a null or non-finite component,
-take no part, nor do those so long (2^31 and more, as integers) that a product
-would not fit a long; vectors meet only vectors of the same number of
+take no part, nor do those of integer components that no long holds (length
+2^62 and more); products beyond a long are ranked exactly and returned as the
+nearest long; vectors meet only vectors of the same number of
 components (the empty vector: product 0); a null id is no query and
 comes last in ties; rows that repeat an id are queries and candidates of their
 own; an empty table gives an empty result; other columns are ignored.
@@ -37,13 +41,19 @@ CHUNK = 4096
 QUERIES = 1024
 RUN = 1024
 GROWTH = 1.1
+#: Vectors of this length and more, as integers, take no part; products stay below 2^124.
+LONGEST = 2.0 ** 62
+#: Relative rounding error of a bound, at most.
+ROUNDING = 2.0 ** -50
+#: Error of the squares in a coordinate bound, at most.
+SQUARES = 1e-14
 #: Local cosine threshold from which coordinate pruning is used.
 HIGH_COSINE = 0.7
 
 
 def to_integers(vector: Column, scale: int = SCALE) -> Column:
     """floor(scale * x) of each component, x as double; null if the vector takes no part."""
-    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) >= 2.0 ** 62 / scale))
+    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) >= LONGEST / scale))
     good = F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long"))
     return F.when(vector.isNotNull() & ~F.coalesce(bad, F.lit(True)), good)
 
@@ -57,6 +67,12 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a.astype(object) @ b.astype(object).T
 
 
+def _below(bound: np.ndarray) -> np.ndarray:
+    """Floats that lie below the exact values which ``bound`` rounds."""
+    with np.errstate(invalid="ignore"):
+        return np.where(np.isinf(bound), bound, bound - np.abs(bound) * ROUNDING)
+
+
 def _best(score: np.ndarray, vid: np.ndarray, row: np.ndarray, k: int) -> np.ndarray:
     """Places of the ``k`` best: score down, then id up (``vid`` has nulls as the largest), then row."""
     return np.lexsort((row, vid, -score if score.dtype != object else np.array([-s for s in score], object)))[:k]
@@ -70,7 +86,7 @@ def search_chunk(vectors: np.ndarray, vid: np.ndarray, row: np.ndarray, queries:
     qlength = np.sqrt((queries.astype(float) ** 2).sum(axis=1))
     order = np.argsort(-length, kind="stable")
     found = [(np.zeros(0, np.int64), np.zeros(0)) for _ in range(len(queries))]
-    limit = bound.astype(float).copy()
+    limit = _below(bound.astype(float))
 
     def keep(q: int, places: np.ndarray, score: np.ndarray) -> None:
         own = row[places] != qrow[q]
@@ -78,7 +94,7 @@ def search_chunk(vectors: np.ndarray, vid: np.ndarray, row: np.ndarray, queries:
         best = _best(score, vid[places], row[places], k)
         found[q] = places[best], score[best]
         if len(best) == k:
-            limit[q] = max(limit[q], float(found[q][1][-1]))
+            limit[q] = max(limit[q], float(_below(np.float64(found[q][1][-1]))))
 
     for start in range(0, len(order), RUN):
         run = order[start:start + RUN]
@@ -93,7 +109,7 @@ def search_chunk(vectors: np.ndarray, vid: np.ndarray, row: np.ndarray, queries:
             # The k-th largest product of the run bounds the threshold from below.
             if len(run) > k + 1:
                 kth = np.partition(score.astype(float), len(run) - k - 1, axis=1)[:, len(run) - k - 1]
-                floor = np.maximum(limit[low], kth)
+                floor = np.maximum(limit[low], _below(kth))
             else:
                 floor = limit[low]
             at, where = np.nonzero(score >= floor[:, None])
@@ -113,7 +129,7 @@ def search_chunk(vectors: np.ndarray, vid: np.ndarray, row: np.ndarray, queries:
                 sorted_, values = by[f]
                 c = min(1.0, cosine[q])
                 qf = queries[q, f] / qlength[q]
-                wide = np.sqrt(max(0.0, (1 - qf * qf) * (1 - c * c))) + 1e-9
+                wide = np.sqrt((max(0.0, 1 - qf * qf) + SQUARES) * (1 - c * c + SQUARES)) + 1e-9
                 # Cosines from c to 1 are asked for: the region is widest at c, and its far side ends at 1.
                 low_f = qf * c - wide if qf > -c else -1.0
                 high_f = qf * c + wide if qf < c else 1.0
@@ -141,7 +157,7 @@ def top_products(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", v
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
     rows = materialise(rows.select("id", "vec", F.size("vec").alias("dim"), norm.alias("norm"),
                                    F.monotonically_increasing_id().alias("rid")).filter(
-        F.col("norm") < 2.0 ** 31), "vectors")
+        F.col("norm") < LONGEST), "vectors")
     bucket = F.when(F.col("norm") > 0, F.floor(F.log("norm") / F.log(F.lit(GROWTH)))).otherwise(-100_000).cast("long")
     rows = rows.withColumn("bucket", bucket)
     # One row per (dimension, power of GROWTH): a bounded table of metadata.
@@ -166,7 +182,8 @@ def top_products(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", v
         "dim", "bucket", "part", "norm", "id", "rid", "vec", "block", F.col("bound").cast("double").alias("bound"))
     every = kth.unionByName(_visit(chunks, rest, blocks, k))
     place = F.row_number().over(Window.partitionBy("rid").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last(), "vrid"))
-    return every.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return every.withColumn("rank", place).filter(F.col("rank") <= k).select(
+        "query_id", "rank", "vec_id", F.greatest(F.least("score", F.lit(2 ** 63 - 1)), F.lit(-2 ** 63)).cast("long").alias("score"))
 
 
 def _visit(chunks: DataFrame, queries: DataFrame, blocks: int, k: int) -> DataFrame:
@@ -190,7 +207,7 @@ def _visit(chunks: DataFrame, queries: DataFrame, blocks: int, k: int) -> DataFr
                 out["vec_id"] += [None if null[p] else int(vkey[p]) for p in places]
                 out["vrid"] += vrid[places].tolist()
                 out["score"] += [int(s) for s in score]
-        return pa.table({n: pa.array(c, pa.int64()) for n, c in out.items()})
+        return pa.table({n: pa.array(c, pa.decimal128(38, 0) if n == "score" else pa.int64()) for n, c in out.items()})
 
     grouped = left.groupBy(*key).cogroup(queries.select(*key, "id", "rid", "vec", "bound").groupBy(*key))
-    return grouped.applyInArrow(run, "query_id bigint, rid bigint, vec_id bigint, vrid bigint, score bigint")
+    return grouped.applyInArrow(run, "query_id bigint, rid bigint, vec_id bigint, vrid bigint, score decimal(38,0)")

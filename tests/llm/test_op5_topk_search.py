@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,14 +12,14 @@ from lakeshore.llm import topk_search
 def spec(rows, k=5):
     vec = []
     for n, (i, e) in enumerate(rows):
-        if e is not None and all(x is not None and math.isfinite(x) for x in e) and math.hypot(*e) < 2 ** 23:
+        if e is not None and all(x is not None and math.isfinite(x) for x in e) and math.hypot(*e) < 2 ** 54:
             vec.append((i, [math.floor(256 * x) for x in e], n))
     out = []
     for qi, q, qn in vec:
         if qi is None or qi % 50:
             continue
         s = sorted(((-sum(a * b for a, b in zip(q, v)), vi is None, vi or 0, n) for vi, v, n in vec if n != qn and len(v) == len(q)))
-        out += [(qi, r + 1, None if x[1] else x[2], -x[0]) for r, x in enumerate(s[:k])]
+        out += [(qi, r + 1, None if x[1] else x[2], max(-2 ** 63, min(2 ** 63 - 1, -x[0]))) for r, x in enumerate(s[:k])]
     return Counter(out)
 
 
@@ -56,3 +57,29 @@ def test_ties(spark):
 
 def test_empty(spark):
     assert run(spark, []) == Counter()
+
+
+@pytest.mark.parametrize("bits", [30, 45, 61])
+def test_large_products_are_compared_exactly(spark, bits):
+    """Products above 2^53, and above a long, that differ by little."""
+    rnd = random.Random(bits)
+    rows = [(i, [rnd.randint(2 ** (bits - 1), 2 ** bits) / 256 if bits < 50 else rnd.randint(2 ** 40, 2 ** 41) * 2.0 ** (bits - 50)
+                 for _ in range(4)]) for i in range(300)]
+    base = rows[7][1]
+    rows += [(i, [x + rnd.randint(-2, 2) * 2.0 ** max(-8, bits - 60) for x in base]) for i in range(300, 700)]
+    assert run(spark, rows, chunk=64) == spec(rows)
+
+
+def test_float_bounds_in_runs(monkeypatch):
+    """The probe: components of 2^29 to 2^30 in four dimensions, short runs."""
+    monkeypatch.setattr(topk_search, "RUN", 8)
+    for seed in range(60):
+        rnd = np.random.default_rng(seed)
+        v = rnd.integers(2 ** 29, 2 ** 30, (120, 4))
+        v[60:] = v[0] + rnd.integers(-3, 4, (60, 4))
+        q = v[:10] + rnd.integers(-2, 3, (10, 4))
+        ids = np.arange(120)
+        got = topk_search.search_chunk(v, ids, ids, q, np.arange(1000, 1010), np.full(10, -np.inf), 5)
+        for (places, score), one in zip(got, q.tolist()):
+            want = sorted((-sum(a * b for a, b in zip(one, x)), i) for i, x in enumerate(v.tolist()))[:5]
+            assert [(-int(s), int(p)) for p, s in zip(places, score)] == want
