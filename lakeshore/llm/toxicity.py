@@ -124,7 +124,7 @@ class Index:
 
     def __getstate__(self) -> dict:
         """Only the examples' vectors travel; workers invert them again."""
-        return {k: v for k, v in self.__dict__.items() if k not in ("weights", "block_max", "runs", "head", "dense")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("weights", "block_max", "cuts", "head", "dense")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -136,11 +136,14 @@ class Index:
         size, n = len(self.vocabulary), len(self.labels)
         blocks = max(1, -(-n // BLOCK))
         self.weights = Weights(row, np.repeat(np.arange(len(starts) - 1, dtype=np.int32), np.diff(starts)), weight, (size, n))
-        of, block = np.repeat(np.arange(size, dtype=np.int32), np.diff(self.weights.starts)), self.weights.example // BLOCK
-        new = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (block[1:] != block[:-1])))[:len(of)])
-        most = np.maximum.reduceat(self.weights.weight, new) if len(new) else np.zeros(0)
-        self.block_max = Weights(of[new], block[new], most, (size, blocks))
-        self.runs = np.append(new, len(of))                 # postings of each (term, block)
+        # Terms x blocks: the largest weight, and where the block's postings end.
+        cell = np.repeat(np.arange(size) * blocks, np.diff(self.weights.starts)) + self.weights.example // BLOCK
+        new = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))[:len(cell)])
+        self.block_max = np.zeros((size, blocks), np.float32)
+        self.block_max.ravel()[cell[new]] = np.maximum.reduceat(self.weights.weight, new) if len(new) else 0
+        self.cuts = np.zeros((size, blocks + 1), np.int32)
+        self.cuts[:, 1:].flat = np.cumsum(np.bincount(cell, minlength=size * blocks))
+        self.cuts[:, 0] = self.weights.starts[:-1]
         often = np.argsort(-np.diff(self.weights.starts), kind="stable")[:HEAD]
         self.head = np.full(size, -1)
         self.head[often] = np.arange(len(often))
@@ -170,7 +173,6 @@ class Index:
         weights = np.concatenate([np.zeros(0), *[w for _, w in vectors]])
         common[which[head >= 0], head[head >= 0]] = weights[head >= 0]
         first = common @ self.dense.T
-        exact_common = np.zeros(self.dense.shape[1])
         for i, (at, weight) in enumerate(vectors):
             if not len(at) or not n:
                 yield np.zeros(0, np.int64), np.zeros(0)
@@ -182,31 +184,26 @@ class Index:
             head = self.head[at]
             rare = head < 0
             at_rare, weight_rare = at[rare], weight[rare]
-            n_entries = self.block_max.starts[at_rare + 1] - self.block_max.starts[at_rare]
-            entry, term_weight = _spread(self.block_max.starts[at_rare], n_entries), np.repeat(weight_rare, n_entries)
-            block, blocks = self.block_max.example[entry], len(cosine) // BLOCK
-            bound = cosine.reshape(blocks, BLOCK).max(axis=1) + np.bincount(block, term_weight * self.block_max.weight[entry], blocks)
+            bound = cosine.reshape(-1, BLOCK).max(axis=1) + weight_rare @ self.block_max.take(at_rare, axis=0)
             low = np.partition(cosine[:n], n - k)[n - k] if n > k else -1.0
             live = bound >= max(low - slack, 0)
             # Only postings of blocks that can hold a neighbour are read.
+            cuts = self.cuts.take(at_rare, axis=0)
             if live.all():
-                start, length, term_weight = self.weights.starts[at_rare], self.weights.starts[at_rare + 1], weight_rare
-                length = length - start
+                start, end, term_weight = cuts[:, 0], cuts[:, -1], weight_rare
             else:
-                read = live[block]
-                entry, term_weight = entry[read], term_weight[read]
-                start, length = self.runs[entry], self.runs[entry + 1] - self.runs[entry]
+                start, end, term_weight = cuts[:, :-1][:, live].ravel(), cuts[:, 1:][:, live].ravel(), np.repeat(weight_rare, live.sum())
+            length = end - start
             place = _spread(start, length)
-            other = np.bincount(self.weights.example[place], np.repeat(term_weight, length) * self.weights.weight[place], len(cosine))
+            other = np.bincount(self.weights.example.take(place), np.repeat(term_weight, length) * self.weights.weight.take(place), len(cosine))
             cosine += other
             cosine[np.repeat(~live, BLOCK)] = -2.0
             low = np.partition(cosine[:n], n - k)[n - k] if n > k else 0.0
             best = np.flatnonzero((cosine >= low - slack) & (cosine > 0))
             # The common terms once more in double precision; the others are so already.
-            exact_common[head[~rare]] = weight[~rare]
-            exact = self.dense[best].astype(float) @ exact_common + other[best]
-            exact_common[head[~rare]] = 0
-            keep = np.lexsort((best, -exact))[:k]
+            exact = self.dense.take(best, axis=0).take(head[~rare], axis=1).astype(float) @ weight[~rare] + other[best]
+            # Sums in another order differ in the last digits: equal cosines stay ties.
+            keep = np.lexsort((best, -exact.round(12)))[:k]
             yield best[keep], exact[keep]
 
     def vote(self, i: np.ndarray, cosine: np.ndarray) -> float | None:
