@@ -216,9 +216,12 @@ class Index:
 
 
 def _monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: a non-decreasing step fit of ``y`` on sorted ``x``."""
+    """Pool adjacent violators: a non-decreasing step fit of ``y`` on sorted ``x``;
+    equal ``x`` are one point."""
     pools: list[list[float]] = []           # mean x, mean y, weight
-    for a, b, c in zip(x, y, w):
+    first = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+    weight = np.add.reduceat(w, first)
+    for a, b, c in zip(x[first], np.add.reduceat(y * w, first) / weight, weight):
         pools.append([a, b, c])
         while len(pools) > 1 and pools[-2][1] >= pools[-1][1]:
             x1, y1, w1 = pools.pop()
