@@ -170,18 +170,35 @@ def preview(df: DataFrame, filters: dict[str, str], page_no: int, page_size: int
     return f.orderBy(*order).offset(offset).limit(page_size), meta
 
 
+#: Registered prefixes that may be broadcast, and distinct lengths of them (one map-side join each).
+BROADCAST_PREFIXES = 100_000
+PREFIX_LENGTHS = 64
+
+
 def longest_prefix(paths: DataFrame, prefixes: DataFrame, path_col: str = "path", key: str = "id") -> DataFrame:
     """The app of the longest registered prefix (plain string prefix),
-    else ``unknown``.  The prefix table is configuration (one row per app);
-    its distinct lengths turn the prefix test into equi joins: each path is
-    cut at every registered length and joined on the cut.  ``key`` is a
-    unique row key of ``paths``."""
-    lengths = sorted({r[0] for r in prefixes.select(F.length("prefix")).distinct().collect()})
-    if not lengths:
-        return paths.withColumn("app", F.lit("unknown"))
+    else ``unknown``; of rows that repeat a prefix the smallest app.  The
+    prefix table is configuration (one row per app), so its size is checked:
+    up to ``BROADCAST_PREFIXES`` rows of at most ``PREFIX_LENGTHS`` lengths are
+    joined map-side, once per length, longest first, and the paths stay where
+    they are.  A larger table is joined by shuffling the paths' cuts; only
+    there ``key``, a unique row key of ``paths``, is needed."""
+    table = (prefixes.where(F.col("prefix").isNotNull()).groupBy("prefix")
+             .agg(F.coalesce(F.min("app"), F.lit("unknown")).alias("app")))
+    sizes = {r[0]: r[1] for r in table.groupBy(F.length("prefix")).count().collect()}
+    if sum(sizes.values()) > BROADCAST_PREFIXES or len(sizes) > PREFIX_LENGTHS:
+        return _longest_by_shuffle(paths, table, sorted(sizes), path_col, key)
+    out, hits = paths, []
+    for n in sorted(sizes, reverse=True):
+        side = table.where(F.length("prefix") == n).select(F.col("prefix").alias(f"_prefix{n}"), F.col("app").alias(f"_app{n}"))
+        cut = F.when(F.length(path_col) >= n, F.substring(path_col, 1, n))
+        out, hits = out.join(F.broadcast(side), cut == F.col(f"_prefix{n}"), "left"), [*hits, F.col(f"_app{n}")]
+    return out.select(*[F.col(f"`{c}`") for c in paths.columns], F.coalesce(*hits, F.lit("unknown")).alias("app"))
+
+
+def _longest_by_shuffle(paths: DataFrame, table: DataFrame, lengths: list[int], path_col: str, key: str) -> DataFrame:
     cuts = (paths.select(key, path_col, F.explode(F.array(*[F.lit(n) for n in lengths])).alias("_len"))
             .where(F.length(path_col) >= F.col("_len"))
             .select(key, "_len", F.col(path_col).substr(F.lit(1), F.col("_len")).alias("prefix")))
-    hits = cuts.join(prefixes.select("prefix", "app"), "prefix")
-    best = hits.groupBy(key).agg(F.max_by("app", F.col("_len")).alias("app"))
+    best = cuts.join(table, "prefix").groupBy(key).agg(F.max_by("app", F.col("_len")).alias("app"))
     return paths.join(best, key, "left").withColumn("app", F.coalesce("app", F.lit("unknown")))

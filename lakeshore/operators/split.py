@@ -14,6 +14,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DateType, DecimalType, IntegralType, StringType, StructField, StructType
 
 from lakeshore.operators.common import exact_sum
 
@@ -119,19 +120,43 @@ def write_split(df: DataFrame, target: str, cols: list[str], max_records: int,
      .parquet(target))
 
 
-def read_split(spark: SparkSession, target: str, folder_only: tuple[str, ...] = ()) -> DataFrame:
-    """Read a split folder back; key copies are dropped, data columns kept,
-    and ``folder_only`` columns are taken from the folder names."""
-    df = spark.read.option("basePath", target).parquet(target)
-    df = df.withColumns({c: F.col(KEY_PREFIX + c).cast("string") for c in folder_only})
-    return df.drop(*[c for c in df.columns if c.startswith(KEY_PREFIX)])
+def read_split(spark: SparkSession, target: str, folder_only: tuple[str, ...] = (), schema: StructType | None = None,
+               keys: bool = False) -> DataFrame:
+    """Read a split folder back; key copies are dropped (kept with ``keys``),
+    data columns kept, and ``folder_only`` columns are taken from the folder
+    names.  Folder names are text here: a guess would turn ``007`` into 7.
+    ``schema``: data columns and key copies, if known (no file is opened then,
+    and a split without rows reads as empty)."""
+    reader = spark.read.option("basePath", target)
+    schema = schema or reader.parquet(target).schema
+    schema = StructType([StructField(f.name, StringType()) if f.name.startswith(KEY_PREFIX) else f for f in schema])
+    df = reader.schema(schema).parquet(target)
+    df = df.withColumns({c: _folder_key(F.col(KEY_PREFIX + c)) for c in folder_only})
+    return df if keys else df.drop(*[c for c in df.columns if c.startswith(KEY_PREFIX)])
+
+
+#: What Spark names the folder of a null key.  A split has none, so it can only be this very text.
+NULL_FOLDER = "__HIVE_DEFAULT_PARTITION__"
+#: Types whose folder names give the value back exactly.
+_NAMED_TYPES = (StringType, IntegralType, DateType, BooleanType, DecimalType)
+
+
+def _folder_key(name: Column) -> Column:
+    return F.coalesce(name, F.lit(NULL_FOLDER))
 
 
 def build_manifest(written: DataFrame, cols: list[str]) -> DataFrame:
     """A16 + E1: per file its key, row count, and a part number 001.. in
-    path order within the key.  One row per file, so the window over a key
-    holds file names, never data rows."""
-    per_file = (written.select(*cols, F.col("_metadata.file_path").alias("path"))
+    path order within the key.  Where ``written`` has the key copies, keys
+    come from the folder names, so the scan reads no column: row counts come
+    from the footers.  One row per file, so the window over a key holds file
+    names, never data rows."""
+    keys = []
+    for c in cols:
+        kind = written.schema[c].dataType
+        named = KEY_PREFIX + c in written.columns and isinstance(kind, _NAMED_TYPES)
+        keys.append(_folder_key(F.col(KEY_PREFIX + c)).cast(kind).alias(c) if named else F.col(c))
+    per_file = (written.select(*keys, F.col("_metadata.file_path").alias("path"))
                 .groupBy(*cols, "path").agg(F.count(F.lit(1)).alias("rows")))
     return number_parts(per_file, cols, "path")
 
@@ -148,8 +173,9 @@ def split_by_columns(df: DataFrame, target: str, cols: list[str] | str,
                      max_records: int | None = None,
                      max_file_bytes: int = MAX_FILE_BYTES, folder_only: tuple[str, ...] = ()) -> SplitResult:
     """Drop rows with blank keys, write one group of files per key
-    combination, and read the result back for statistics.  Input and kept
-    row counts are observed during the write itself (no second scan)."""
+    combination, and read the result back for statistics.  Input rows are
+    observed during the write itself (no second scan), kept rows are those of
+    the files.  A split of blank keys only is empty."""
     if isinstance(cols, str):
         cols = [cols]
     cols = [c for c in cols if isinstance(c, str) and c.strip()]
@@ -165,16 +191,17 @@ def split_by_columns(df: DataFrame, target: str, cols: list[str] | str,
             raise ValueError("bytes per row are unknown for this input (no parquet footers): pass max_records")
     keep = reduce(lambda a, b: a & b, [not_blank(F.col(c)) for c in cols])
     obs = Observation("split")
-    observed = df.observe(obs, F.count(F.lit(1)).alias("input"), F.count_if(keep).alias("kept"))
+    observed = df.observe(obs, F.count(F.lit(1)).alias("input"))
     write_split(observed.where(keep), target, cols, max_records, folder_only=folder_only)
-    counts = obs.get
-    written = read_split(spark, target, folder_only)
-    manifest = build_manifest(written, cols)
+    fields = [f for f in df.schema if f.name not in folder_only] + [StructField(KEY_PREFIX + c, StringType()) for c in cols]
+    manifest = build_manifest(read_split(spark, target, folder_only, StructType(fields), keys=True), cols)
     stats = (manifest.groupBy(*cols)
              .agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("parts"),
                   F.max("rows").alias("largest_part")))
-    return SplitResult(target, int(counts["kept"]), int(counts["input"] - counts["kept"]),
-                       stats, manifest)
+    kept = stats.agg(F.sum("rows")).first()[0] or 0
+    # Where nothing is left, the adaptive plan drops the observation.
+    total = obs.get["input"] if kept else df.count()
+    return SplitResult(target, kept, total - kept, stats, manifest)
 
 
 def split_summary(result: SplitResult, max_records: int) -> DataFrame:

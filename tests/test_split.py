@@ -54,3 +54,31 @@ def test_byte_budget_sets_the_cap(spark, sf):
     res = sp.split_by_columns(li, scratch_dir(spark, "t-bytes"), ["l_returnflag"], max_file_bytes=16 * 1024)
     assert res.manifest.agg(F.max("rows")).first()[0] <= cap
     assert res.total_rows == li.count() and res.dropped_rows == 0
+
+
+def test_manifest_reads_no_column(spark):
+    """Keys from the folder names, as they were: leading zeros, slashes, blanks
+    around, the name Spark gives to null folders, numbers and dates."""
+    keys = ["007", "7", "a/b", " x ", "__HIVE_DEFAULT_PARTITION__", "k=v", "ä%20"]
+    df = spark.createDataFrame([(k, i % 3, f"t{i % 2}", float(i)) for i, k in enumerate(keys * 20)], "k string, n int, _task string, v double")
+    res = sp.split_by_columns(df, scratch_dir(spark, "t-names"), ["_task", "k", "n"], max_records=4, folder_only=("_task",))
+    scan = res.manifest._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<>" in scan
+    got = {(r["_task"], r.k, r.n): r.rows for r in res.stats.collect()}
+    assert got == {(r["_task"], r.k, r.n): r["count"] for r in df.groupBy("_task", "k", "n").count().collect()}
+    back = sp.read_split(spark, res.target, ("_task",))
+    assert sorted(map(tuple, back.select(*df.columns).collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_split_tasks_named_like_numbers(spark):
+    df = spark.createDataFrame([("007", 1), ("7", 2)], "_task string, k int")
+    res = sp.split_by_columns(df, scratch_dir(spark, "t-tasks"), ["_task", "k"], max_records=4, folder_only=("_task",))
+    assert {r["_task"] for r in sp.read_split(spark, res.target, ("_task",)).collect()} == {"007", "7"}
+
+
+def test_split_without_rows(spark):
+    path = scratch_dir(spark, "t-blank-in")
+    spark.createDataFrame([(None, 1), (" ", 2)], "k string, v int").write.parquet(path)
+    df = spark.read.parquet(path)
+    res = sp.split_by_columns(df, scratch_dir(spark, "t-blank"), ["k"], max_records=4)
+    assert (res.total_rows, res.dropped_rows, res.manifest.count(), res.stats.count()) == (0, 2, 0, 0)
