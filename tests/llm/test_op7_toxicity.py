@@ -102,3 +102,61 @@ def test_all_terms_of_the_examples_count(spark):
     got = {r["id"]: r for r in toxicity.score_documents(docs, marks).collect()}
     assert sum((got[i]["score"] >= 0.5) == (i < 1010) for i in range(1000, 1020)) >= 18
     assert got[2000]["neighbours"] == [120]
+
+
+def _brute_scores(docs, marks, k=toxicity.NEIGHBOURS):
+    """Scores by definition: dense TF-IDF vectors over words and prefixes, all
+    cosines, votes, and the isotonic fit by its max-min formula."""
+    terms = {i: toxicity.terms(t) for i, t in docs}
+    vocabulary = sorted(set().union(*[terms[i] for i in marks]))
+    has = {t: {i for i in terms if t in terms[i]} for t in vocabulary}
+    n = {y: sum(v == y for v in marks.values()) for y in (0, 1)}
+
+    def weight(t):
+        p, q = [(sum(i in has[t] for i in marks if marks[i] == y) + 0.5) / (n[y] + 1) for y in (1, 0)]
+        apart = abs(p - q) / (p * (1 - p) / n[1] + q * (1 - q) / n[0]) ** 0.5 + 1e-3
+        return (np.log((len(docs) + 1) / (len(has[t]) + 1)) + 1e-3) * apart
+
+    each = np.array([weight(t) for t in vocabulary])
+    vectors = {i: each * [1 + np.log(c[t]) if t in c else 0 for t in vocabulary] for i, c in terms.items()}
+    unit = {i: v / (np.linalg.norm(v) or 1) for i, v in vectors.items()}
+
+    def vote(i):
+        near = sorted(((-round(unit[i] @ unit[j], 12), j) for j in marks if j != i), key=lambda x: x[0])[:k]
+        near = [(-c, j) for c, j in near if c < 0]
+        total = sum(c ** toxicity.SHARPNESS for c, _ in near)
+        return sum(c ** toxicity.SHARPNESS * marks[j] for c, j in near) / total if near else None
+
+    points = {}
+    for i in marks:
+        if vote(i) is not None:
+            points.setdefault(vote(i), []).append(marks[i])
+    xs = sorted(points)
+    total, size = np.array([sum(points[x]) for x in xs], float), np.array([len(points[x]) for x in xs], float)
+    mean = lambda a, b: total[a:b + 1].sum() / size[a:b + 1].sum()
+    fit = [max(min(mean(a, b) for b in range(i, len(xs))) for a in range(i + 1)) for i in range(len(xs))]
+    knots = {}
+    for x, y, s in zip(xs, fit, size):
+        knots.setdefault(round(y, 9), []).append((x, s))
+    at = [sum(x * s for x, s in knots[y]) / sum(s for _, s in knots[y]) for y in sorted(knots)]
+    return {i: float(np.interp(vote(i) or 0.0, at, sorted(knots))) for i in terms}
+
+
+def test_scores_by_brute_force(spark):
+    rnd = random.Random(11)
+    common = ["".join(rnd.choice("abcdefg") for _ in range(rnd.randint(2, 7))) for _ in range(60)]
+    docs, marks = [], {}
+    for i in range(160):
+        toxic = i % 4 == 0
+        ws = [rnd.choice(common) for _ in range(rnd.randint(8, 40))] + ([rnd.choice(["vile", "nastily", "dull"])] * rnd.randint(0, 2) if toxic else [])
+        docs.append((i, " ".join(ws)))
+        if i % 5:
+            marks[i] = int(toxic)
+    docs += [(500, "unseen words only"), (501, "")]
+    want = _brute_scores(docs, marks)
+    got = {r["id"]: r["score"] for r in toxicity.score_documents(
+        spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3),
+        spark.createDataFrame([(i, 1, y) for i, y in marks.items()], "doc_id bigint, quality int, toxic int")).collect()}
+    assert got.keys() == want.keys()
+    assert len({round(s, 6) for s in want.values()}) > 10
+    assert max(abs(got[i] - want[i]) for i in want) < 1e-4
