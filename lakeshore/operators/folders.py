@@ -118,13 +118,11 @@ def _process_group(spark, members, cols, raw_root, temp_root, max_records):
     missing = [c for c in cols if c not in data.columns]
     if missing:
         return [_row(t, f, "error", error=f"split columns not in data: {missing}") for t, f in members], None
-    # A file belongs to every task whose folder holds it, directly or deeper
-    # down; each folder is read once however many tasks name it.
+    # Each folder is read once however many tasks name it.
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", DATA_FILES).load(paths)
     files = listed.select(_local(F.col("path")).alias("_path"))
     tasks = spark.createDataFrame([(f"{root}/{f}", t) for t, f in members], "_folder string, _task string")
-    owner = files.select("_path", F.explode(ancestors(F.col("_path"))).alias("_folder")).join(tasks, "_folder").select("_path", "_task")
-    tagged = data.join(owner, "_path").drop("_path")
+    tagged = _with_tasks(data, files, tasks)
     keep = reduce(lambda a, b: a & b, [sp.not_blank(F.col(c)) for c in cols])
     dropped = {r["_task"]: r["n"] for r in tagged.groupBy("_task").agg(F.count_if(~keep).alias("n")).collect()}
     target = f"{temp_root.rstrip('/')}/{uuid.uuid4().hex}"
@@ -149,6 +147,16 @@ def _process_group(spark, members, cols, raw_root, temp_root, max_records):
     return out, sums
 
 
+def _with_tasks(data, files, tasks):
+    """``data`` with the task of its file: a file belongs to every task whose
+    folder holds it, directly or deeper down.  The side that travels is named
+    here: a listing is estimated by the bytes of its files, so Spark would take
+    the data, whose columns are small on disk, for the smaller side and send
+    that through the driver.  ``files`` has one row per file."""
+    owner = files.select("_path", F.explode(ancestors(F.col("_path"))).alias("_folder")).join(F.broadcast(tasks), "_folder")
+    return data.join(F.broadcast(owner.select("_path", "_task")), "_path").drop("_path")
+
+
 def _outermost(paths) -> list[str]:
     """Distinct folders that lie in no other of them."""
     out: list[str] = []

@@ -3,8 +3,10 @@
 
 import json
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
-from lakeshore.operators import scan
+from lakeshore.operators import folders, scan
 
 
 def test_scan_registry_facts(spark, sf):
@@ -58,3 +60,18 @@ def test_retry_dlq_stream(spark, sf):
 def test_process_folder_stage_statuses(spark, sf):
     got = {r.task_id: r.status for r in entry.queries()["process_folder_stage"](spark, sf).collect()}
     assert got == {"t0": "completed", "t1": "completed", "t2": "completed", "t3": "error", "t4": "error"}
+
+
+def test_process_folder_never_broadcasts_the_data(spark, tmp_path):
+    """The listing is estimated by the bytes of its files; the data must stay where it is read."""
+    root = str(tmp_path)
+    spark.range(1000).selectExpr("id", "repeat(uuid(), 20) AS v").write.parquet(f"{root}/E/a")
+    data = folders._read(spark, [root]).withColumn("_path", folders._local(F.col("_metadata.file_path")))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
+        "pathGlobFilter", folders.DATA_FILES).load(root).select(folders._local(F.col("path")).alias("_path"))
+    tasks = spark.createDataFrame([(f"{root}/E", "t0"), (f"{root}/E/a", "t1")], "_folder string, _task string")
+    tagged = folders._with_tasks(data, files, tasks).select("id", "_task")
+    plan = tagged._jdf.queryExecution().sparkPlan().toString()
+    assert "BuildRight" in plan and plan.index("Scan parquet") < plan.index("Scan binaryFile") and "BuildLeft" not in plan.split("Scan parquet")[0]
+    assert sorted((r["_task"], r["n"]) for r in tagged.groupBy("_task").agg(F.count_distinct("id").alias("n")).collect()) == [
+        ("t0", 1000), ("t1", 1000)]
