@@ -375,7 +375,7 @@ def row_counts(spark: SparkSession, catalog: DataFrame, roots: list[str] | None
         if pattern:
             read = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
             rows = _per_file(read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).csv(root))
-            counts = counts.unionByName(rows.join(csvs, "path", "left_semi"))
+            counts = counts.unionByName(records.of_files(rows, csvs))
     counts = counts.withColumn("_seen", F.lit(True))
     return (catalog.join(counts, "path", "left")
             .withColumn("rows", F.when(F.col("_seen"), F.col("rows")).otherwise(F.lit(0).cast("long")))

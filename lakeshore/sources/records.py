@@ -69,7 +69,15 @@ def text_lines(spark: SparkSession, files: DataFrame, roots: list[str]) -> DataF
         return spark.createDataFrame([], "path string, value string")
     read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(roots)
     lines = read.select(local_path(F.col("_metadata.file_path")).alias("path"), "value")
-    return lines.join(files, "path", "left_semi")
+    return of_files(lines, files)
+
+
+def of_files(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """The rows whose ``path`` is one of ``files``.  Compared as structs: with
+    plain columns Spark would infer that a row's path, too, meets whatever
+    ``files`` was filtered by (the name rules) and test that on every row."""
+    listed = files.select(F.struct("path").alias("_listed"))
+    return rows.join(listed, F.struct(rows["path"]) == F.col("_listed"), "left_semi")
 
 
 # ---- JSON ---------------------------------------------------------------

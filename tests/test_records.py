@@ -77,3 +77,20 @@ def test_common_folder(spark):
     paths = spark.createDataFrame([("/a/b/c/1",), ("/a/b/d/2",), ("/a/b/c/x/3",)], "path string")
     assert records.common_folder(paths) == "/a/b"
     assert records.common_folder(paths.where("path = '/a/b/c/1'")) == "/a/b/c"
+
+
+def test_name_rules_are_tested_per_file_not_per_line(spark, folder):
+    """Joins on the path must not carry the filter of the files over to the lines."""
+    root = folder(a_DOT_json='{"a": 1}\n{"a": 2}\n', b_DOT_csv="x\n1\n2\n3\n")
+    catalog = src.file_catalog(spark, root)
+    jsons = records.of_format(catalog, "json")
+
+    def rules(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("CASE WHEN")
+    lines = records.text_lines(spark, jsons, [root])
+    assert rules(lines) == rules(jsons) > 0
+    rows = src._per_file(spark.read.option("header", True).csv(f"{root}/b.csv"))
+    csvs = records.of_format(catalog, "csv")
+    assert rules(records.of_files(rows, csvs)) == rules(csvs)
+    got = {os.path.basename(r.path): r.rows for r in src.row_counts(spark, catalog).collect()}
+    assert got == {"a.json": 2, "b.csv": 3} and lines.count() == 2
