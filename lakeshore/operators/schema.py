@@ -51,12 +51,13 @@ def compatibility(src: DataFrame, tgt: DataFrame, src_dialect: str, tgt_dialect:
 
 
 def field_set_ops(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ("schema_id",)) -> DataFrame:
-    """G1: names only on the left, only on the right, and common, per schema."""
+    """G1: names only on the left, only on the right, and common, per schema.
+    One grouping of both lists, where every name says on which sides it was
+    seen (nulls are equal, as in set operations)."""
     cols = list(keys) + ["name"]
-    la, lb = a.select(*cols), b.select(*cols)
-    return (la.subtract(lb).withColumn("side", F.lit("left"))
-            .unionByName(lb.subtract(la).withColumn("side", F.lit("right")))
-            .unionByName(la.intersect(lb).withColumn("side", F.lit("both"))))
+    both = a.select(*cols, F.lit(1).alias("_side")).unionByName(b.select(*cols, F.lit(2).alias("_side")))
+    seen = both.groupBy(*cols).agg(F.bit_or("_side").alias("_seen"))
+    return seen.select(*cols, F.element_at(F.array(F.lit("left"), F.lit("right"), F.lit("both")), F.col("_seen")).alias("side"))
 
 
 def _footer_fields(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:

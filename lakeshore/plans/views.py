@@ -149,9 +149,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def register_tables(spark: SparkSession, sf_dir: str, names=RAW_TABLES) -> None:
+#: Views that group a table by nearly every row: the table and the key to deal it by.
+DEALT = {"src_fields": ("lineitem", "l_orderkey"), "tgt_fields": ("lineitem", "l_orderkey")}
+#: Rows of a task that groups so.
+GROUP_ROWS = 1_000_000
+
+
+def _dealt(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt by ``key`` for a grouping that makes no row fewer.  Such rows
+    are few bytes in a shuffle but many in a hash table; partitions merged by
+    their bytes would let a task's memory grow with the input."""
+    # Without columns a count reads the footers alone.
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // GROUP_ROWS))
+    return df.repartition(n, key)
+
+
+def register_tables(spark: SparkSession, sf_dir: str, names=RAW_TABLES, keys: dict[str, str] | None = None) -> None:
     for name in names:
-        table(spark, sf_dir, name).createOrReplaceTempView(name)
+        df = table(spark, sf_dir, name)
+        (_dealt(df, keys[name]) if name in (keys or {}) else df).createOrReplaceTempView(name)
 
 
 def _closure(names) -> list[str]:
@@ -176,7 +192,8 @@ def _raw_tables_of(sql: str) -> list[str]:
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The binding view as a Spark DataFrame (raw tables read from sf_dir)."""
     names = _closure([name])
-    register_tables(spark, sf_dir, sorted({t for n in names for t in _raw_tables_of(VIEWS[n][0])}))
+    register_tables(spark, sf_dir, sorted({t for n in names for t in _raw_tables_of(VIEWS[n][0])}),
+                    dict(DEALT[n] for n in names if n in DEALT))
     for n in names:
         spark.sql(VIEWS[n][0]).createOrReplaceTempView(n)
     return spark.table(name)

@@ -89,3 +89,25 @@ def test_extract_schema_all_tables(spark, sf):
     got = sc.extract_schema(file_catalog(spark, sf, "parquet")).where(F.col("path").endswith("/lineitem.parquet"))
     names = [r.field for r in got.orderBy("pos").collect()]
     assert names == spark.read.parquet(f"{sf}/lineitem.parquet").columns
+
+
+def test_field_lists_are_grouped_in_tasks_of_bounded_rows(spark, sf, monkeypatch):
+    """Memory of a task must not follow the table: more rows, more tasks."""
+    from lakeshore.plans import views
+    monkeypatch.setattr(views, "GROUP_ROWS", 200)
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    a, b = (views.view(spark, sf, n) for n in ("src_fields", "tgt_fields"))
+    got = sc.field_set_ops(a, b)
+    for x in (a, b):
+        assert x.rdd.getNumPartitions() >= rows // 200 and max(len(p) for p in x.rdd.glom().collect()) <= 600
+    left, right = ({(r.schema_id, r.name) for r in x.collect()} for x in (a, b))
+    want = {(*k, "both" if k in left and k in right else "left" if k in left else "right") for k in left | right}
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_field_set_ops_takes_nulls_as_equal_and_rows_once(spark):
+    a = spark.createDataFrame([(1, "x"), (1, "x"), (None, None), (2, None)], "schema_id long, name string")
+    b = spark.createDataFrame([(None, None), (1, "y"), (1, "y")], "schema_id long, name string")
+    got = {tuple(r) for r in sc.field_set_ops(a, b).collect()}
+    assert got == {(1, "x", "left"), (2, None, "left"), (1, "y", "right"), (None, None, "both")}
+    assert sc.field_set_ops(a, b).count() == 4
