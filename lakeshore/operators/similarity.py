@@ -9,15 +9,14 @@ bound; otherwise the join shuffles both sides on the token and AQE splits
 skewed (very common) tokens over several tasks.
 
 The sequence ratio has no token form.  It is computed exactly with
-``difflib`` in Arrow batches (``mapInPandas``), but only for pairs that can
-still enter a query's top k: a first round scores the best Jaccard/trigram
-pairs, which fixes a lower bound per query; then a length-band join (an
-upper bound of the ratio) prunes the rest before any exact comparison.
+``difflib`` inside tasks, where groups of documents meet groups of queries,
+but only for pairs that can still enter a query's top k: the best
+Jaccard/trigram pairs fix a lower bound per query, and upper bounds of the
+ratio (by length, then by the passages that can match) rule out the rest.
 """
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 import pandas as pd
@@ -32,8 +31,6 @@ from lakeshore.session import checkpoint_root
 TOKEN_RE = r"[\p{L}\p{N}_]+"
 WORD_RE = r"[\p{L}\p{N}]+"
 TRIGRAM_MIN = 0.1
-# Geometric width of the length buckets used by the sequence band join.
-LEN_BUCKET_BASE = 1.25
 
 
 def tokens(text) -> Column:
@@ -181,9 +178,86 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
     return _spread(pairs.select("qid", "id", "qt", "dt")).mapInPandas(_ratios, "qid long, id long, score double")
 
 
-def _bucket(length: Column) -> Column:
-    return F.when(length <= 0, F.lit(-1)).otherwise(
-        F.floor(F.log(LEN_BUCKET_BASE, length.cast("double"))).cast("int"))
+def _can_match(a: str, b: str, b2j: dict[str, list[int]]) -> int:
+    """At most this many characters of ``a`` lie in matching blocks.
+
+    ``SequenceMatcher`` starts a block only at a character of ``b2j`` (in texts
+    of 200 characters or more the frequent ones are left out) and extends it
+    both ways; only the texts' common beginning is matched without such a
+    start.  So every matched character lies in a common passage around a start,
+    or in the beginning."""
+    n, m = len(a), len(b)
+    end = 0
+    while end < n and end < m and a[end] == b[end]:
+        end += 1
+    covered = end                   # characters before ``end`` that may match
+    for i, c in enumerate(a):
+        left = right = -1
+        for j in b2j.get(c, ()):
+            x = 0
+            while x < i and x < j and a[i - x - 1] == b[j - x - 1]:
+                x += 1
+            left, x = max(left, x), 1
+            while i + x < n and j + x < m and a[i + x] == b[j + x]:
+                x += 1
+            right = max(right, x)
+        if right > 0 and i + right > end:
+            covered += i + right - max(end, i - left)
+            end = i + right
+    return covered
+
+
+def _best_ratios(k: int):
+    """Per group of documents the k best positive ratios of each query, no
+    pair that is sure to be worse than ``r`` or than k others of the group."""
+    import heapq
+    from difflib import SequenceMatcher
+
+    import numpy as np
+
+    def run(queries: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
+        qids, texts, la = list(queries["qid"]), list(queries["qt"]), queries["la"].to_numpy(np.int64)
+        least = queries["r"].to_numpy(np.float64).copy()
+        best: list[list[tuple[float, int]]] = [[] for _ in qids]
+        # Short texts first: they have the high ratios, and those rule out the long ones by length.
+        for id_, text in sorted(zip(docs["id"], docs["dt"]), key=lambda x: (len(x[1]), x[0])) if qids else ():
+            lb = len(text)
+            total = la + lb
+            may = np.where(total > 0, 2.0 * np.minimum(la, lb) / np.maximum(total, 1), 1.0)
+            near = np.flatnonzero(may >= least)
+            if not len(near):
+                continue
+            match = SequenceMatcher(None, "", text)
+            for at in near:
+                a, size = texts[at], int(total[at])
+                if size:
+                    match.set_seq1(a)
+                    if match.bpopular:
+                        most = 2.0 * _can_match(a, text, match.b2j) / size
+                    else:
+                        most = match.quick_ratio()
+                    if most < least[at] or most <= 0:
+                        continue
+                    score = match.ratio()
+                else:
+                    score = 1.0     # two empty texts
+                if score <= 0 or score < least[at]:
+                    continue
+                heap = best[at]
+                if len(heap) < k:
+                    heapq.heappush(heap, (score, -id_))
+                else:
+                    heapq.heappushpop(heap, (score, -id_))
+                if len(heap) == k:
+                    least[at] = max(least[at], heap[0][0])
+        rows = [(q, -i, s) for q, heap in zip(qids, best) for s, i in heap]
+        return pd.DataFrame(rows, columns=["qid", "id", "score"]).astype({"qid": "int64", "id": "int64", "score": "float64"})
+    return run
+
+
+#: Queries that meet a group of documents together, and characters of such a group.
+GROUP_QUERIES = 256
+GROUP_CHARS = 4_000_000
 
 
 def sequence_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, qid: str = "qid", qtext: str = "text",
@@ -192,43 +266,38 @@ def sequence_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, qid: str =
 
     1. Seeds: the best Jaccard and trigram pairs (exact ratio computed).
        The k-th best seed ratio r_q is a lower bound of the final k-th.
-    2. Length band: ratio <= 2 min(la, lb) / (la + lb); only documents
-       whose length keeps this bound >= r_q are paired, through an equi
-       join on geometric length buckets (a range join, not a cross join).
-    3. The surviving pairs get the exact ratio.  (A character-multiset
-       bound was tried as a third filter: on prose it kept over 90% of the
-       pairs and cost more than it saved, so it is not applied.)
+    2. Documents and queries are dealt into groups of bounded size, every
+       document meets every query in one group.  Per document the matcher is
+       prepared once; a pair is compared only if upper bounds of its ratio (by
+       length, then by the passages that can match) reach r_q and the k-th
+       best of the group so far.
+    3. The best of all groups are ranked.
     """
-    q = queries.select(F.col(qid).alias("qid"), F.col(qtext).alias("qt"), F.length(qtext).alias("la"))
-    d = corpus.select(F.col(did).alias("id"), F.col(dtext).alias("dt"), F.length(dtext).alias("lb"))
+    spark = queries.sparkSession
+    q = queries.select(F.col(qid).alias("qid"), F.col(qtext).alias("qt"), F.length(qtext).alias("la")).where("qt is not null")
+    d = corpus.select(F.col(did).alias("id"), F.col(dtext).alias("dt")).where("dt is not null")
     if seed_lists is None:
         seed_lists = [jaccard_topk(queries, corpus, k, qid, qtext, did, dtext),
                       trigram_topk(queries, corpus, k, qid, qtext, did, dtext)]
     seeds = reduce(DataFrame.unionByName, [x.select("qid", "id") for x in seed_lists]).distinct()
-    # The seed scores feed both the bound and the result: cut the lineage
-    # once (a reliable checkpoint in the shared checkpoint folder) so the
-    # UDF runs once.  At most 2k rows per query.
-    checkpoint_root(queries.sparkSession)
-    seeded = score_pairs(seeds.join(q, "qid").join(d, "id")).checkpoint()
+    # At most 2k rows per query.
+    seeded = score_pairs(seeds.join(q, "qid").join(d, "id"))
     kth = (top_k(seeded, k).groupBy("qid")
            .agg(F.count(F.lit(1)).alias("m"), F.min("score").alias("r")))
     bound = (q.join(kth, "qid", "left")
-             .select("qid", "la", F.when(F.col("m") >= k, F.col("r")).otherwise(F.lit(0.0)).alias("r")))
-    # Document lengths allowed for a query: r(la + lb) <= 2 min(la, lb).
-    lo = F.when(F.col("r") > 0, F.col("la") * F.col("r") / (2 - F.col("r"))).otherwise(F.lit(0.0))
-    hi = F.when(F.col("r") > 0, F.col("la") * (2 - F.col("r")) / F.col("r")).otherwise(F.lit(float("inf")))
-    max_b = math.ceil(math.log(1 << 31, LEN_BUCKET_BASE))
-    qb = bound.select(
-        "qid", "la", "r",
-        F.explode(F.sequence(F.when(lo >= 1, _bucket(F.floor(lo))).otherwise(F.lit(-1)),
-                             F.when(hi >= (1 << 31), F.lit(max_b)).otherwise(_bucket(F.ceil(hi))))).alias("b"))
-    db = d.select("id", "lb", _bucket(F.col("lb")).alias("b"))
-    band = (db.join(qb, "b").where(F.col("r") * (F.col("la") + F.col("lb"))
-                                   <= 2 * F.least(F.col("la"), F.col("lb")))
-            .select("qid", "id", "la", "lb", "r"))
-    survivors = band.select("qid", "id").join(seeds, ["qid", "id"], "left_anti")
-    exact = score_pairs(survivors.join(q, "qid").join(d, "id"))
-    scored = seeded.unionByName(exact).where(F.col("score") > 0)
+             .select("qid", "qt", "la", F.when(F.col("m") >= k, F.col("r")).otherwise(F.lit(0.0)).alias("r")))
+    chars = d.agg(F.sum(F.length("dt"))).first()[0] or 0
+    parts = -(-q.count() // GROUP_QUERIES) or 1
+    deals = max(spark.sparkContext.defaultParallelism * 4, -(-chars // GROUP_CHARS))
+    some = bound.select("*", F.pmod(F.xxhash64("qid"), F.lit(parts)).cast("int").alias("part"),
+                        F.explode(F.sequence(F.lit(0), F.lit(deals - 1))).alias("deal"))
+    docs = d.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"),
+                    F.pmod(F.xxhash64("id"), F.lit(deals)).cast("int").alias("deal"))
+    # An explicit partition count: few bytes of much work, which AQE would merge.
+    n = min(parts * deals, max(deals, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    some, docs = (x.repartition(n, "part", "deal") for x in (some, docs))
+    scored = some.groupBy("part", "deal").cogroup(docs.groupBy("part", "deal")).applyInPandas(
+        _best_ratios(k), "qid long, id long, score double")
     return top_k(scored, k).select("qid", "id", percentage(F.col("score")).alias("percentage"), "rank")
 
 

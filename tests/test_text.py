@@ -118,3 +118,22 @@ def test_edge_texts(spark):
     d = df.select(F.col("qid").alias("id"), "text")
     got = sorted(tuple(r) for r in sim.jaccard_topk(df, d, K).collect())
     assert got == brute(list(enumerate(texts)), list(enumerate(texts)), jac)
+
+
+def test_sequence_bound_holds_and_documents_are_prepared_once(spark, data):
+    """No ratio is above the bound; long texts, prefixes and repeats included."""
+    _, _, Q, D = data
+    extra = [(9001, Q[0][1]), (9002, Q[0][1] * 9), (9003, Q[1][1][:40] + "e" * 500), (9004, ""), (9005, "ab" * 300 + Q[2][1])]
+    docs = D[:25] + extra
+    for _, b in docs:
+        for _, a in Q[:12] + [(0, ""), (0, "eeee"), (0, "ab" * 150)]:
+            m = SequenceMatcher(None, a, b)
+            if m.bpopular:
+                assert m.ratio() * (len(a) + len(b)) / 2 <= sim._can_match(a, b, m.b2j) + 1e-6
+    queries = Q[:6] + [(777, ""), (778, "ab" * 150)]
+    q = spark.createDataFrame(queries, "qid long, text string").unionByName(spark.createDataFrame([(779, None)], "qid long, text string"))
+    d = spark.createDataFrame(docs + [(9006, None)], "id long, text string")
+    got = sim.sequence_topk(q, d, K)
+    assert "CoGroup" in got._jdf.queryExecution().optimizedPlan().toString()
+    exp = brute(queries, docs, lambda a, b: SequenceMatcher(None, a, b).ratio())
+    assert sorted(tuple(r) for r in got.collect()) == exp
