@@ -288,7 +288,8 @@ def sequence_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, qid: str =
              .select("qid", "qt", "la", F.when(F.col("m") >= k, F.col("r")).otherwise(F.lit(0.0)).alias("r")))
     chars = d.agg(F.sum(F.length("dt"))).first()[0] or 0
     parts = -(-q.count() // GROUP_QUERIES) or 1
-    deals = max(spark.sparkContext.defaultParallelism * 4, -(-chars // GROUP_CHARS))
+    # Many groups a core: keys are dealt by hash, so some tasks get several of them.
+    deals = max(spark.sparkContext.defaultParallelism * 16, -(-chars // GROUP_CHARS))
     some = bound.select("*", F.pmod(F.xxhash64("qid"), F.lit(parts)).cast("int").alias("part"),
                         F.explode(F.sequence(F.lit(0), F.lit(deals - 1))).alias("deal"))
     docs = d.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"),
