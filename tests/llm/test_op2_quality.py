@@ -103,3 +103,35 @@ def test_long_document_and_rare_language(spark):
     judged = quality.judge(docs, labels, documents=200, words=3000)
     threshold = {r["lang"]: r["threshold"] for r in judged.select("lang", "threshold").distinct().collect()}
     assert threshold["en"] != threshold["xx"] and None not in threshold.values()
+
+
+def test_all_trusted_text_trains(spark):
+    """More documents than a broadcast sample took, a long text, equal texts and repeated rows: every perplexity is
+    that of one model of all training texts, however the blocks fall."""
+    rnd = random.Random(6)
+    text = lambda n: " ".join(rnd.choices("abcdefgh", (9, 7, 5, 3, 2, 1, 1, 1), k=n))
+    rows = [(i, text(rnd.randint(1, 8)), rnd.choice(["en", "de", None])) for i in range(9000)]
+    rows += [(9000 + i, text(40_000), "en") for i in range(3)] + rows[:20] + [(9900, "", "en"), (9901, None, None), (9902, "zz a", "en")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 9 > 0), 0) for i in range(9003)], "doc_id bigint, quality int, toxic int")
+    fold = {r[0]: r[1] for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(5))).distinct().collect()}
+    first = {}
+    for i, t, _ in rows:
+        if i < 9003 and i % 9:
+            first[t] = min(i, first.get(t, i))
+    training = [t for t, i in first.items() if fold[i]]
+    grams = Counter()
+    for h in quality._hashes(training):
+        s = [quality.BEGIN, quality.BEGIN, *h.tolist(), quality.END]
+        grams.update(zip(s, s[1:], s[2:]))
+    m = quality.Model.fit(*(np.array(x) for x in zip(*grams)), np.array(list(grams.values())))
+    texts = sorted({t or "" for _, t, _ in rows})
+    want = dict(zip(texts, m.log10(quality._hashes(texts))))
+    by_id = {i: t or "" for i, t, _ in rows}
+    for options in ({}, {"block_bytes": 30_000}):
+        got = quality.judge(docs, labels, **options).collect()
+        assert Counter(r["id"] for r in got) == Counter(r[0] for r in rows)
+        for r in got:
+            t = by_id[r["id"]]
+            assert r["n_tokens"] == len(t.split()) + 1
+            assert math.log10(r["perplexity"]) * -r["n_tokens"] == pytest.approx(want[t], rel=1e-5)
