@@ -142,22 +142,20 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     documents without words among them, do not appear."""
     names = {"id": "pid", "key": "pkey", "source": "psource"}
     plan = materialise(mix(docs, id_col, text_col, source_col, **options).withColumnsRenamed(names), "mix")
-    repeated = plan.groupBy(*names.values()).agg(F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"),
-                       text_key(F.col(text_col)).alias("key"), F.col(source_col).alias("source"))
-    places = plan.select(*names.values(), "size", F.explode("occurrences").alias("o")).select("*", "o.*")
-
-    def same(left: DataFrame, right: DataFrame) -> Column:
-        return (left["key"] == right["pkey"]) & left["id"].eqNullSafe(right["pid"]) \
-            & left["source"].eqNullSafe(right["psource"])
-
+    # Id, text and source as one key; equal structs agree in nulls too.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.struct(
+        text_key(F.col(text_col)).alias("pkey"), F.col(id_col).alias("pid"), F.col(source_col).alias("psource")).alias("at"),
+        F.monotonically_increasing_id().alias("number"))
+    places = plan.groupBy(F.struct("pkey", "pid", "psource").alias("place")).agg(
+        F.first("size").alias("size"), F.flatten(F.collect_list("occurrences")).alias("occurrences"))
     # Rows that agree in id, text and source have several places each: one row
-    # of them stands for all, so that every place is filled once.
-    once = rows.join(repeated, same(rows, repeated), "left_anti")
-    often = rows.join(repeated, same(rows, repeated), "left_semi").groupBy("id", "key", "source").agg(
-        F.first("row").alias("row"))
-    rows = once.unionByName(often)
-    mixed = rows.join(places, same(rows, places))
+    # of them stands for all, so that every place is filled once.  The window
+    # has the join's order, so texts are shuffled once before the final sort.
+    placed = rows.join(places, F.col("at") == F.col("place"))
+    placed = placed.withColumn("first", F.min("number").over(Window.partitionBy("place")))
+    placed = placed.filter(F.col("number") == F.col("first"))
+    mixed = placed.select("row", F.col("place.pid").alias("id"), F.col("place.pkey").alias("key"), "size",
+                          F.explode("occurrences").alias("o")).select("*", "o.*")
     cut = F.when(F.col("words") < F.col("size"), first_words(F.col(f"row.`{text_col}`"), F.col("words"))).otherwise(
         F.col(f"row.`{text_col}`"))
     mixed = mixed.withColumn("row", F.col("row").withField(f"`{text_col}`", cut))

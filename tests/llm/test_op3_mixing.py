@@ -84,3 +84,19 @@ def test_order_is_a_fixed_hash():
 def test_empty(empty, clash):
     assert mixing.mix(empty).count() == 0
     assert mixing.mix_documents(clash(empty)).count() == 0
+
+
+def test_texts_cross_the_network_once_before_the_sort(spark, odd):
+    """With tables too large to broadcast, whole rows are shuffled once to meet their places and once by the sort."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        mixed = mixing.mix_documents(odd)
+        plan = mixed._jdf.queryExecution().executedPlan().toString()
+        got = mixed.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == sum(len(r["occurrences"]) for r in mixing.mix(odd).collect())
+    assert len(re.findall(r"Exchange rangepartitioning\(", plan)) == 1
+    # The texts, and the plan to meet them (grouped by the same key).
+    assert len(re.findall(r"Exchange hashpartitioning\(", plan)) == 2
