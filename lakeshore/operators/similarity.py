@@ -3,10 +3,11 @@ similarity and sequence ratio, top-k per query, many queries at once.
 
 Set and vector similarities are token joins: each side is exploded to
 (record, token) rows, joined on the token, and the overlap per pair is an
-aggregate.  Pairs that share no token never exist.  The query side is
-broadcast only after its exploded size has been counted and found under a
-bound; otherwise the join shuffles both sides on the token and AQE splits
-skewed (very common) tokens over several tasks.
+aggregate.  Pairs that share no token never exist.  The top k by sets take a
+table of the queries' tokens to the documents instead, after the table's size
+has been counted and found under a bound; otherwise the join shuffles both
+sides on the token and AQE splits skewed (very common) tokens over several
+tasks.
 
 The sequence ratio has no token form.  It is computed exactly with
 ``difflib`` inside tasks, where groups of documents meet groups of queries,
@@ -17,9 +18,14 @@ ratio (by length, then by the passages that can match) rule out the rest.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,18 +119,102 @@ def set_similarity(queries: DataFrame, corpus: DataFrame, q_items: Column, d_ite
     return pairs.select("qid", "id", (F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))).alias("score"))
 
 
+#: Cells of the table of the queries' items that every worker holds, at most.
+TABLE_CELLS = 1 << 26
+
+
+@dataclass
+class QueryTable:
+    """The queries' items as a table, items x queries, 1 where a query has the item."""
+    qids: pa.Array
+    sizes: np.ndarray
+    items: pa.Array
+    has: np.ndarray
+
+    @classmethod
+    def of(cls, q: pa.Table) -> QueryTable:
+        """From ``_key`` and ``_set``, one row a query."""
+        sets = pa.concat_arrays(q.column("_set").chunks) if q.num_rows else pa.array([], q.schema.field("_set").type)
+        sizes = pc.fill_null(pc.list_value_length(sets), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = sets.flatten()
+        items = flat.unique().drop_null()
+        # A number of the type holds the overlap with any document.
+        has = np.zeros((len(items), len(sizes)), np.min_scalar_type(int(sizes.max(initial=0))))
+        at = pc.index_in(flat, value_set=items)
+        have = at.is_valid().to_numpy(zero_copy_only=False)
+        has[at.drop_null().to_numpy(), np.repeat(np.arange(len(sizes)), sizes)[have]] = 1
+        return cls(pa.concat_arrays(q.column("_key").chunks) if q.num_rows else pa.array([], q.schema.field("_key").type),
+                   sizes, items, has)
+
+    def scores(self, sets: pa.Array) -> Iterator[np.ndarray]:
+        """Per document its similarity to every query."""
+        n = pc.fill_null(pc.list_value_length(sets), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        at = pc.index_in(sets.flatten(), value_set=self.items)
+        known = np.concatenate(([0], np.cumsum(at.is_valid().to_numpy(zero_copy_only=False))))
+        at, ends = at.drop_null().to_numpy(), np.cumsum(n)
+        for size, start, end in zip(n.tolist(), known[ends - n].tolist(), known[ends].tolist()):
+            both = self.has.take(at[start:end], axis=0).sum(axis=0, dtype=self.has.dtype).astype(np.int64)
+            yield both / np.maximum(self.sizes + size - both, 1)
+
+
+def _best_of(batches: Iterator[pa.RecordBatch], table: QueryTable, k: int, min_score: float) -> Iterator[pa.RecordBatch]:
+    """The ``k`` documents (``id``, ``items``) of each query with the highest
+    scores above ``min_score``, ties to smaller ids."""
+    best, least, n = None, np.zeros(len(table.sizes)), len(table.sizes)
+    for batch in batches if n else ():
+        ids = batch.column(0)
+        for start in range(0, batch.num_rows, 256):
+            part = np.array(list(table.scores(batch.column(1).slice(start, 256)))).reshape(-1, n)
+            doc, q = np.nonzero((part > min_score) & (part >= least))
+            if not len(doc):
+                continue
+            found = pa.table({"q": q, "id": ids.slice(start, 256).take(pa.array(doc)), "score": part[doc, q]})
+            best = found if best is None else pa.concat_tables([best, found])
+            best = best.take(pc.sort_indices(best, [("q", "ascending"), ("score", "descending"), ("id", "ascending")], null_placement="at_start"))
+            q = best["q"].to_numpy()
+            place = np.arange(len(q)) - np.searchsorted(q, q)
+            full = q[place == k - 1]
+            least[full] = best["score"].to_numpy()[place == k - 1]
+            best = best.filter(pa.array(place < k))
+    if best is not None:
+        out = pa.table({"qid": table.qids.take(pa.array(best["q"].to_numpy())), "id": best["id"], "score": best["score"]})
+        yield from out.combine_chunks().to_batches()
+
+
+def set_topk(queries: DataFrame, corpus: DataFrame, q_items: Column, d_items: Column, k: int | None,
+             qid: str = "qid", did: str = "id", min_score: float | None = None) -> DataFrame:
+    """The top k of ``set_similarity``.
+
+    Where the queries make a small table, every task adds up the table's rows
+    of a document's items (all its overlaps at once) and keeps k documents per
+    query; no pair becomes a row.  Many queries, or ids that occur twice, go
+    by ``set_similarity``, with the same results."""
+    spark = corpus.sparkSession
+    q = spread_for_cpu(queries).select(F.col(qid).alias("_key"), F.array_distinct(q_items).alias("_set"))
+    n, ids, items = q.agg(F.count(F.lit(1)), F.count_distinct("_key"), F.sum(F.size("_set"))).first()
+    repeated = n != ids or not corpus.groupBy(did).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").isEmpty()
+    if k is None or repeated or n * (items or 0) > TABLE_CELLS:
+        s = set_similarity(queries, corpus, q_items, d_items, qid, did, min_score=min_score)
+        return top_k(s if min_score is None else s.where(F.col("score") > min_score), k)
+    table = spark.sparkContext.broadcast(QueryTable.of(q.toArrow()))
+    d = _by_document(corpus, did).select(F.col(did).alias("id"), F.array_distinct(d_items).alias("_set"))
+    kinds = q.schema["_key"].dataType.simpleString(), d.schema["id"].dataType.simpleString()
+    best = d.mapInArrow(lambda batches: _best_of(batches, table.value, k, min_score or 0.0), "qid {}, id {}, score double".format(*kinds))
+    return top_k(best, k)
+
+
 def jaccard_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, qid: str = "qid", qtext: str = "text",
                  did: str = "id", dtext: str = "text") -> DataFrame:
     """Word-set Jaccard; an empty query has no result; positive scores."""
-    s = set_similarity(queries, corpus, tokens(qtext), tokens(dtext), qid, did)
-    return top_k(s, k).select("qid", "id", percentage(F.col("score")).alias("percentage"), "rank")
+    s = set_topk(queries, corpus, tokens(qtext), tokens(dtext), k, qid, did)
+    return s.select("qid", "id", percentage(F.col("score")).alias("percentage"), "rank")
 
 
 def trigram_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, qid: str = "qid", qtext: str = "text",
                  did: str = "id", dtext: str = "text", min_score: float = TRIGRAM_MIN) -> DataFrame:
     """T4: trigram-set similarity above ``min_score``."""
-    s = set_similarity(queries, corpus, trigrams(qtext), trigrams(dtext), qid, did, min_score=min_score)
-    return top_k(s.where(F.col("score") > min_score), k).select(
+    s = set_topk(queries, corpus, trigrams(qtext), trigrams(dtext), k, qid, did, min_score=min_score)
+    return s.select(
         "qid", "id", percentage(F.col("score")).alias("percentage"), "rank")
 
 
@@ -213,8 +303,6 @@ def _best_ratios(k: int):
     import heapq
     from difflib import SequenceMatcher
 
-    import numpy as np
-
     def run(queries: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
         qids, texts, la = list(queries["qid"]), list(queries["qt"]), queries["la"].to_numpy(np.int64)
         least = queries["r"].to_numpy(np.float64).copy()

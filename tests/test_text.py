@@ -137,3 +137,32 @@ def test_sequence_bound_holds_and_documents_are_prepared_once(spark, data):
     assert "CoGroup" in got._jdf.queryExecution().optimizedPlan().toString()
     exp = brute(queries, docs, lambda a, b: SequenceMatcher(None, a, b).ratio())
     assert sorted(tuple(r) for r in got.collect()) == exp
+
+
+def test_set_topk_makes_no_row_per_pair(spark, data):
+    """Top k by sets: no join of exploded tokens in the plan, and the result of the token join."""
+    q, d, _, _ = data
+    for top, items, least in ((sim.jaccard_topk, sim.tokens, None), (sim.trigram_topk, sim.trigrams, 0.1)):
+        got = top(q, d, K)
+        assert "explode" not in got._jdf.queryExecution().executedPlan().toString()
+        s = sim.set_similarity(q, d, items("text"), items("text"), min_score=least)
+        want = sim.top_k(s if least is None else s.where(F.col("score") > least), K).select(
+            "qid", "id", sim.percentage(F.col("score")).alias("percentage"), "rank")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_set_topk_odd_rows(spark, monkeypatch):
+    """Nulls, empty texts, ties, a null id, one long text, repeated ids; small and large query sides agree."""
+    q = spark.createDataFrame([(1, "the cat sat"), (2, ""), (3, None), (4, "zzz"), (5, " ".join(f"w{i}" for i in range(400)))], "qid long, text string")
+    rows = [(i, "the cat") for i in range(9, 0, -1)] + [(None, "the cat"), (20, None), (21, ""), (22, " ".join(f"w{i}" for i in range(3000)))]
+    d = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    twice = d.union(spark.createDataFrame([(3, "the cat")], d.schema))
+    for docs in (d, twice, d.limit(0)):
+        for queries in (q, q.limit(0)):
+            got = {}
+            for cells in (1 << 26, -1):
+                monkeypatch.setattr(sim, "TABLE_CELLS", cells)
+                got[cells] = [sorted(map(str, f(queries, docs, 4).collect())) for f in (sim.jaccard_topk, sim.trigram_topk)]
+            assert got[1 << 26] == got[-1]
+    monkeypatch.setattr(sim, "TABLE_CELLS", 1 << 26)
+    assert [(r.id, r.rank) for r in sim.jaccard_topk(q, d, 4).where("qid = 1").orderBy("rank").collect()] == [(None, 1), (1, 2), (2, 3), (3, 4)]
