@@ -12,16 +12,24 @@ from lakeshore.session import scratch_dir
 
 #: The characters of ``[\x20\x09-\x0D]``, the white space of every contract here.
 ASCII_SPACE = " \t\n\x0b\f\r"
+#: Spark's own switch: an execution's shuffle files are removed when it ends.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def materialise(df: DataFrame, purpose: str) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and read it
     back: cuts the lineage, survives lost executors, and every later use
-    reads the result instead of computing it again."""
+    reads the result instead of computing it again.  The shuffle files behind
+    it go once the table is written, as nothing reads them again."""
     spark = df.sparkSession
     path = scratch_dir(spark, purpose)
-    df.write.parquet(path)
+    before = spark.conf.get(DROP_SHUFFLES, "false")
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(DROP_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

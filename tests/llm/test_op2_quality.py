@@ -1,5 +1,7 @@
+import glob
 import math
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -7,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakeshore.llm import quality
+from lakeshore.llm.common import DROP_SHUFFLES, materialise
 from lakeshore.llm.queries import QUERIES
 
 
@@ -135,3 +138,20 @@ def test_all_trusted_text_trains(spark):
             t = by_id[r["id"]]
             assert r["n_tokens"] == len(t.split()) + 1
             assert math.log10(r["perplexity"]) * -r["n_tokens"] == pytest.approx(want[t], rel=1e-5)
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    dirs = [str(d) for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+
+    def files():
+        return {f for d in dirs for f in glob.glob(f"{d}/**/shuffle_*.data", recursive=True)}
+    before = files()
+    rows = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().repartition(3, "count")
+    written = materialise(rows, "test-shuffles")
+    for _ in range(50):         # they go in the background
+        if files() - before:
+            time.sleep(0.1)
+    assert not files() - before
+    assert written.count() == 7
+    assert spark.conf.get(DROP_SHUFFLES, "false") == "false"
+    assert sorted(r["count"] for r in rows.collect()) == [142] + [143] * 6
