@@ -32,6 +32,7 @@ are scored alike; other columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -54,6 +55,8 @@ EXAMPLES = 2000
 HEAD = 2048
 PREFIXES = (4, 5, 6)
 BLOCK = 512
+#: Bytes of the index in a row.
+PIECE = 1 << 20
 #: Words that a worker remembers.
 CACHE = 400_000
 NEIGHBOURS = 15
@@ -150,6 +153,13 @@ class Index:
         self.dense = np.zeros((blocks * BLOCK, len(often)), np.float32)
         self.dense[:n] = self.weights[often, :].T
 
+    def ready(self) -> Index:
+        """The index, inverted; the vectors behind it go."""
+        if "weights" not in self.__dict__:
+            self.invert()
+            del self.forward
+        return self
+
     def vector(self, found: dict[int, int] | tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Rows and unit weights, from term numbers and counts."""
         at, counts = _known(self.vocabulary, found)
@@ -380,11 +390,11 @@ def _frequency(counted: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def _example_terms(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> pa.Table:
-    """``id``, ``y``, ``terms`` and ``counts`` of the chosen rows (``id``, ``y``, ``key``), label 0 first."""
+def _example_terms(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id``, ``y``, ``terms`` and ``counts`` of the chosen rows (``id``, ``y``, ``key``)."""
     texts = docs.select(F.col(id_col).alias("i"), text_key(F.col(text_col)).alias("k"), F.col(text_col).cast("string").alias("text"))
     texts = texts.join(F.broadcast(chosen), (F.col("i") == F.col("id")) & (F.col("k") == F.col("key")))
-    texts = texts.groupBy("id", "y").agg(F.first("text").alias("text")).orderBy("y", F.xxhash64("id"), "id")
+    texts = texts.groupBy("id", "y").agg(F.first("text").alias("text"))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 32):
@@ -394,13 +404,56 @@ def _example_terms(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: st
                                              names=["id", "y", "terms", "counts"])
 
     id_type = texts.schema["id"].dataType.simpleString()
-    return texts.mapInArrow(spread, f"id {id_type}, y int, terms array<bigint>, counts array<int>").toArrow()
+    return materialise(texts.mapInArrow(spread, f"id {id_type}, y int, terms array<bigint>, counts array<int>"), "example-terms")
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col: str = "doc_id",
-        text_col: str = "text", label_col: str = "toxic", per_class: int = EXAMPLES) -> tuple[Index, DataFrame]:
-    """The index, and the term counts of all documents.  ``train``: a
-    condition on the label's id, ``lid``."""
+def _load(parts: list[bytes]) -> Index:
+    """An index that is not inverted yet: whoever calls this still holds the bytes."""
+    index = Index.__new__(Index)
+    index.__dict__.update(pickle.loads(b"".join(parts)))
+    return index
+
+
+@dataclass
+class Pickled:
+    """The state of an index as bytes.  It travels as it is and is an ``Index``
+    where it arrives, so the driver never holds the index itself."""
+    parts: list[bytes]
+
+    def __reduce__(self) -> tuple:
+        return _load, (self.parts,)
+
+
+def _built(examples: DataFrame, vocabulary: np.ndarray, frequency: np.ndarray, total: dict[int, int], documents: int,
+           share: float) -> Pickled:
+    """``build_index`` over the examples, label 0 first, in one task: they are at most 2 * ``EXAMPLES`` rows."""
+    # Sixteen bytes for each term of these rows.
+    known = examples.sparkSession.sparkContext.broadcast((vocabulary, frequency))
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, frequency = known.value
+        ids, y, found = [], [], []
+        for batch in small_batches(batches):
+            ids += batch.column(0).to_pylist()
+            y += batch.column(1).to_pylist()
+            terms, counts = batch.column(2), batch.column(3)
+            # Ascending within a text, as the numbers are.
+            at = np.searchsorted(vocabulary, terms.flatten().to_numpy()).astype(np.int32)
+            n = counts.flatten().to_numpy()
+            ends = np.cumsum(pc.list_value_length(terms).to_numpy(zero_copy_only=False)).tolist()
+            found += [(at[start:end], n[start:end]) for start, end in zip([0, *ends], ends)]
+        per = Counter(y)
+        index = build_index(ids, found, y, [total[label] / per[label] for label in y], frequency, documents, share)
+        data = pickle.dumps(index.__getstate__())
+        for i, start in enumerate(range(0, len(data), PIECE)):
+            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([data[start:start + PIECE]], pa.binary())], names=["i", "data"])
+
+    pieces = examples.coalesce(1).sortWithinPartitions("y", F.xxhash64("id"), "id").mapInArrow(build, "i bigint, data binary")
+    return Pickled([bytes(r["data"]) for r in materialise(pieces, "index").orderBy("i").toLocalIterator()])
+
+
+def _fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col: str = "doc_id",
+         text_col: str = "text", label_col: str = "toxic", per_class: int = EXAMPLES) -> tuple[Index | Pickled, DataFrame]:
     labelled = labels.select(F.col(id_col).alias("lid"), F.col(label_col).alias("y")).filter(
         F.col("lid").isNotNull() & F.col("y").isin(0, 1))
     labelled = labelled.groupBy("lid").agg(F.min("y").alias("y"), F.max("y").alias("top")).filter("y = top")
@@ -413,31 +466,31 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col:
         return build_index([], [], [], [], {}, 0, share), materialise(_counted(docs, np.zeros(0, np.int64), id_col, text_col), "term-counts")
     pick = [rows.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_class) for y in (0, 1)]
     examples = _example_terms(docs, materialise(pick[0].unionByName(pick[1]), "examples"), id_col, text_col)
-    each = examples["terms"].combine_chunks()
-    flat = each.flatten().to_numpy()
-    vocabulary, at = np.unique(flat, return_inverse=True)
-    at = at.astype(np.int32)                # ascending within a text, as the numbers are
-    counts = examples["counts"].combine_chunks().flatten().to_numpy()
-    ends = np.cumsum(pc.list_value_length(each).to_numpy(zero_copy_only=False)).tolist()
-    found = [(at[start:end], counts[start:end]) for start, end in zip([0, *ends], ends)]
-    ids, y = examples["id"].to_pylist(), examples["y"].to_pylist()
-    per = Counter(y)
-    del examples, each, flat
+    vocabulary = np.sort(examples.select(F.explode("terms").alias("term")).distinct().toArrow()["term"].to_numpy())
     counted = materialise(_counted(docs, vocabulary, id_col, text_col), "term-counts")
-    frequency = _frequency(counted, len(vocabulary))
-    return build_index(ids, found, y, [total[label] / per[label] for label in y], frequency,
-                       counted.count(), share), counted
+    return _built(examples, vocabulary, _frequency(counted, len(vocabulary)), total, counted.count(), share), counted
+
+
+def fit(docs: DataFrame, labels: DataFrame, **options) -> tuple[Index, DataFrame]:
+    """The index, and the term counts of all documents.  Option ``train``: a
+    condition on the label's id, ``lid``."""
+    index, counted = _fit(docs, labels, **options)
+    if isinstance(index, Pickled):
+        index = _load(index.parts)
+        index.invert()
+    return index, counted
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """One row per row of ``docs``: ``id``, ``key``, ``score`` and the evidence,
     ids and cosines of the neighbours.  Options as in ``fit``."""
-    index, counted = fit(docs, labels, **options)
+    index, counted = _fit(docs, labels, **options)
     shared = docs.sparkSession.sparkContext.broadcast(index)
-    place = {id_: i for i, id_ in enumerate(index.ids.tolist())}
+    del index
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
+        index = shared.value.ready()
+        place = {id_: i for i, id_ in enumerate(index.ids.tolist())}
         for batch in small_batches(batches):
             scores, near, cosines = [], [], []
             vectors = [index.vector(_unpacked(found)) for found in batch.column(2).to_pylist()]
