@@ -12,6 +12,10 @@ distinct trigrams, with their training counts, to the shard of their first two
 words; a shard adds up equal ones, answers with the counts of trigrams and
 contexts in the same order, and passes the distinct trigrams on as
 continuation counts of pairs, which pass on those of words in the same way.
+All n-grams take their turn in ``PASSES`` passes, trigrams and pairs by their
+middle word and first word, which are the same: what a pass has shuffled and
+passed on is gone before the next begins.  Numbers of words follow their
+frequency, nearly, so most take few bytes.
 The block then holds the counts of exactly the n-grams that its texts can
 reach, and scores them; the discounts follow from counts of counts.  Tokens
 are words with A-Z lower-cased, then one end; words outside the model share
@@ -30,8 +34,11 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,12 +47,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeshore.llm.common import WORD, lower_words, materialise, text_key, text_or_empty
+from lakeshore.llm.common import WORD, discard, lower_words, materialise, text_key, text_or_empty
 from lakeshore.llm.lm_scoring import _deal, _documents, _mix
 
 #: Text bytes of a block, about, and blocks per shard of the counts.
 BLOCK = 6 << 20
 BLOCKS_PER_SHARD = 2
+#: Parts of the n-grams, and of the blocks to score, that are under way at a time.
+PASSES = 4
 QUANTILE = 0.99
 ENOUGH = 20
 #: In a bounded training text no document has more than this part of the words.
@@ -223,8 +232,22 @@ def _words_shard(words: np.ndarray, shards: int) -> np.ndarray:
     return (words % np.uint64(shards)).astype(np.int64)
 
 
+def _pass(words: np.ndarray) -> np.ndarray:
+    return (_mix(words) % np.uint64(PASSES)).astype(np.int64)
+
+
+def _shard(pairs: np.ndarray, middle: np.ndarray, shards: int) -> np.ndarray:
+    """A shard of the pass of each pair's middle word; every pass has its own shards."""
+    each = max(1, shards // PASSES)
+    return _pass(middle) * each + (_mix(pairs) % np.uint64(each)).astype(np.int64)
+
+
+def _contexts_shard(contexts: np.ndarray, shards: int) -> np.ndarray:
+    return _shard(contexts, contexts & LOW, shards)
+
+
 def _pairs_shard(pairs: np.ndarray, shards: int) -> np.ndarray:
-    return (_mix(pairs) % np.uint64(shards)).astype(np.int64)
+    return _shard(pairs, pairs >> np.uint64(32), shards)
 
 
 class Block:
@@ -232,7 +255,7 @@ class Block:
     ``END`` among them); a pair's code is its first word's number and, in the
     low half, the second's."""
 
-    def __init__(self, tokens: np.ndarray, lengths: np.ndarray, learnt: np.ndarray):
+    def __init__(self, tokens: np.ndarray, lengths: np.ndarray):
         self.lengths = lengths
         self.starts = np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64)
         self.words, place = np.unique(np.concatenate(([np.uint64(BEGIN)], tokens)), return_inverse=True)
@@ -249,20 +272,51 @@ class Block:
         triples, self.triple = np.unique(self.context * len(codes) + self.pair, return_inverse=True)
         self.contexts, self.fan = np.unique(triples // len(codes), return_counts=True)
         self.last = self.pairs[triples % len(codes)] & LOW
-        self.counts = np.bincount(self.triple[np.repeat(learnt, lengths)], minlength=len(triples))
 
     @classmethod
     def of(cls, row: dict) -> Block:
-        return cls(_unpack(row["tokens"]), _unpack(row["lengths"]).astype(np.int64), _unpack(row["learnt"]).astype(bool))
+        return cls(_unpack(row["tokens"]), _unpack(row["lengths"]).astype(np.int64))
 
     def by_context(self, shards: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Per shard the places of its contexts, and of their trigrams, in one order."""
-        shard = _pairs_shard(self.pairs[self.contexts], shards)
+        shard = _contexts_shard(self.pairs[self.contexts], shards)
         triples = dict(_by_shard(np.repeat(shard, self.fan)))
         for s, places in _by_shard(shard):
             yield s, places, triples[s]
 
 
+class Turn:
+    """The tokens of a block before which a word of pass ``turn`` stands."""
+
+    def __init__(self, row: dict, turn: int):
+        tokens, lengths = _unpack(row["tokens"]), _unpack(row["lengths"]).astype(np.int64)
+        starts = np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64)
+        before = np.concatenate(([np.uint64(BEGIN)], tokens[:-1]))
+        before[starts] = BEGIN
+        first = np.concatenate(([np.uint64(BEGIN)], before[:-1]))
+        first[starts] = BEGIN
+        mine = np.flatnonzero(_pass(before) == turn)
+        self.first, self.before, self.word = first[mine], before[mine], tokens[mine]
+        self.learnt = np.repeat(_unpack(row["learnt"]).astype(bool), lengths)[mine]
+
+    def triples(self, shards: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+        """Per shard its contexts, how many trigrams each has, their last words and training counts; in ``by_context``'s order."""
+        contexts, place = np.unique((self.first << np.uint64(32)) | self.before, return_inverse=True)
+        triples, triple = np.unique((place.astype(np.uint64) << np.uint64(32)) | self.word, return_inverse=True)
+        fan = np.bincount((triples >> np.uint64(32)).astype(np.int64), minlength=len(contexts))
+        last = triples & LOW
+        counts = np.bincount(triple[self.learnt], minlength=len(triples))
+        shard = _contexts_shard(contexts, shards)
+        at = dict(_by_shard(np.repeat(shard, fan)))
+        for s, places in _by_shard(shard):
+            yield s, [contexts[places], fan[places], last[at[s]], counts[at[s]]]
+
+    def pairs(self, turn: int) -> np.ndarray:
+        """Distinct pairs; with the two beginnings, as ``Block`` has them."""
+        begin = np.full(int(_pass(np.array([BEGIN], np.uint64))[0] == turn), BEGIN << 32 | BEGIN, np.uint64)
+        return np.unique(np.concatenate((begin, (self.before << np.uint64(32)) | self.word)))
+
+
 def _answer_triples(table: pa.Table, shards: int) -> pa.Table:
     asked = [(b, [_unpack_rising(d[0]), *map(_unpack, d[1:])])
              for b, d in zip(table.column("source").to_pylist(), table.column("data").to_pylist())]
@@ -381,38 +435,48 @@ def _numbered(rows: DataFrame, trained: DataFrame, blocks: int, shards: int) ->
     def deal(df: DataFrame) -> DataFrame:
         return df.withColumn("block", F.pmod("row_key", F.lit(blocks)))
 
-    def vocabulary(docs: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
-        hashes = _hashes(docs.column("text").to_pylist())
-        return hashes, np.unique(np.concatenate(hashes)).astype(np.uint64)
+    def hashed(words) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct hashes, and the place of each word's."""
+        return np.unique(np.fromiter(map(_hash, words), np.uint64, len(words)), return_inverse=True)
 
     def ask(table: pa.Table) -> pa.Table:
-        _, words = vocabulary(_documents(table))
+        found = Counter(lower_words("\n".join(t or "" for t in _documents(table).column("text").to_pylist())))
+        words, place = hashed(found)
+        n = np.bincount(place, np.fromiter(found.values(), float, len(found)), len(words)).astype(np.int64)
         block = table.column("block")[0].as_py()
-        return _messages([(ASK, s, block, [_pack_rising(words[at])]) for s, at in _by_shard(_words_shard(words, shards))])
+        return _messages([(ASK, s, block, [_pack_rising(words[at]), _pack(n[at])]) for s, at in _by_shard(_words_shard(words, shards))])
 
     def answer(table: pa.Table) -> pa.Table:
         shard = table.column("target")[0].as_py()
-        asked = [_unpack_rising(d[0]) for d in table.column("data").to_pylist()]
-        words = np.unique(np.concatenate(asked))
-        return _messages([(WORDS, b, shard, [_pack_rising(np.searchsorted(words, a) * shards + shard + END + 1)])
-                          for b, a in zip(table.column("source").to_pylist(), asked)])
+        asked = [(_unpack_rising(d[0]), _unpack(d[1])) for d in table.column("data").to_pylist()]
+        words, n = _add([a[0] for a in asked], [a[1] for a in asked])
+        # The commonest word of a shard comes first, and so has a small number.
+        rank = np.empty(len(words), np.int64)
+        rank[np.argsort(-n, kind="stable")] = np.arange(len(words))
+        return _messages([(WORDS, b, shard, [_pack(rank[np.searchsorted(words, a)] * shards + shard + END + 1)])
+                          for b, (a, _) in zip(table.column("source").to_pylist(), asked)])
 
     def number(key, parts: pa.Table, other: pa.Table) -> pa.Table:
         if not parts.num_rows:
             return pa.table({n: pa.array([], t) for n, t in (("block", pa.int64()), *((n, pa.binary()) for n in (
                 "meta", "lengths", "learnt", "tokens")))})
         docs = _documents(parts)
-        hashes, words = vocabulary(docs)
+        texts = [lower_words(t or "") for t in docs.column("text").to_pylist()]
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        local: dict[bytes, int] = {}
+        for w in chain.from_iterable(texts):
+            local.setdefault(w, len(local))
+        words, place = hashed(local)
         numbers = np.zeros(len(words), np.uint64)
         got = {r["source"]: r["data"][0] for r in other.filter(pc.is_valid(other.column("data"))).to_pylist()}
         for s, at in _by_shard(_words_shard(words, shards)):
-            numbers[at] = _unpack_rising(got[s])
-        lengths = np.array([len(h) + 1 for h in hashes], np.int64)
+            numbers[at] = _unpack(got[s])
         tokens = np.full(lengths.sum(), END, np.uint64)
         ends = np.cumsum(lengths)
         mine = np.ones(len(tokens), bool)
         mine[ends - 1] = False
-        tokens[mine] = numbers[np.searchsorted(words, np.concatenate(hashes).astype(np.uint64))]
+        tokens[mine] = numbers[place][np.fromiter(map(local.__getitem__, chain.from_iterable(texts)), np.int64, mine.sum())]
+        del texts, local
         row_keys = docs.column("row_key").to_numpy()
         _, first = np.unique(row_keys, return_index=True)
         learnt = np.zeros(len(row_keys), bool)
@@ -428,10 +492,13 @@ def _numbered(rows: DataFrame, trained: DataFrame, blocks: int, shards: int) ->
 
     parts = deal(rows).mapInArrow(_deal, "block bigint, part binary")
     numbers = parts.groupBy("block").applyInArrow(ask, MESSAGE).groupBy("target").applyInArrow(answer, MESSAGE)
-    other = materialise(numbers.select(F.col("target").alias("block"), "source", "data", F.lit(None).cast("bigint").alias("row_key")),
-                        "word-numbers").unionByName(deal(trained.select("row_key")), allowMissingColumns=True)
-    return materialise(parts.groupBy("block").cogroup(other.groupBy("block")).applyInArrow(
+    numbers = materialise(numbers.select(F.col("target").alias("block"), "source", "data", F.lit(None).cast("bigint").alias("row_key")),
+                          "word-numbers")
+    other = numbers.unionByName(deal(trained.select("row_key")), allowMissingColumns=True)
+    out = materialise(parts.groupBy("block").cogroup(other.groupBy("block")).applyInArrow(
         number, "block bigint, meta binary, lengths binary, learnt binary, tokens binary"), "blocks")
+    discard(numbers)
+    return out
 
 
 def _trusted_ids(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
@@ -498,30 +565,35 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     shards = max(1, blocks // BLOCKS_PER_SHARD)
     numbered = _numbered(rows, trained, blocks, shards)
 
-    def ask_triples(row: dict) -> pa.Table:
-        block = Block.of(row)
-        return _messages([(ASK, s, row["block"], [_pack_rising(block.pairs[block.contexts[at]]), _pack(block.fan[at]),
-                                                  _pack(block.last[triples]), _pack(block.counts[triples])])
-                          for s, at, triples in block.by_context(shards)])
+    def ask_triples(row: dict, turn: int) -> pa.Table:
+        return _messages([(ASK, s, row["block"], [_pack_rising(contexts), *map(_pack, more)])
+                          for s, (contexts, *more) in Turn(row, turn).triples(shards)])
 
-    def ask_pairs(row: dict) -> pa.Table:
-        pairs = Block.of(row).pairs
+    def ask_pairs(row: dict, turn: int) -> pa.Table:
+        pairs = Turn(row, turn).pairs(turn)
         return _messages([(ASK, s, row["block"], [_pack_rising(pairs[at])]) for s, at in _by_shard(_pairs_shard(pairs, shards))])
 
-    def ask_words(row: dict) -> pa.Table:
+    def ask_words(row: dict, turn: int) -> pa.Table:
         words = np.unique(np.concatenate(([np.uint64(BEGIN)], _unpack(row["tokens"]))))
-        return _messages([(ASK, s, row["block"], [_pack_rising(words[at])]) for s, at in _by_shard(_words_shard(words, shards))])
-
-    def asked(ask) -> DataFrame:
-        return numbered.mapInArrow(_per_row(ask), MESSAGE)
-
-    triples = materialise(asked(ask_triples).groupBy("target").applyInArrow(
-        lambda t: _answer_triples(t, shards), MESSAGE), "trigram-counts")
-    pairs = materialise(asked(ask_pairs).unionByName(triples.filter(F.col("kind") == PASSED)).groupBy("target").applyInArrow(
-        lambda t: _answer_pairs(t, shards), MESSAGE), "pair-counts")
-    singles = materialise(asked(ask_words).unionByName(pairs.filter(F.col("kind") == PASSED)).groupBy("target").applyInArrow(
-        _answer_words, MESSAGE), "word-counts")
-    all_counts = triples.unionByName(pairs).unionByName(singles)
+        return _messages([(ASK, s, row["block"], [_pack_rising(words[at])]) for s, at in _by_shard(_words_shard(words, shards))
+                          if s % PASSES == turn])
+
+    def asked(ask, turn: int) -> DataFrame:
+        return numbered.mapInArrow(_per_row(lambda row: ask(row, turn)), MESSAGE)
+
+    counts = []
+    for turn in range(PASSES):
+        triples = materialise(asked(ask_triples, turn).groupBy("target").applyInArrow(
+            lambda t: _answer_triples(t, shards), MESSAGE), "trigram-counts")
+        pairs = asked(ask_pairs, turn).unionByName(triples.filter(F.col("kind") == PASSED)).groupBy("target").applyInArrow(
+            lambda t: _answer_pairs(t, shards), MESSAGE)
+        counts.append(materialise(triples.filter(F.col("kind") != PASSED).unionByName(pairs), "pair-counts"))
+        discard(triples)
+    passed = reduce(DataFrame.unionByName, counts).filter(F.col("kind") == PASSED)
+    for turn in range(min(PASSES, shards)):
+        counts.append(materialise(asked(ask_words, turn).unionByName(passed.filter(F.col("target") % PASSES == turn)).groupBy(
+            "target").applyInArrow(_answer_words, MESSAGE), "word-counts"))
+    all_counts = reduce(DataFrame.unionByName, counts)
     spectra = {o: np.zeros(6, np.int64) for o in (1, 2, 3)}
     for r in all_counts.filter(F.col("kind") == SPECTRUM).toLocalIterator():        # six numbers a shard
         spectra[r["source"]] += np.frombuffer(bytes(r["data"][0]), np.int64)
@@ -540,8 +612,12 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     id_type = rows.schema["id"].dataType.simpleString()
     answers = all_counts.filter(F.col("kind").isin(TRIPLES, PAIRS, WORDS)).withColumnRenamed("target", "block")
-    scored = materialise(numbered.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        score, f"id {id_type}, key bigint, lang string, n_tokens bigint, perplexity double"), "perplexity")
+    scored = reduce(DataFrame.unionByName, [
+        materialise(numbered.filter(turn).groupBy("block").cogroup(answers.filter(turn).groupBy("block")).applyInArrow(
+            score, f"id {id_type}, key bigint, lang string, n_tokens bigint, perplexity double"), "perplexity")
+        for turn in (F.col("block") % PASSES == i for i in range(min(PASSES, blocks)))])
+    for table in (numbered, *counts):
+        discard(table)
     held = scored.join(_trusted_ids(labels, id_col, label_col), F.col("id") == F.col("lid"), "left_semi").join(
         trained.select("key"), "key", "left_anti")
     each = held.groupBy("key", "lang").agg(F.first("perplexity").alias("perplexity"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lakeshore.llm import quality
 from lakeshore.llm.common import DROP_SHUFFLES, materialise
 from lakeshore.llm.queries import QUERIES
+from lakeshore.session import checkpoint_root
 
 
 def spec_model(texts):
@@ -155,3 +156,41 @@ def test_written_tables_leave_no_shuffle_files(spark):
     assert written.count() == 7
     assert spark.conf.get(DROP_SHUFFLES, "false") == "false"
     assert sorted(r["count"] for r in rows.collect()) == [142] + [143] * 6
+
+
+def test_turns_ask_for_every_ngram_once():
+    """A pass shuffles a part of the n-grams only; together they ask what the scored block looks up, in its order."""
+    rng = np.random.default_rng(5)
+    lengths = rng.integers(1, 60, 300)
+    tokens = (500 * rng.random(lengths.sum()) ** 2).astype(np.uint64) + np.uint64(3)
+    tokens[np.cumsum(lengths) - 1] = quality.END
+    learnt = rng.random(300) < 0.8
+    row = {"tokens": quality._pack(tokens), "lengths": quality._pack(lengths), "learnt": quality._pack(learnt)}
+    block, shards = quality.Block.of(row), 9
+    asked, pairs, counts = {}, {}, []
+    for turn in range(quality.PASSES):
+        part = quality.Turn(row, turn)
+        mine = dict(part.triples(shards))
+        assert mine and not mine.keys() & asked.keys()
+        asked |= mine
+        counts.append(sum(int(x[3].sum()) for x in mine.values()))
+        codes = part.pairs(turn)
+        pairs |= {s: codes[at] for s, at in quality._by_shard(quality._pairs_shard(codes, shards))}
+    assert sum(counts) == lengths[learnt].sum() and max(counts) < 0.6 * sum(counts)
+    wanted = {s: (p, t) for s, p, t in block.by_context(shards)}
+    assert wanted.keys() == asked.keys()
+    for s, (places, triples) in wanted.items():
+        assert np.array_equal(block.pairs[block.contexts[places]], asked[s][0]) and np.array_equal(block.fan[places], asked[s][1])
+        assert np.array_equal(block.last[triples], asked[s][2])
+    wanted = {s: block.pairs[at] for s, at in quality._by_shard(quality._pairs_shard(block.pairs, shards))}
+    assert wanted.keys() == pairs.keys() and all(np.array_equal(wanted[s], pairs[s]) for s in wanted)
+
+
+def test_tables_on_the_way_are_removed(spark, odd):
+    folder = f"{checkpoint_root(spark).removeprefix('file:')}/lakeshore"
+    before = set(glob.glob(f"{folder}/*"))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id bigint, quality int, toxic int")
+    got = quality.judge(odd, labels, block_bytes=2000)
+    left = {d.rsplit("/", 1)[1].rsplit("-", 1)[0] for d in set(glob.glob(f"{folder}/*")) - before}
+    assert left == {"trusted-keys", "perplexity"}
+    assert got.count() == odd.count()
