@@ -14,27 +14,39 @@ from lakeshore.llm.queries import table, tokenizer_path
 from lakeshore.session import ship_package
 
 
+#: Bytes of the Arrow batches between executors and their Python workers.  Whole
+#: texts in batches of 10,000 rows are tens of MB at once on both sides, which a
+#: long run keeps: the JVM's native memory and the workers' do not go back.
+BATCH = "2m"
+
+
+def prepare(spark: SparkSession) -> None:
+    """The package is on the workers, and texts reach them in small batches."""
+    ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below one half (operator 7, learnt from all labels)."""
-    ship_package(spark)
+    prepare(spark)
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts (operator 1)."""
-    ship_package(spark)
+    prepare(spark)
     return exact_dedup.dedup_documents(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component (operator 9)."""
-    ship_package(spark)
+    prepare(spark)
     return simhash.dedup_documents(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The training mix in curriculum order (operator 3)."""
-    ship_package(spark)
+    prepare(spark)
     return mixing.mix_documents(docs)
 
 
@@ -53,7 +65,7 @@ def in_written_order(docs: DataFrame) -> DataFrame:
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix cut into sequences along the curriculum, one row per piece with
     its token ids (operator 8)."""
-    ship_package(spark)
+    prepare(spark)
     return packing.pack(in_written_order(docs), tokenizer_path()).withColumnRenamed("id", "doc_id").withColumn(
         "ids_crc32", F.crc32("ids"))
 

@@ -98,7 +98,8 @@ class Weights:
 
     def __init__(self, row: np.ndarray, example: np.ndarray, weight: np.ndarray, shape: tuple[int, int]):
         order = np.argsort(row, kind="stable")             # examples come in order
-        self.example, self.weight, self.shape = example[order].astype(np.intp), weight[order].astype(np.float32), shape
+        self.example, self.weight, self.shape = example[order].astype(np.int32), weight[order].astype(np.float32), shape
+        del order
         self.starts = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=shape[0]))))
 
     def places(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,31 +134,36 @@ class Index:
         self.__dict__.update(state)
         self.invert()
 
-    def invert(self) -> None:
+    def invert(self, forward: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> None:
         """Postings, block maxima and the dense table from the examples' vectors."""
-        starts, row, weight = self.forward
+        starts, row, weight = forward or self.forward
         size, n = len(self.vocabulary), len(self.labels)
         blocks = max(1, -(-n // BLOCK))
         self.weights = Weights(row, np.repeat(np.arange(len(starts) - 1, dtype=np.int32), np.diff(starts)), weight, (size, n))
+        del row, weight, forward
         # Terms x blocks: the largest weight, and where the block's postings end.
-        cell = np.repeat(np.arange(size) * blocks, np.diff(self.weights.starts)) + self.weights.example // BLOCK
-        new = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))[:len(cell)])
+        cell = np.repeat(np.arange(size, dtype=np.int32) * np.int32(blocks), np.diff(self.weights.starts))
+        cell += self.weights.example // np.int32(BLOCK)
+        new = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))[:len(cell)]).astype(np.int32)
+        ends = np.zeros(size * blocks, np.int32)
+        ends[cell[new]] = np.diff(new, append=np.int32(len(cell)))
         self.block_max = np.zeros((size, blocks), np.float32)
         self.block_max.ravel()[cell[new]] = np.maximum.reduceat(self.weights.weight, new) if len(new) else 0
+        del cell, new
         self.cuts = np.zeros((size, blocks + 1), np.int32)
-        self.cuts[:, 1:].flat = np.cumsum(np.bincount(cell, minlength=size * blocks))
+        self.cuts[:, 1:] = np.cumsum(ends, out=ends).reshape(size, blocks)
         self.cuts[:, 0] = self.weights.starts[:-1]
         often = np.argsort(-np.diff(self.weights.starts), kind="stable")[:HEAD]
         self.head = np.full(size, -1)
         self.head[often] = np.arange(len(often))
         self.dense = np.zeros((blocks * BLOCK, len(often)), np.float32)
-        self.dense[:n] = self.weights[often, :].T
+        for start in range(0, len(often), 128):             # a few terms at a time: their dense part is small
+            self.dense[:n, start:start + 128] = self.weights[often[start:start + 128], :].T
 
     def ready(self) -> Index:
         """The index, inverted; the vectors behind it go."""
         if "weights" not in self.__dict__:
-            self.invert()
-            del self.forward
+            self.invert(self.__dict__.pop("forward"))
         return self
 
     def vector(self, found: dict[int, int] | tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:

@@ -1,4 +1,6 @@
+import pickle
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -172,3 +174,21 @@ def test_driver_builds_no_index(spark, planted, monkeypatch):
         raise AssertionError("inverted in the driver")
     monkeypatch.setattr(toxicity.Index, "invert", not_here)
     assert toxicity.score_documents(docs, marks).filter("score >= 0.5").count() > 90
+
+
+def test_inverting_the_index_takes_little_memory():
+    """A worker inverts the index beside its documents: what that needs stays near what the index holds."""
+    rng = np.random.default_rng(3)
+    found = [np.sort(rng.choice(60_000, 300, replace=False)) for _ in range(1500)]
+    index = toxicity.build_index(list(range(1500)), [(f, np.ones(300, np.int64)) for f in found], [i % 2 for i in range(1500)],
+                                 [1.0] * 1500, np.full(60_000, 3), 5000, 0.5)
+    want = index.neighbours(*index.vector((found[7], np.ones(300, np.int64))))
+    data = pickle.dumps(index.__getstate__())
+    del index
+    tracemalloc.start()
+    index = toxicity._load([data]).ready()
+    held, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < 37e6 and most < 1.25 * held
+    got = index.neighbours(*index.vector((found[7], np.ones(300, np.int64))))
+    assert np.array_equal(got[0], want[0]) and np.array_equal(got[1], want[1])

@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +95,15 @@ def test_packing_follows_the_curriculum_over_many_files(spark, sf01):
     got = corpus_pipeline.pack_sequences(spark, mix, sf01).orderBy("sequence_id", "offset").collect()
     order = [r["doc_id"] for r in got]
     assert order == sorted(order) and set(order) == set(range(80))
+
+
+def test_texts_reach_workers_in_small_batches(spark, sf01):
+    """No stage hands a worker tens of MB of text at once."""
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.range(0, 9000, 1, 1).selectExpr("id doc_id", "repeat('ab ', 1000) text", "'en' lang", "'s' source", "3000L n_chars")
+    corpus_pipeline.drop_copies(spark, docs, sf01)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+    assert max(r["n"] for r in docs.mapInArrow(sizes, "n bigint").collect()) < 4 << 20
